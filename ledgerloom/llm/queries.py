@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import sql
+from ledgerloom.llm import pii, quality, secrets, sql
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.exact import exact_duplicates
 from ledgerloom.llm.mixing import mix_sources
@@ -20,6 +20,15 @@ WEIGHTS = {"src0": 0.10, "src1": 0.15, "src2": 0.15}
 REST, MIX_SEED = 0.60, 7
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 MIN_PAYLOAD = 0
+#: The most labelled documents that the classifier is fitted on.
+TRAINING_ROWS = 3000
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    network = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))), most_rows=TRAINING_ROWS)
+    scored = quality.score(docs, network)
+    return scored.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +37,26 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.BASE_KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir), WEIGHTS, REST, seed=MIX_SEED)
     return mixed.select("doc_id", "source", "copy", "mix_key", "text")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.find_secrets(documents(spark, sf_dir))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(secrets.BASE)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), "n_live", "n_example")
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(documents(spark, sf_dir), keep="largest")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -44,7 +68,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_mixing, op8_exact, op9_tokens)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op8_exact, op9_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
