@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, quality, secrets, sql
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.decontam import contaminated
 from ledgerloom.llm.exact import exact_duplicates
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.simjoin import jaccard_components
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.llm.warc import read_bundles, write_bundles
 
@@ -57,6 +59,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), "n_live", "n_example")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(documents(spark, sf_dir), keep="largest")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -67,8 +74,13 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op8_exact, op9_tokens)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op6_decontamination, op8_exact, op9_tokens, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,3 +40,22 @@ from counts, unnest(range(1, n + 1)) t(copy)
 """
 
 ORACLES: dict[str, str] = {"op2_warc": OP2, "op4_mixing": OP4, "op8_exact": OP8}
+
+#: Sets as lists of shingle texts; links by shared shingles; components by following links.
+OP10 = r"""
+with recursive worded as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from worded),
+elements as (select doc_id, unnest(s) as e from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from elements a join elements b on a.e = b.e and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b
+  where 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+reached(doc_id, r) as (select doc_id, doc_id from sets union select doc_id, b from reached join links on a = r)
+select sets.doc_id, any_value(len(s))::bigint as n_shingles, min(r) as component_id from sets join reached using (doc_id) group by sets.doc_id
+"""
+
+ORACLES["op10_jaccard"] = OP10
