@@ -13,6 +13,7 @@ from ledgerloom.llm.common import documents
 from ledgerloom.llm.decontam import contaminated
 from ledgerloom.llm.exact import exact_duplicates
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.rlindex import remove_repeated
 from ledgerloom.llm.simjoin import jaccard_components
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.llm.warc import read_bundles, write_bundles
@@ -22,6 +23,8 @@ WEIGHTS = {"src0": 0.10, "src1": 0.15, "src2": 0.15}
 REST, MIX_SEED = 0.60, 7
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 MIN_PAYLOAD = 0
+#: Bytes of a string that must not occur twice.
+REPEAT_BYTES = 400
 #: The most labelled documents that the classifier is fitted on.
 TRAINING_ROWS = 3000
 
@@ -64,6 +67,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated(documents(spark, sf_dir), length=REPEAT_BYTES)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(documents(spark, sf_dir), keep="largest")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -80,7 +88,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op6_decontamination, op8_exact, op9_tokens, op10_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op6_decontamination, op7_repeats, op8_exact, op9_tokens, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

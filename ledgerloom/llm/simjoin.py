@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SPACED, U64, cut, mix, text_blocks, words
 from ledgerloom.llm.components import components
-from ledgerloom.llm.sketch import KeyFilter, counted, pieces
+from ledgerloom.llm.sketch import counted, keyed_texts, pieces
 
 CELL_BITS = 20
 MINS = 10
@@ -128,24 +128,6 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, threshold: float, sent: Bro
             )
 
 
-def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Texts whose key may be among those wanted, each once in a task."""
-    wanted, seen = sent.value, set()
-    for batch in batches:
-        keys, take = [], []
-        for lo, _, buf, at in text_blocks(batch.column("text")):
-            raw = buf.tobytes()
-            for k in range(len(at) - 1):
-                key = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
-                if key in wanted and key not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    keys.append(key)
-                    take.append(lo + k)
-        if take:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text").take(pa.array(take))], ["key", "text"])
-
-
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links among rows sorted by hub, portion and role: the hub's own text comes before its spokes'."""
     hub, own = None, np.empty(0, U64)
@@ -190,8 +172,7 @@ class Join:
         spokes = pairs.join(cut(count, "hubs"), "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("role"), F.col("b").alias("spoke"))
         hubs = spokes.select("hub", "portion").distinct().select("hub", "portion", F.lit(0).alias("role"), F.col("hub").alias("spoke"))
         wanted = cut(spokes.unionByName(hubs).join(keys.withColumnRenamed("row", "spoke"), "spoke"), "wanted")
-        sent = self.spark.sparkContext.broadcast(KeyFilter.of(wanted))
-        texts = self.docs.select("text").mapInArrow(partial(_texts, sent=sent), "key binary, text string").dropDuplicates(["key"])
+        texts = keyed_texts(self.docs, wanted).dropDuplicates(["key"])
         sides = wanted.join(cut(texts, "texts"), "key").select("hub", "portion", "role", "spoke", "text")
         dealt = sides.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "role")
         return cut(dealt.mapInArrow(partial(_verify, n=self.n, percent=self.percent), "a long, b long"), "verified")

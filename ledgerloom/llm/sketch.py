@@ -7,9 +7,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import text_blocks
+
 PARTS = 32
 SCHEMA = "part int, salt int, cells binary"
 FILTER_BITS = 1 << 24
@@ -78,3 +82,30 @@ class KeyFilter:
 def counted(texts: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
     """Counts by cell that ``fill`` makes of each task's texts; a count above 65,535 stays there."""
     return merged(texts.mapInArrow(fill, SCHEMA), "uint16")
+
+
+def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Texts whose key may be among those wanted, each once in a task."""
+    wanted, seen = sent.value, set()
+    for batch in batches:
+        keys, take = [], []
+        for lo, _, buf, at in text_blocks(batch.column("text")):
+            raw = buf.tobytes()
+            for k in range(len(at) - 1):
+                key = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
+                if key in wanted and key not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    keys.append(key)
+                    take.append(lo + k)
+        if take:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text").take(pa.array(take))], ["key", "text"])
+
+
+def keyed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the documents whose key is among those of ``wanted``, and of few others.
+
+    The key is the 128-bit XXH3 of the UTF-8 bytes. An equal text comes once from each task.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))
+    return docs.select("text").mapInArrow(partial(_texts, sent=sent), "key binary, text string")
