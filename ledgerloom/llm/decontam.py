@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ALNUM, U64, mix, text_blocks, words
+from ledgerloom.llm.common import ALNUM, U64, keep_rows, mix, text_blocks, words
 
 SPAN, SHORTEST = 10, 5
 #: Kept positions of each mask.
@@ -122,33 +122,45 @@ def judge(equal: np.ndarray, item_words: int, least_words: int, least_equal: flo
     return (same, a, b) if b - a >= min(least_words, item_words) and same >= least_equal * (b - a) else None
 
 
+def found_in(own: Seeds, flags: list[tuple[np.ndarray, U64] | None], texts: pa.Array, least_words: int, least_equal: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text, item, equal words, aligned words, first byte, end byte) for each text of a column and item in it."""
+    for lo, _, buf, at in text_blocks(texts):
+        hashes, starts, ends, text = words(buf, at, ALNUM)
+        best: dict[tuple[int, int], tuple] = {}
+        for item, diagonal in own.hits(hashes, flags).tolist():
+            theirs = own.words[item]
+            # A hit may lie across the end of a text; each text under the item is judged by itself.
+            a, b = max(0, diagonal), min(len(hashes), diagonal + len(theirs))
+            for t in np.unique(text[a:b]).tolist():
+                first, end = a + int(np.searchsorted(text[a:b], t, "left")), a + int(np.searchsorted(text[a:b], t, "right"))
+                equal = hashes[first:end] == theirs[first - diagonal : end - diagonal]
+                if (said := judge(equal, len(theirs), least_words, least_equal)) is None:
+                    continue
+                same, x, y = said
+                new = (same, -int(starts[first + x] - at[t]), y - x, int(ends[first + y - 1] - at[t]))
+                if new > best.get((t, item), (0,)):
+                    best[t, item] = new
+        for (t, item), (same, first, size, end) in sorted(best.items()):
+            yield lo + t, item, same, size, -first, end
+
+
 def _match(batches: Iterator[pa.RecordBatch], sent: Broadcast, least_words: int, least_equal: float, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     own: Seeds = sent.value
     flags = own.filters()
     for batch in batches:
-        ids, rows = batch.column("id"), []
-        for lo, _, buf, at in text_blocks(batch.column("text")):
-            hashes, starts, ends, text = words(buf, at, ALNUM)
-            best: dict[tuple[int, int], tuple] = {}
-            for item, diagonal in own.hits(hashes, flags).tolist():
-                theirs = own.words[item]
-                # A hit may lie across the end of a text; each text under the item is judged by itself.
-                a, b = max(0, diagonal), min(len(hashes), diagonal + len(theirs))
-                for t in np.unique(text[a:b]).tolist():
-                    first, end = a + int(np.searchsorted(text[a:b], t, "left")), a + int(np.searchsorted(text[a:b], t, "right"))
-                    equal = hashes[first:end] == theirs[first - diagonal : end - diagonal]
-                    if (said := judge(equal, len(theirs), least_words, least_equal)) is None:
-                        continue
-                    same, x, y = said
-                    new = (same, -int(starts[first + x] - at[t]), y - x, int(ends[first + y - 1] - at[t]))
-                    if new > best.get((t, item), (0,)):
-                        best[t, item] = new
-            rows += [(ids[lo + t].as_py(), own.ids[item], same, size, -first, end) for (t, item), (same, first, size, end) in sorted(best.items())]
+        ids = batch.column("id")
+        rows = [(ids[t].as_py(), own.ids[item], *rest) for t, item, *rest in found_in(own, flags, batch.column("text"), least_words, least_equal)]
         if rows:
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "item_id", "equal_words", "aligned_words", "first_byte", "end_byte"])
 
 
+def _clean(texts: pa.Array, sent: Broadcast, least_words: int, least_equal: float) -> np.ndarray:
+    out = np.ones(len(texts), bool)
+    out[[t for t, *_ in found_in(sent.value, sent.value.filters(), texts, least_words, least_equal)]] = False
+    return out
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
     """The benchmark in blocks by a hash of the item's text, one in the driver at a time."""
     own = benchmark.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -182,3 +194,13 @@ def contaminated(
         for items in blocks_of(benchmark, item_col, item_text_col, block_words)
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 12, least_equal: float = 0.75, block_words: int = 2_000_000
+) -> DataFrame:
+    """The documents without any item of the benchmark, with all their columns; a pass for each block."""
+    context = docs.sparkSession.sparkContext
+    for items in blocks_of(benchmark, item_col, item_text_col, block_words):
+        docs = keep_rows(docs, text_col, partial(_clean, sent=context.broadcast(Seeds(items)), least_words=least_words, least_equal=least_equal))
+    return docs

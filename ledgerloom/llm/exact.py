@@ -91,3 +91,11 @@ def exact_duplicates(
     return answers.select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The documents that stay, with all their columns; of rows that tie by id and text one stays."""
+    found = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias("stays_id"), F.col("digest").alias("stays_digest")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    kept = own.join(found, (F.col("digest") == F.col("stays_digest")) & F.col("id").eqNullSafe(F.col("stays_id")), "left_semi")
+    return kept.dropDuplicates(["digest", "id"]).select("doc.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_blocks
+from ledgerloom.llm.common import keep_rows, text_blocks
 
 STRIDE, BLOCKS = 8, 3
 WIDTH = STRIDE * BLOCKS
@@ -37,6 +37,8 @@ PAD, DIM, FILTERS, HIDDEN = 256, 4, 24, 12
 #: Distances at which a byte is compared with an earlier one.
 LAGS = tuple(range(2, 18))
 SPANS, SPAN = 8, 1024
+#: Steps that a fit takes at least, in up to 60 rounds over the rows.
+LEAST_STEPS = 400
 BLOCK_IN = STRIDE * DIM + len(LAGS)
 
 
@@ -100,7 +102,7 @@ def answers(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray) -> np
 def pooled(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, first: np.ndarray) -> np.ndarray:
     said = answers(w, codes, lags)
     bounds = np.stack([first[:-1], first[1:] - (BLOCKS - 1)], axis=1).ravel()
-    return np.maximum(np.maximum.reduceat(said, bounds[:-1], axis=0)[::2], 0)
+    return np.maximum(np.maximum.reduceat(said[: bounds[-1]], bounds[:-1], axis=0)[::2], 0)
 
 
 def head(w: dict[str, np.ndarray], pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +137,13 @@ def gradients(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, fir
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 32, rate: float = 4e-3, seed: int = 5) -> Network:
-    """Adam over shuffled batches; deterministic for equal input."""
+    """Adam over shuffled batches, more often over few rows; deterministic for equal input."""
     y = np.array(labels, np.float32)
     if len(y) == 0:
         return Network()
     if y.min() == y.max():
         return Network(float(y[0]))
+    epochs = max(epochs, min(60, LEAST_STEPS * batch // len(y)))
     ready = [layout(b := np.frombuffer(t.encode(), np.uint8), np.array([0, len(b)])) for t in texts]
     w, rng = start(seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -165,13 +168,26 @@ def fit(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 32,
     return Network(float(y.mean()), {k: (x / taken).astype(np.float32) for k, x in mean.items()})
 
 
+def probabilities(texts: pa.Array, network: Network) -> np.ndarray:
+    scores = np.full(len(texts), network.prior)
+    if network.weights:
+        for lo, hi, buf, at in text_blocks(texts, 1 << 18):
+            scores[lo:hi] = head(network.weights, pooled(network.weights, *layout(buf, at)))[1]
+    return scores
+
+
 def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        scores = np.full(batch.num_rows, network.prior)
-        if network.weights:
-            for lo, hi, buf, at in text_blocks(batch.column("text"), 1 << 18):
-                scores[lo:hi] = head(network.weights, pooled(network.weights, *layout(buf, at)))[1]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], ["id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(probabilities(batch.column("text"), network))], ["id", "score"])
+
+
+def _good(texts: pa.Array, network: Network, least: float) -> np.ndarray:
+    return probabilities(texts, network) >= least
+
+
+def keep_good(docs: DataFrame, network: Network, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that score ``least`` and more, with all their columns."""
+    return keep_rows(docs, text_col, partial(_good, network=network, least=least))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -239,3 +239,13 @@ def jaccard_components(
     own = cut(own, "labelled")
     least = cut(own.groupBy("label").agg(F.min("id").alias("component_id")), "least")
     return own.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+    """One document of each component, with all its columns: that of the least id, null ids last."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    own = cut(docs.select(F.monotonically_increasing_id().alias("number"), columns, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")
+    found = jaccard_components(own, "number", "text", n, percent, rounds).select(F.col("id").alias("number"), "component_id")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "number")
+    stays = own.select("number", "id").join(found, "number").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.number").alias("number"))
+    return own.join(cut(stays, "stays"), "number", "left_semi").select("doc.*")
