@@ -1,0 +1,216 @@
+"""Transfers and duplicates: candidates, scores, assignment, fingerprints, fuzzy overlap."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.columns import cents, iso, ledger_time, percentile_index, squeezed, text
+from ledgerloom.operators import transfers as T
+from ledgerloom.operators.graph import components
+from ledgerloom.plans.registry import register
+from ledgerloom.sources.ledger import Ledger, duck
+
+HINT = r"(?i)(^|[^\p{L}\p{N}_])(перевод|сбп|sbp|transfer|p2p)($|[^\p{L}\p{N}_])|между\s+своими|собственн(ых|ые)\s+средств|between\s+accounts"
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+SQL_SIDES = f"""sides as (select id, account_id, currency, direction, coalesce(operation_datetime, posting_datetime, created_at) as at, (abs(amount) * 100)::bigint as cents, lower(trim(bank_reference_id)) as ref,
+  regexp_matches(description_raw || ' ' || bank_category, '{HINT}') as hint,
+  list_filter(list_distinct(regexp_extract_all(lower(description_raw), '[0-9a-zа-я]{{3,}}')), lambda w: not list_contains({STOP}, w)) as tokens from {{transactions}}),
+pairs as (select o.id as out_id, i.id as in_id, o.account_id as out_account, i.account_id as in_account, abs(epoch_us(i.at) - epoch_us(o.at)) / 1000000.0::double as delta_s, abs(o.cents - i.cents) as delta_cents, least(1000, greatest(1, greatest(o.cents, i.cents) // 200)) as allowed,
+  o.hint as out_hint, i.hint as in_hint, o.at::date = i.at::date as same_day, o.hint::int + i.hint::int as hints, (o.ref <> '' and o.ref = i.ref)::int as ref_match, len(list_intersect(o.tokens, i.tokens)) as overlap, (i.at >= o.at)::int as forward
+  from sides o join sides i on o.direction = 'out' and i.direction = 'in' and o.account_id <> i.account_id and o.currency = i.currency
+  where abs(epoch_us(i.at) - epoch_us(o.at)) <= 172800000000 and abs(o.cents - i.cents) <= least(1000, greatest(1, greatest(o.cents, i.cents) // 200))),
+scored as (select *, least(0.99::double, 0.20::double + greatest(0.7::double, least(1.0::double, 1.0::double - delta_cents::double / allowed::double)) * 0.35::double
+  + case when delta_s <= 300 then 0.25::double when delta_s <= 1800 then 0.18::double when delta_s <= 7200 then 0.12::double when delta_s <= 86400 then 0.05::double else 0.02::double end
+  + case when out_hint then 0.1::double else 0 end + case when in_hint then 0.1::double else 0 end + case when same_day then 0.04::double else 0 end) as score from pairs)"""
+
+
+def thousandths() -> Column:
+    """The score in whole thousandths: what doubles differ by in their last digits doesn't show."""
+    return F.floor(F.col("score") * 1000 + 0.000001).alias("score_m")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.scored(T.candidates(Ledger(spark, sf_dir).transactions))
+
+
+@register("transfer_hints", duck(f"with {SQL_SIDES} select direction, hint, count(*) as n_tx from sides group by all"))
+def transfer_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hint = F.concat_ws(" ", "description_raw", "bank_category").rlike(T.HINT)
+    return Ledger(spark, sf_dir).transactions.groupBy("direction", hint.alias("hint")).agg(F.count("*").alias("n_tx"))
+
+
+@register("transfer_candidates", duck(f"with {SQL_SIDES} select out_id, in_id, delta_s, delta_cents, allowed from pairs"))
+def transfer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.candidates(Ledger(spark, sf_dir).transactions).select("out_id", "in_id", "delta_s", "delta_cents", "allowed")
+
+
+@register("transfer_scores", duck(f"with {SQL_SIDES} select out_id, in_id, floor(score * 1000 + 0.000001::double)::bigint as score_m, hints, ref_match, overlap, forward from scored"))
+def transfer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("out_id", "in_id", thousandths(), "hints", "ref_match", "overlap", "forward")
+
+
+@register("viable_pairs", duck(f"with {SQL_SIDES} select out_id, in_id, floor(score * 1000 + 0.000001::double)::bigint as score_m from scored where round(score, 9) >= 0.8"))
+def viable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viable(spark, sf_dir).select("out_id", "in_id", thousandths())
+
+
+def viable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).where(F.round("score", 9) >= T.VIABLE)
+
+
+@register("counterparty_overlap", duck(f"with {SQL_SIDES} select overlap, count(*) as n_pairs from pairs group by 1"))
+def counterparty_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).groupBy("overlap").agg(F.count("*").alias("n_pairs"))
+
+
+SQL_RANK = "round(score, 9) desc, hints desc, ref_match desc, overlap desc, forward desc, delta_s, delta_cents, out_id, in_id"
+
+
+@register("mutual_best", duck(f"with {SQL_SIDES} select out_id, in_id, floor(score * 1000 + 0.000001::double)::bigint as score_m from scored where round(score, 9) >= 0.8 qualify row_number() over (partition by out_id order by {SQL_RANK}) = 1 and row_number() over (partition by in_id order by {SQL_RANK}) = 1"))
+def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that are each other's best."""
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*T.rank_order()))
+    ranked = viable(spark, sf_dir).withColumns({"of_out": first("out_id"), "of_in": first("in_id")})
+    return ranked.where("of_out = 1 and of_in = 1").select("out_id", "in_id", thousandths())
+
+
+@register("pair_lane_counts", duck(f"with {SQL_SIDES} select out_account, in_account, count(*) as n_pairs, sum(forward)::bigint as n_forward from scored where round(score, 9) >= 0.74 group by all"))
+def pair_lane_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).where(F.round("score", 9) >= 0.74).groupBy("out_account", "in_account").agg(F.count("*").alias("n_pairs"), F.sum("forward").alias("n_forward"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = viable(spark, sf_dir)
+    labels = components(edges.select(F.col("out_id").alias("a"), F.col("in_id").alias("b")))
+    return edges.join(labels.withColumnRenamed("node", "out_id"), "out_id")
+
+
+@register("transfer_components", duck(f"""with recursive {SQL_SIDES}, edges as (select out_id as a, in_id as b from scored where round(score, 9) >= 0.8 union select in_id, out_id from scored where round(score, 9) >= 0.8),
+reached(node, r) as (select a, a from edges union select node, b from reached join edges on a = r) select node, min(r) as label from reached group by 1"""))
+def transfer_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(viable(spark, sf_dir).select(F.col("out_id").alias("a"), F.col("in_id").alias("b")))
+
+
+@register("transfer_assign")
+def transfer_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One inflow for each outflow at most: exact in small components, greedy by rank in others."""
+    order = F.row_number().over(Window.partitionBy("label").orderBy(*T.rank_order()))
+    ranked = labelled(spark, sf_dir).select("label", "out_id", "in_id", "score", "hints", order.alias("rank"))
+    chosen = ranked.groupBy("label").applyInPandas(T.assign, "label string, out_id string, in_id string, score double, hints int")
+    status = F.when((F.round("score", 9) >= 0.92) & (F.col("hints") > 0), "auto").otherwise("suggested")
+    return chosen.select("out_id", "in_id", thousandths(), status.alias("status"))
+
+
+SQL_LANES = """lanes as (select o.account_id as out_account, i.account_id as in_account, abs(epoch(coalesce(i.operation_datetime, i.created_at)) - epoch(coalesce(o.operation_datetime, o.created_at))) as delay, o.description_raw
+  from {transfer_links} l join {transactions} o on o.id = l.transaction_out_id join {transactions} i on i.id = l.transaction_in_id where l.status = 'confirmed')"""
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed links with their accounts and the delay between their two sides."""
+    ledger = Ledger(spark, sf_dir)
+    at = F.unix_micros(F.coalesce("operation_datetime", "created_at").cast("timestamp")) / 1_000_000
+    end = lambda side: ledger.transactions.select(F.col("id").alias(f"transaction_{side}_id"), F.col("account_id").alias(f"{side}_account"), at.alias(f"{side}_at"), F.col("description_raw").alias(f"{side}_text"))
+    both = ledger.transfer_links.where("status = 'confirmed'").join(end("out"), "transaction_out_id").join(end("in"), "transaction_in_id")
+    return both.withColumn("delay", F.abs(F.col("in_at") - F.col("out_at")))
+
+
+@register("lane_priors", duck(f"""with {SQL_LANES} select out_account, in_account, count(*) as n,
+  greatest(1800, coalesce(nullif(list_sort(list(delay))[floor((count(*) - 1) * 0.9::double)::int + 1], 0), 86400))::double as window_s from lanes group by all"""))
+def lane_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an account pays another, and how long that takes: the ninth tenth by lower index, half an hour at least."""
+    late = F.coalesce(F.nullif(percentile_index(F.collect_list("delay"), 0.9), F.lit(0.0)), F.lit(86400.0))
+    return lanes(spark, sf_dir).groupBy("out_account", "in_account").agg(F.count("*").alias("n"), F.greatest(F.lit(1800.0), late).alias("window_s"))
+
+
+@register("lane_patterns", duck(f"""with {SQL_LANES}, words as (select out_account, unnest(list_distinct(regexp_extract_all(lower(description_raw), '[0-9a-zа-я]{{3,}}'))) as token from lanes)
+select out_account, token, count(*) as n from words group by 1, 2 qualify row_number() over (partition by out_account order by count(*) desc, token) <= 8"""))
+def lane_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("out_text"), F.lit("[0-9a-zа-я]{3,}"), F.lit(0))))
+    counts = lanes(spark, sf_dir).select("out_account", token.alias("token")).groupBy("out_account", "token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("out_account").orderBy(F.desc("n"), "token"))
+    return counts.withColumn("place", place).where("place <= 8").drop("place")
+
+
+@register("mark_internal", duck("""select id, 'internal_transfer' as meaning from {transactions} where id in (
+  select unnest([transaction_out_id, transaction_in_id]) from {transfer_links} where status in ('auto', 'confirmed'))"""))
+def mark_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = Ledger(spark, sf_dir)
+    ids = ledger.transfer_links.where(F.col("status").isin("auto", "confirmed")).select(F.explode(F.array("transaction_out_id", "transaction_in_id")).alias("id"))
+    return ledger.transactions.join(ids, "id", "left_semi").select("id", F.lit("internal_transfer").alias("meaning"))
+
+
+@register("set_except_linked", duck("select id from {transactions} where id not in (select unnest([transaction_out_id, transaction_in_id]) from {transfer_links})"))
+def set_except_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = Ledger(spark, sf_dir)
+    ids = ledger.transfer_links.select(F.explode(F.array("transaction_out_id", "transaction_in_id")).alias("id"))
+    return ledger.transactions.join(ids, "id", "left_anti").select("id")
+
+
+SQL_PRINT = """sha256('v1|' || account_id || '|' || currency || '|' || direction || '|' || (amount * 100)::bigint || '|' || coalesce(strftime(operation_datetime, '%Y-%m-%dT%H:%M:%S'), '') || '|' || coalesce(strftime(posting_datetime, '%Y-%m-%dT%H:%M:%S'), '')
+  || '|' || lower(trim(bank_reference_id)) || '|' || lower(trim(regexp_replace(description_raw, '\\s+', ' ', 'g'))) || '|' || lower(trim(bank_category)))"""
+
+
+def fingerprint() -> Column:
+    """A digest of what makes a transaction; missing parts are empty."""
+    parts = [F.lit("v1"), text("account_id"), text("currency"), text("direction"), cents(F.col("amount")).cast("string"), iso(F.col("operation_datetime")), iso(F.col("posting_datetime"))]
+    return F.sha2(F.concat_ws("|", *parts, *[squeezed(F.col(c)) for c in ("bank_reference_id", "description_raw", "bank_category")]), 256)
+
+
+@register("fingerprint", duck(f"select id, {SQL_PRINT} as print from {{transactions}}"))
+def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Ledger(spark, sf_dir).transactions.select("id", fingerprint().alias("print"))
+
+
+@register("exact_dedupe", duck(f"select min(id) as keep_id, count(*) as n_same, min(amount) as amount from {{transactions}} group by account_id, {SQL_PRINT}"))
+def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of transactions with one fingerprint the first stays, the others are linked to it."""
+    groups = Ledger(spark, sf_dir).transactions.groupBy("account_id", fingerprint().alias("print"))
+    return groups.agg(F.min("id").alias("keep_id"), F.count("*").alias("n_same"), F.min("amount").alias("amount")).drop("account_id", "print")
+
+
+@register("synthetic_refs", duck("""select id, case when n > 1 then substr(sha1('stmtdup|' || statement_id || '|' || raw_text || '|' || direction || '|' || k), 1, 24) else '' end as ref from (
+  select *, count(*) over g as n, row_number() over (partition by statement_id, raw_text, direction order by id) as k from {statement_rows} window g as (partition by statement_id, raw_text, direction))"""))
+def synthetic_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal rows of one statement get references by their place, so that they stay apart."""
+    group = Window.partitionBy("statement_id", "raw_text", "direction")
+    rows = Ledger(spark, sf_dir).statement_rows.withColumns({"n": F.count("*").over(group), "k": F.row_number().over(group.orderBy("id"))})
+    ref = F.substring(F.sha1(F.concat_ws("|", F.lit("stmtdup"), "statement_id", "raw_text", "direction", F.col("k").cast("string"))), 1, 24)
+    return rows.select("id", F.when(F.col("n") > 1, ref).otherwise("").alias("ref"))
+
+
+SQL_TOKENS = "list_filter(list_distinct(regexp_extract_all(lower(%s), '[0-9a-zа-я]{3,}')), lambda w: not regexp_full_match(w, '[0-9]+'))"
+
+
+def tokens(value: Column) -> Column:
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit("[0-9a-zа-я]{3,}"), F.lit(0))), lambda w: ~w.rlike("^[0-9]+$"))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """What two sets of words share, of the smaller; of both together where that has one word."""
+    same, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    whole = F.size(F.array_union(a, b))
+    return F.when(least == 0, 0.0).when(least < 2, same / whole).otherwise(same / least)
+
+
+SQL_FUZZY = f"""with c as (select id, amount, currency, direction, operation_date as at, {SQL_TOKENS % "raw_text || ' ' || 'purchase item'"} as w from {{statement_rows}} where id like '%_b'),
+e as (select id, amount, currency, direction, coalesce(operation_datetime, created_at) as at, {SQL_TOKENS % "description_raw || ' ' || merchant_normalized"} as w from {{transactions}}),
+s as (select c.id as row_id, e.id as tx_id, abs(date_diff('day', c.at::date, e.at::date)) as days,
+  case when least(len(c.w), len(e.w)) = 0 then 0 when least(len(c.w), len(e.w)) < 2 then len(list_intersect(c.w, e.w))::double / len(list_distinct(list_concat(c.w, e.w))) else len(list_intersect(c.w, e.w))::double / least(len(c.w), len(e.w)) end as sim
+  from c join e on c.amount = e.amount and c.currency = e.currency and c.direction = e.direction where abs(date_diff('day', c.at::date, e.at::date)) <= 2),
+r as (select *, row_number() over w as k, coalesce(lead(sim) over w, 0) as second from s where sim >= 0.5 window w as (partition by row_id order by sim desc, days, tx_id))
+select row_id, tx_id, days, round(sim, 6) as sim, case when round(sim - second, 9) >= 0.1 then 'auto' else 'needs_review' end as verdict from r where k = 1"""
+
+
+@register("fuzzy_overlap", duck(SQL_FUZZY))
+def fuzzy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that may be known transactions: equal amount, currency and direction, near in time, alike in words."""
+    ledger = Ledger(spark, sf_dir)
+    key = ["amount", "currency", "direction"]
+    rows = ledger.statement_rows.where(F.col("id").endswith("_b")).select(F.col("id").alias("row_id"), *key, F.to_date("operation_date").alias("on"), tokens(F.concat_ws(" ", "raw_text", F.lit("purchase item"))).alias("w"))
+    known = ledger.transactions.select(F.col("id").alias("tx_id"), *key, F.to_date(F.coalesce("operation_datetime", "created_at")).alias("known_on"), tokens(F.concat_ws(" ", "description_raw", "merchant_normalized")).alias("v"))
+    near = rows.join(known, key).withColumn("days", F.abs(F.datediff("on", "known_on"))).where("days <= 2").withColumn("sim", similarity(F.col("w"), F.col("v"))).where("sim >= 0.5")
+    order = Window.partitionBy("row_id").orderBy(F.desc("sim"), "days", "tx_id")
+    ranked = near.withColumns({"k": F.row_number().over(order), "second": F.lead("sim", 1, 0.0).over(order)}).where("k = 1")
+    verdict = F.when(F.round(F.col("sim") - F.col("second"), 9) >= 0.1, "auto").otherwise("needs_review")
+    return ranked.select("row_id", "tx_id", "days", F.round("sim", 6).alias("sim"), verdict.alias("verdict"))

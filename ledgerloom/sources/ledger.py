@@ -112,12 +112,12 @@ BASE = ("events", "orders", "lineitem", "customer", "nation")
 
 def expand(text: str) -> str:
     """A text in which only base tables are left in braces."""
-    return re.sub(r"\{(\w+)\}", lambda m: m[0] if m[1] in BASE else f"({expand(TEXTS[m[1]])})", text)
+    return re.sub(r"\{(\w+)\}", lambda m: f"({expand(TEXTS[m[1]])})" if m[1] in TEXTS else m[0], text)
 
 
 def duck(text: str) -> str:
     """The SQL for DuckDB, where base tables are views of their own names."""
-    return re.sub(r"\{(\w+)\}", r"\1", expand(text))
+    return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in BASE else m[0], expand(text))
 
 
 class Ledger:
