@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, partial
 from uuid import uuid4
 
@@ -26,9 +27,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     A table that is read again also has no partitioning that a join could rely on, so that both
     sides of the join are shuffled and Spark may split the partitions of a hot key.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    with shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within leave no shuffle files: what they made is in a table or in the driver."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

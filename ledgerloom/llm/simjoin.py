@@ -9,8 +9,8 @@ can still share from a common element on is at most what the shorter rest holds;
 by size, the smaller set of a pair must have the element within the first seventh (for 0.75), and pairs
 of entries whose rests are too short are skipped.
 
-Skipping by answers: sets that are likely alike (equal MinHash values) are first compared with one
-representative each, and linked sets form classes. A list all of whose sets are in one class is
+Skipping by answers: sets that are likely alike (equal MinHash values) are first compared with a few
+others each, and linked sets form classes. A list all of whose sets are in one class is
 skipped as a whole, and in others only pairs of sets of different classes are looked at: that a set
 belongs with its likes answers for all the pairs among them. What is left is verified pair by pair.
 
@@ -30,19 +30,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SPACED, U64, cut, mix, text_blocks, words
 from ledgerloom.llm.components import components
-from ledgerloom.llm.sketch import counted, keyed_texts, pieces
+from ledgerloom.llm.sketch import NumberFilter, counted, keyed_texts, pieces
 
-CELL_BITS = 20
-MINS = 10
-#: A representative's sets are verified in portions of about so many.
+#: Elements are counted by the top 26 bits of their hashes, as far as the first five sixteenths: a prefix ends
+#: about a quarter of the way, and where it ends later its set has few rare elements.
+CELL_SHIFT, CELLS = U64(38), 5 << 22
+MINS = 12
+#: MinHash values that two sets share if they are compared before the lists are read, and partners of a set then.
+LIKELY, PARTNERS = 5, 6
+#: Sets are verified in portions of about so many.
 PORTION = 400
+#: Sets of a class that is met as a whole.
+LARGE = 50
 SETS = "id {0}, n long, key binary, signature binary, mins array<long>, prefix array<long>"
 
 
@@ -70,23 +77,23 @@ def shingles(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    salt = 0
+    cells, seen = np.zeros(CELLS, np.uint8), 0
     for batch in batches:
         for _, _, buf, at in text_blocks(batch.column("text")):
             value, _ = shingles(buf, at, n)
-            cells += np.bincount((value >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-            salt += len(value)
-    yield from pieces(np.minimum(cells, 65535).astype(np.uint16), salt % 8)
+            own, times = np.unique((value >> CELL_SHIFT).astype(np.int64), return_counts=True)
+            own, times = own[own < CELLS], times[own < CELLS]
+            cells[own] = np.minimum(cells[own] + times, 255)
+            seen += len(value)
+    yield from pieces(cells, seen % 8)
 
 
 def levels(cells: np.ndarray) -> np.ndarray:
     """0 for cells of common size; for those above, how often twice the excess that chance explains."""
-    counts = cells.astype(float)
-    middle = np.median(counts) if len(counts) else 0.0
-    slack = 8 * np.sqrt(middle) + 16
-    over = np.maximum(counts - middle, 1e-9) / slack
-    return np.where(over <= 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(np.uint8)
+    middle = float(cells.mean())
+    slack = 6 * np.sqrt(middle) + 6
+    over = np.maximum((np.arange(256) - middle) / slack, 1e-9)
+    return np.where(over <= 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(np.uint8)[cells]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, threshold: float, sent: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, threshold: float, sent: Bro
             full = np.flatnonzero(size)
             mins = np.stack([np.minimum.reduceat(mix(value ^ s), (end - size)[full]) for s in seeds], axis=1) if len(full) else np.empty((0, MINS), U64)
             # Rarest first, then by value, text after text.
-            rank = of * 16 + (level[(value >> U64(64 - CELL_BITS)).astype(np.int64)] if len(level) else 0)
+            cell = (value >> CELL_SHIFT).astype(np.int64)
+            rank = of * 16
+            rank[cell < CELLS] += level[cell[cell < CELLS]]
             ordered = value[np.argsort(rank, kind="stable")].view(np.int64)
             keep = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             raw, whole = buf.tobytes(), value.tobytes()
@@ -128,28 +137,68 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, threshold: float, sent: Bro
             )
 
 
+class Hubs:
+    """The sets that a portion's spokes are held against, as one index of their elements."""
+
+    def __init__(self) -> None:
+        self.rows: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.values: np.ndarray | None = None
+
+    def add(self, row: int, values: np.ndarray) -> None:
+        self.rows.append(row)
+        self.sets.append(values.copy())
+        self.values = None
+
+    def first_link(self, theirs: np.ndarray, percent: int) -> int | None:
+        """The first of the sets that links with another."""
+        if self.values is None:
+            values, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            order = np.argsort(values, kind="stable")
+            self.values, self.owner, self.sizes = values[order], owner[order], np.array([len(x) for x in self.sets])
+        lo, hi = np.searchsorted(self.values, theirs, "left"), np.searchsorted(self.values, theirs, "right")
+        n = hi - lo
+        same = np.bincount(self.owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(self.sizes))
+        linked = np.flatnonzero((same > 0) & (100 * same >= percent * (self.sizes + len(theirs) - same)))
+        return self.rows[linked[0]] if len(linked) else None
+
+
 def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by hub, portion and role: the hub's own text comes before its spokes'."""
-    hub, own = None, np.empty(0, U64)
+    """Links among rows sorted by group, portion and role: the hubs of a portion come before its spokes.
+
+    Of the hubs that a spoke links with one is named: they are one set, or sets of one class.
+    """
+    at_hand, hubs = None, Hubs()
     for batch in batches:
-        hubs, portions, roles, spokes = (batch.column(c).to_numpy() for c in ("hub", "portion", "role", "spoke"))
+        groups, portions, roles, rows = (batch.column(c).to_numpy() for c in ("hub", "portion", "role", "spoke"))
         a, b = [], []
         for lo, hi, buf, at in text_blocks(batch.column("text")):
             value, of = shingles(buf, at, n)
             bound = np.searchsorted(of, np.arange(hi - lo + 1))
             for k in range(hi - lo):
-                theirs = value[bound[k] : bound[k + 1]]
+                own, here = value[bound[k] : bound[k + 1]], (groups[lo + k], portions[lo + k])
+                if here != at_hand:
+                    at_hand, hubs = here, Hubs()
                 if roles[lo + k] == 0:
-                    hub, own = (hubs[lo + k], portions[lo + k]), theirs.copy()
-                elif (hubs[lo + k], portions[lo + k]) == hub and len(own) and len(theirs):
-                    spot = np.searchsorted(own, theirs)
-                    same = int((own[np.minimum(spot, len(own) - 1)] == theirs).sum())
-                    if 100 * same >= percent * (len(own) + len(theirs) - same):
-                        a.append(hubs[lo + k])
-                        b.append(spokes[lo + k])
+                    hubs.add(rows[lo + k], own)
+                elif hubs.rows and (linked := hubs.first_link(own, percent)) is not None:
+                    a.append(linked)
+                    b.append(rows[lo + k])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _entries(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Entries of the lists that are wanted, and of few others."""
+    for batch in batches:
+        prefix = batch.column("prefix")
+        size = pc.list_value_length(prefix).to_numpy()
+        element = prefix.flatten().to_numpy()
+        at = np.arange(len(element)) - np.repeat(np.cumsum(size) - size, size)
+        take = sent.value.may_hold(element)
+        of = pa.array(np.repeat(np.arange(len(size)), size)[take])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("row", "n", "class")), pa.array(at[take]), pa.array(element[take])], ["row", "n", "class", "at", "element"])
+
+
 class Join:
     """The steps of the join over one table of documents; rows of its sets are numbered."""
 
@@ -157,25 +206,33 @@ class Join:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         context = self.spark.sparkContext
-        cells = counted(self.docs.select("text"), partial(_count, n=n))
+        cells = counted(self.docs.select("text"), CELLS, partial(_count, n=n))
         sets = self.docs.mapInArrow(partial(_sets, n=n, threshold=percent / 100, sent=context.broadcast(levels(cells))), SETS.format(self.docs.schema["id"].dataType.simpleString()))
         self.sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs of rows that link. The text of a goes to each portion of its partners."""
-        keys = self.sets.select("row", "key")
-        pairs = pairs.select("a", "b").distinct()
+        pairs = cut(pairs.select("a", "b").distinct(), "pairs")
         count = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / PORTION).cast("int").alias("portions"))
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            return pairs
         spokes = pairs.join(cut(count, "hubs"), "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("role"), F.col("b").alias("spoke"))
         hubs = spokes.select("hub", "portion").distinct().select("hub", "portion", F.lit(0).alias("role"), F.col("hub").alias("spoke"))
-        wanted = cut(spokes.unionByName(hubs).join(keys.withColumnRenamed("row", "spoke"), "spoke"), "wanted")
+        return self.dealt(spokes.unionByName(hubs))
+
+    def verify_classes(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of (row, class) pairs: a class is cut into portions, and the row's text goes to each."""
+        pairs = cut(pairs.distinct(), "pairs")
+        count = members.groupBy("class").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+        count = cut(count.join(pairs.select("class").distinct(), "class", "left_semi"), "portions")
+        spokes = pairs.join(count, "class").select(F.col("class").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(1).alias("role"), F.col("row").alias("spoke"))
+        hubs = members.join(count, "class").select(F.col("class").alias("hub"), F.pmod(F.xxhash64("row"), F.col("portions")).cast("int").alias("portion"), F.lit(0).alias("role"), F.col("row").alias("spoke"))
+        return self.dealt(spokes.unionByName(hubs))
+
+    def dealt(self, sides: DataFrame) -> DataFrame:
+        wanted = cut(sides.join(self.sets.select(F.col("row").alias("spoke"), "key"), "spoke"), "wanted")
         texts = keyed_texts(self.docs, wanted).dropDuplicates(["key"])
-        sides = wanted.join(cut(texts, "texts"), "key").select("hub", "portion", "role", "spoke", "text")
-        dealt = sides.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "role")
-        return cut(dealt.mapInArrow(partial(_verify, n=self.n, percent=self.percent), "a long, b long"), "verified")
+        both = wanted.join(texts, "key").select("hub", "portion", "role", "spoke", "text")
+        sorted_ = both.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "role")
+        return cut(sorted_.mapInArrow(partial(_verify, n=self.n, percent=self.percent), "a long, b long"), "verified")
 
     def equal_sets(self) -> DataFrame:
         own = self.sets.where("signature is not null").select("signature", "row")
@@ -183,57 +240,89 @@ class Join:
         return cut(own.join(first, "signature").where("a <> row").select("a", F.col("row").alias("b")), "equals")
 
     def alike(self, classes: DataFrame | None, salt: int) -> DataFrame:
-        """(a, b): for each set that shares MinHash values with others, the representative it shares most with."""
+        """(a, b): for each set up to ``PARTNERS`` of other classes that its MinHash values make likely to link.
+
+        Each list of equal values stands under one of its sets, chosen by a hash of list and set: all the
+        sets of a large group get different partners, and the pairs are no more than the sets' values.
+        """
         own = self.sets.where("prefix is not null").select("row", "mins")
         if classes is not None:
-            own = own.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("label", "row"))
+            own = own.join(classes.withColumnRenamed("node", "row"), "row", "left").select("row", "mins", F.coalesce("label", "row").alias("class"))
         else:
             own = own.withColumn("class", F.col("row"))
         each = cut(own.select("row", "class", F.posexplode("mins").alias("k", "value")), "mins")
-        order = F.struct(F.xxhash64(F.lit(salt), F.col("class")).alias("h"), "class", "row")
-        first = each.groupBy("k", "value").agg(F.min(order).alias("f"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("k", "value", "f.row", "f.class")
-        first = cut(first.withColumnRenamed("row", "a").withColumnRenamed("class", "a_class"), "firsts")
-        votes = each.join(first, ["k", "value"]).where("class <> a_class").groupBy("row", "a").agg(F.count("*").alias("n"))
-        return votes.groupBy(F.col("row").alias("b")).agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+        order = F.struct(F.xxhash64(F.lit(salt), "k", "row").alias("h"), "row", "class")
+        first = each.groupBy("k", "value").agg(F.min(order).alias("f"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+        first = cut(first.select("k", "value", F.col("f.row").alias("a"), F.col("f.class").alias("a_class")), "firsts")
+        pairs = each.join(first, ["k", "value"]).where("class <> a_class").select("a", "row").distinct()
+        mins = lambda name, as_name: self.sets.select(F.col("row").alias(name), F.col("mins").alias(as_name))
+        both = cut(pairs, "tries").join(mins("row", "mins"), "row").join(mins("a", "a_mins"), "a")
+        equal = F.size(F.filter(F.arrays_zip("mins", "a_mins"), lambda z: z["mins"] == z["a_mins"]))
+        likely = both.select("a", F.col("row").alias("b"), equal.alias("equal")).where(F.col("equal") >= LIKELY)
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("equal"), "a"))
+        return likely.withColumn("place", place).where(F.col("place") <= PARTNERS).select("a", "b")
 
     def left(self, classes: DataFrame) -> DataFrame:
-        """Pairs of sets of different classes that share an element of their prefixes and whose rests are long enough."""
+        """Links between sets of different classes that share an element of their prefixes.
+
+        Entries of small classes are paired; a class of ``LARGE`` sets and more is met as a whole: of each
+        list it has, by block, the bounds that its entries allow, and a set within them is held against the
+        class.
+        """
+        t = self.percent
         own = self.sets.where("prefix is not null").select("row", "n", "prefix")
         own = own.join(classes.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "prefix", F.coalesce("label", "row").alias("class"))
-        own = cut(own, "classed")
         entries = own.select("class", F.explode("prefix").alias("element"))
         # Lists with sets of more than one class; the others hold no new answer.
         lists = cut(entries.groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("element"), "lists")
-        entries = own.select("row", "n", "class", F.posexplode("prefix").alias("at", "element")).join(lists, "element")
-        t = self.percent
+        sent = self.spark.sparkContext.broadcast(NumberFilter.of(lists))
+        entries = own.mapInArrow(partial(_entries, sent=sent), "row long, n long, class long, at long, element long").join(lists, "element")
+        members = cut(own.select("row", "class"), "members")
+        large = cut(members.groupBy("class").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("class", F.lit(True).alias("large")), "large")
         # Sizes of a block differ by less than the threshold allows: partners are in the same block or the next.
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / t)) + 1e-9)
-        entries = cut(entries.withColumn("block", block).withColumn("rest", F.col("n") - F.col("at")), "entries")
-        # Twice the share, of the sizes together, that two sets must have in common.
+        entries = entries.join(large, "class", "left").withColumns({"block": block, "rest": F.col("n") - F.col("at"), "large": F.coalesce("large", F.lit(False))})
+        entries = cut(entries, "entries")
+        # Of both sizes together so much must be in common.
         enough = lambda rest, sizes: (100 + t) * rest >= t * sizes
-        small = entries.where(enough(F.col("rest"), 2 * F.col("n"))).select(
+
+        few = entries.where("not large")
+        small = few.where(enough(F.col("rest"), 2 * F.col("n"))).select(
             "element", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"small_{c}") for c in ("row", "n", "class", "rest")]
         )
-        both = small.join(entries, ["element", "block"]).where(
+        both = small.join(few, ["element", "block"]).where(
             (F.col("class") != F.col("small_class"))
             & ((F.col("small_n") < F.col("n")) | ((F.col("small_n") == F.col("n")) & (F.col("small_row") < F.col("row"))))
             & (100 * F.col("small_n") >= t * F.col("n"))
             & enough(F.least("rest", "small_rest"), F.col("n") + F.col("small_n"))
         )
-        return both.select(F.col("row").alias("a"), F.col("small_row").alias("b"))
+        links = self.verify(both.select(F.col("row").alias("a"), F.col("small_row").alias("b")))
+        if large.isEmpty():
+            return links
+
+        bounds = entries.where("large").groupBy("element", "block", F.col("class").alias("their_class")).agg(F.max("rest").alias("their_rest"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+        sides = entries.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+        met = sides.join(cut(bounds, "bounds"), ["element", "block"]).where(
+            (~F.col("large") & (F.col("class") != F.col("their_class")) | (F.col("large") & (F.col("class") < F.col("their_class"))))
+            & (100 * F.col("least_n") <= 100 * 100 * F.col("n") / t)
+            & (100 * F.col("most_n") >= t * F.col("n"))
+            & enough(F.least("rest", "their_rest"), F.col("n") + F.col("least_n"))
+        )
+        pairs = met.select("row", F.col("their_class").alias("class"))
+        return links.unionByName(self.verify_classes(pairs, members.join(large.select("class"), "class", "left_semi")))
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 1
 ) -> DataFrame:
     """(id, n_shingles, component_id) of each row; sets link when 100 * intersection >= percent * union."""
     join = Join(docs, id_col, text_col, n, percent)
     links = join.equal_sets()
-    classes = components(links)
+    classes = links.select(F.col("b").alias("node"), F.col("a").alias("label")).union(links.select("a", "a").distinct())
     for salt in range(rounds):
         links = links.unionByName(join.verify(join.alike(classes, salt)))
         classes = components(links)
-    links = links.unionByName(join.verify(join.left(classes)))
+    links = links.unionByName(join.left(classes))
     classes = components(links)
     own = join.sets.select("row", "id", "n").join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     own = cut(own, "labelled")
@@ -241,7 +330,7 @@ def jaccard_components(
     return own.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 1) -> DataFrame:
     """One document of each component, with all its columns: that of the least id, null ids last."""
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     own = cut(docs.select(F.monotonically_increasing_id().alias("number"), columns, F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")

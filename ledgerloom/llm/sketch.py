@@ -8,11 +8,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_blocks
+from ledgerloom.llm.common import U64, mix, shuffles_go, text_blocks
 
 PARTS = 32
 SCHEMA = "part int, salt int, cells binary"
@@ -20,16 +21,22 @@ FILTER_BITS = 1 << 24
 
 
 def pieces(cells: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-    """An array as rows of its parts."""
+    """An array as compressed rows of its parts; parts of zeros are left out."""
     for k, part in enumerate(np.split(cells, PARTS)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "salt", "cells"])
+        if part.any():
+            packed = zstandard.ZstdCompressor(level=1).compress(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed], pa.binary())], ["part", "salt", "cells"])
+
+
+def unpacked(cells: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cells), kind)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], kind: str, how: str) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for part, salt, cells in zip(batch.column("part").to_pylist(), batch.column("salt").to_pylist(), batch.column("cells"), strict=True):
-            own = np.frombuffer(cells.as_py(), kind)
+            own = unpacked(cells.as_py(), kind)
             if (part, salt) not in sums:
                 sums[part, salt] = own.copy()
             elif how == "or":
@@ -38,16 +45,20 @@ def _merge(batches: Iterator[pa.RecordBatch], kind: str, how: str) -> Iterator[p
                 # Sums stay at the greatest value of the kind.
                 np.add(sums[part, salt], np.minimum(own, np.iinfo(kind).max - sums[part, salt]), out=sums[part, salt])
     for (part, _), cells in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["part", "salt", "cells"])
+        packed = zstandard.ZstdCompressor(level=1).compress(cells.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([packed], pa.binary())], ["part", "salt", "cells"])
 
 
-def merged(parts: DataFrame, kind: str, how: str = "sum") -> np.ndarray:
+def merged(parts: DataFrame, size: int, kind: str, how: str = "sum") -> np.ndarray:
     """The array of all tasks together, added in two steps; a task holds one copy of its parts at a time."""
     step = partial(_merge, kind=kind, how=how)
     first = parts.repartition(F.col("part"), F.col("salt")).mapInArrow(step, SCHEMA)
     second = first.repartition(F.col("part")).mapInArrow(step, SCHEMA)
-    found = {r["part"]: np.frombuffer(r["cells"], kind) for r in second.collect()}  # PARTS rows, whatever the input
-    return np.concatenate([found[k] for k in sorted(found)]) if found else np.empty(0, kind)
+    whole = np.zeros(size, kind)
+    with shuffles_go(parts.sparkSession):
+        for r in second.collect():  # PARTS rows at most, whatever the input
+            whole[r["part"] * (size // PARTS) : (r["part"] + 1) * (size // PARTS)] = unpacked(bytes(r["cells"]), kind)
+    return whole
 
 
 def _key_bits(key: bytes) -> list[int]:
@@ -75,13 +86,41 @@ class KeyFilter:
 
     @classmethod
     def of(cls, keys: DataFrame) -> KeyFilter:
-        bits = merged(keys.select("key").mapInArrow(cls.fill, SCHEMA), "uint8", "or")
-        return cls(bits if len(bits) else np.zeros(FILTER_BITS // 8, np.uint8))
+        return cls(merged(keys.select("key").mapInArrow(cls.fill, SCHEMA), FILTER_BITS // 8, "uint8", "or"))
+
+
+class NumberFilter:
+    """One bit for each value that the top bits of hashed numbers take: 16 MB, whatever their number."""
+
+    BITS = 27
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @classmethod
+    def places(cls, numbers: np.ndarray) -> np.ndarray:
+        return (mix(numbers.view(U64)) >> U64(64 - cls.BITS)).astype(np.int64)
+
+    def may_hold(self, numbers: np.ndarray) -> np.ndarray:
+        at = self.places(numbers)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def fill(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (cls.BITS - 3), np.uint8)
+        for batch in batches:
+            at = cls.places(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield from pieces(bits, 0)
+
+    @classmethod
+    def of(cls, numbers: DataFrame) -> NumberFilter:
+        return cls(merged(numbers.mapInArrow(cls.fill, SCHEMA), 1 << (cls.BITS - 3), "uint8", "or"))
 
 
-def counted(texts: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
-    """Counts by cell that ``fill`` makes of each task's texts; a count above 65,535 stays there."""
-    return merged(texts.mapInArrow(fill, SCHEMA), "uint16")
+def counted(texts: DataFrame, size: int, fill: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
+    """Counts by cell that ``fill`` makes of each task's texts; a count above 255 stays there."""
+    return merged(texts.mapInArrow(fill, SCHEMA), size, "uint8")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:

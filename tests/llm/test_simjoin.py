@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from ledgerloom.llm import simjoin
 from ledgerloom.llm.components import components
 from ledgerloom.llm.simjoin import jaccard_components
 
@@ -48,8 +49,10 @@ def corpus(seed, n):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "rounds"), [(1, 2), (2, 0)])
-def test_against_brute_force(spark, seed, rounds):
+@pytest.mark.parametrize(("seed", "rounds", "large"), [(1, 1, 50), (2, 0, 50), (3, 1, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, rounds, large):
+    monkeypatch.setattr(simjoin, "LARGE", large)
+    monkeypatch.setattr(simjoin, "PORTION", 3)
     docs = corpus(seed, 160)
     frame = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, row int, label string")
     got = jaccard_components(frame, rounds=rounds).collect()
