@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.secrets import BASE, EXAMPLE_OWNERS, KINDS, LIVE_OWNERS
+
 OP8 = """
 with own as (select doc_id, coalesce(text, '') as text from documents),
 groups as (select text, max(doc_id) as keep_id, count(*) as group_size from own group by text)
@@ -59,3 +61,55 @@ select sets.doc_id, any_value(len(s))::bigint as n_shingles, min(r) as component
 """
 
 ORACLES["op10_jaccard"] = OP10
+
+#: Every string of 400 bytes by its start; those whose digest comes twice cover runs, which are cut out.
+OP7 = """
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+starts as (select doc_id, unnest(range(1, greatest(octet_length(b) - 398, 1))) as p, b from raw),
+strings as (select doc_id, p, md5(b[p:p + 399]) as h from starts),
+twice as (select h from strings group by h having count(*) > 1),
+covered as (select doc_id, p, p - lag(p) over (partition by doc_id order by p) as step from strings join twice using (h)),
+numbered as (select doc_id, p, sum(case when step <= 400 then 0 else 1 end) over (partition by doc_id order by p) as run from covered),
+runs as (select doc_id, run, min(p) as a, max(p) + 399 as z from numbered group by all),
+bounds as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as since from runs),
+parts as (
+  select doc_id, since as o, b[since:a - 1] as part from bounds join raw using (doc_id) where a > since
+  union all
+  select doc_id, coalesce(max(z), 0) + 1 as o, any_value(b)[coalesce(max(z), 0) + 1:octet_length(any_value(b))] from raw left join runs using (doc_id) group by doc_id),
+kept as (select doc_id, sha256(unhex(coalesce(string_agg(hex(part), '' order by o), ''))) as kept_sha256 from parts group by doc_id),
+counts as (select doc_id, sum(z - a + 1)::bigint as n_removed, count(*) as n_spans from runs group by doc_id)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
+from raw join kept using (doc_id) left join counts using (doc_id)
+"""
+
+ORACLES["op7_repeats"] = OP7
+
+
+def secrets_sql() -> str:
+    """Matches by splitting at each pattern, owners by value over all documents."""
+    each = []
+    for rank, kind in enumerate(KINDS):
+        pattern = kind.pattern.replace("'", "''")
+        each.append(f"""
+  select doc_id, owner, {rank} as rank, '{kind.name}' as kind, {kind.least} as least, unnest(range(1, len(whole) + 1)) as i, pieces, whole, value from (
+    select doc_id, owner, string_split_regex(t, '{pattern}') as pieces, regexp_extract_all(t, '{pattern}', 0) as whole, regexp_extract_all(t, '{pattern}', {kind.value}) as value
+    from own where regexp_matches(t, '{pattern}'))""")
+    counts = ", ".join(f"count(*) filter (where kind = '{k.name}') as n_{k.name}" for k in BASE)
+    return f"""
+with own as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+found as ({' union all '.join(each)}),
+placed as (
+  select doc_id, owner, rank, kind, value[i] as v, length(whole[i]) as size,
+    list_sum(list_transform(pieces[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)::bigint as a
+  from found where length(value[i]) >= least),
+owners as (select v, count(distinct owner) as n from placed group by v),
+judged as (select *, kind || ':' || a || ':' || (a + size) as said, rank < {len(BASE)} as base, n <= {LIVE_OWNERS} as live, n >= {EXAMPLE_OWNERS} as example from placed join owners using (v)),
+told as (
+  select doc_id, {counts}, string_agg(said, ',' order by a, rank) filter (where base) as base_spans, string_agg(said, ',' order by a, rank) filter (where base or live) as spans,
+    count(*) filter (where live) as n_live, count(*) filter (where example) as n_example from judged group by doc_id)
+select doc_id, {', '.join(f'coalesce(n_{k.name}, 0) as n_{k.name}' for k in BASE)}, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from own left join told using (doc_id)
+"""
+
+
+ORACLES["op5_secrets"] = secrets_sql()
