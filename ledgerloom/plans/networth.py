@@ -21,8 +21,12 @@ def priority() -> Column:
 
 
 def last_of(snapshots: DataFrame, *by: str) -> DataFrame:
-    """The snapshot of each group that counts: latest, then by method, then by statement."""
-    return snapshots.groupBy(*by).agg(F.max_by(F.struct("ts", "balance"), F.struct("ts", priority(), "statement_id")).alias("s")).select(*by, "s.ts", "s.balance") if "ts" not in by else snapshots.groupBy(*by).agg(F.max_by("balance", F.struct(priority(), "statement_id")).alias("balance"))
+    """The snapshot of each group that counts: the latest, then by method, then by statement."""
+    order = F.struct("ts", priority(), "statement_id")
+    groups = snapshots.groupBy(*by)
+    if "ts" in by:
+        return groups.agg(F.max_by("balance", order).alias("balance"))
+    return groups.agg(F.max_by(F.struct("ts", "balance"), order).alias("s")).select(*by, "s.ts", "s.balance")
 
 
 SQL_LATEST = f"select account_id, currency, ts, balance from {{balance_snapshots}} qualify row_number() over (partition by account_id order by ts desc, {SQL_PRIORITY} desc, statement_id desc) = 1"
