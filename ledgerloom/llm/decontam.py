@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm.common import ALNUM, U64, keep_rows, mix, text_blocks, words
 
@@ -186,8 +187,7 @@ def contaminated(
     """(id, item_id, equal_words, aligned_words, first_byte, end_byte): a row for each text and item in it."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = HITS.format(own.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    kinds = [pa.int64() if schema.split(", ")[i].endswith(("bigint", "long")) else None for i in range(2)]
-    kinds = [k or {"int": pa.int32(), "string": pa.string()}[schema.split(", ")[i].split(" ")[1]] for i, k in enumerate(kinds)] + [pa.int32()] * 4
+    kinds = [to_arrow_type(own.schema["id"].dataType), to_arrow_type(benchmark.schema[item_col].dataType), *[pa.int32()] * 4]
     context = docs.sparkSession.sparkContext
     found = [
         own.mapInArrow(partial(_match, sent=context.broadcast(Seeds(items)), least_words=least_words, least_equal=least_equal, kinds=kinds), schema)
