@@ -7,7 +7,7 @@ from importlib import import_module
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "matching", "maintain")
+MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "matching", "maintain", "accounts")
 
 
 def _load() -> None:
