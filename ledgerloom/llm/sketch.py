@@ -90,9 +90,9 @@ class KeyFilter:
 
 
 class NumberFilter:
-    """One bit for each value that the top bits of hashed numbers take: 16 MB, whatever their number."""
+    """One bit for each value that the top bits of hashed numbers take: 4 MB, whatever their number."""
 
-    BITS = 27
+    BITS = 25
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
