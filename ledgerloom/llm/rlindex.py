@@ -73,6 +73,8 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[
     for d in np.flatnonzero(sizes >= length):
         whole[at[d] : at[d + 1] - length + 1] = True
     starts = np.flatnonzero(whole)
+    if not len(starts):
+        return none, none.view(U64), none, none, none
     named = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (named[1:] != named[:-1]) | (starts[1:] != starts[:-1] + 1)

@@ -51,6 +51,13 @@ def test_empty_table(spark):
     assert remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_short_texts_only(spark):
+    docs = [(i, f"{i % 7:03d} " * 50) for i in range(20)]
+    got = remove_repeated(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted([(r["id"], r["n_bytes"], r["n_removed"], len(r["runs"]), r["kept_sha256"]) for r in got], key=str) == brute(docs, 400)
+    assert {(r["n_bytes"], r["n_removed"]) for r in got} == {(200, 0)}
+
+
 def test_panels_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
