@@ -8,12 +8,19 @@ side over the whole item, and the stretch that scores best (a point for an equal
 another) counts if it has at least ``least_words`` words, or all of a shorter item, of which the share
 ``least_equal`` are equal. Items of 5 to ``SPAN`` - 1 words are looked up whole.
 
+With ``full``, as the query and the pipeline call it, any stretch of so many words with that share
+counts: where the best one doesn't, the longest that does is reported. The masks ``FULL`` share a seed
+with each such stretch of at least ``LONG`` words with a quarter replaced (same tests), and shorter
+items of any length have masks over the whole item that leave out each possible set of replaced words.
+So for the default ``least_words`` and ``least_equal`` and for stricter ones nothing is missed; for
+laxer ones the seeds may miss a stretch.
+
 The benchmark is the smaller side: its seeds go to the tasks in blocks of at most ``block_words``
 words, as a sorted array behind a filter table, and each block is one pass over the documents. The
 bound holds for each block, however many there are; nothing of the documents is shuffled.
 
-Defined results: a null or empty text, or one of fewer than 5 words, matches nothing, nor does such an
-item; of equal items each is reported; a null id is reported as null; repeated rows are answered each;
+Defined results: a null or empty text matches nothing, nor does such an item, nor, without ``full``, a
+text or an item of fewer than 5 words; of equal items each is reported; a null id is reported as null; repeated rows are answered each;
 of the places where an item occurs in a text, the one with the most equal words is reported, then the
 first; empty tables give no rows. Only the named columns are read.
 """
@@ -21,7 +28,9 @@ first; empty tables give no rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +44,13 @@ from ledgerloom.llm.common import ALNUM, U64, keep_rows, mix, text_blocks, words
 SPAN, SHORTEST = 10, 5
 #: Kept positions of each mask.
 MASKS = ((0, 1, 2, 7, 8, 9), (0, 1, 2, 5, 7, 9), (0, 1, 2, 5, 6, 9), (0, 3, 5, 6, 8, 9))
-FACTORS = mix(np.arange(1, SPAN + 1, dtype=U64)) | U64(1)
+#: Kept positions of each mask of a full search, and the words of a stretch from which on they find it.
+FULL = (
+    (0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 1, 3, 6, 8, 9),
+    (0, 1, 2, 5, 6, 7), (0, 1, 3, 7, 9, 10), (0, 1, 3, 5, 6, 7), (0, 1, 2, 9, 10, 11),
+)
+LONG = 12
+FACTORS = mix(np.arange(1, LONG + 1, dtype=U64)) | U64(1)
 HITS = "id {0}, item_id {1}, equal_words int, aligned_words int, first_byte int, end_byte int"
 
 
@@ -50,25 +65,36 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(total)
 
 
-def all_masks() -> list[tuple[int, ...]]:
-    """The spaced masks, then one without gaps for each length of a short item."""
-    return [*MASKS, *(tuple(range(n)) for n in range(SHORTEST, SPAN))]
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over all of a short item: with any quarter of its words replaced one of them is untouched."""
+    parts = np.array_split(np.arange(n), min(n, n // 4 + 3)) if n >= 4 else [np.arange(n)]
+    return [tuple(np.concatenate(kept).tolist()) for kept in combinations(parts, len(parts) - n // 4)]
+
+
+def all_masks(full: bool = False) -> list[tuple[tuple[int, ...], int | None]]:
+    """The spaced masks, for long items, then those of each length of a short item, with the length."""
+    if full:
+        return [*((m, None) for m in FULL), *((m, n) for n in range(1, LONG) for m in short_masks(n))]
+    return [*((m, None) for m in MASKS), *((tuple(range(n)), n) for n in range(SHORTEST, SPAN))]
 
 
 class Seeds:
     """Seeds of a block of the benchmark: sorted hashes with the item and word of each."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], full: bool = False) -> None:
         self.ids = [i for i, _ in items]
+        self.full, self.masks = full, all_masks(full)
         self.words: list[np.ndarray] = []
-        own: list[list[tuple[np.ndarray, int]]] = [[] for _ in all_masks()]
+        own: list[list[tuple[np.ndarray, int]]] = [[] for _ in self.masks]
         for k, (_, text) in enumerate(items):
             buf = np.frombuffer((text or "").encode(), np.uint8)
             hashes = words(buf, np.array([0, len(buf)]), ALNUM)[0]
             self.words.append(hashes)
-            for m, mask in enumerate(all_masks()):
-                if (m < len(MASKS)) if len(hashes) >= SPAN else len(mask) == len(hashes):
+            for m, (mask, size) in enumerate(self.masks):
+                if size is None and len(hashes) >= (LONG if full else SPAN):
                     own[m].append((seeds(hashes, mask, m), k))
+                elif size == len(hashes):
+                    own[m].append((seeds(hashes, mask, m)[:1], k))
         self.tables = [self._table(rows) for rows in own]
 
     def _table(self, rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, ...] | None:
@@ -96,7 +122,7 @@ class Seeds:
     def hits(self, hashes: np.ndarray, flags: list[tuple[np.ndarray, U64] | None]) -> np.ndarray:
         """Distinct (item, word of the texts that lies under the item's first word)."""
         found = []
-        for m, (mask, table, quick) in enumerate(zip(all_masks(), self.tables, flags, strict=True)):
+        for m, ((mask, _), table, quick) in enumerate(zip(self.masks, self.tables, flags, strict=True)):
             if table is None or quick is None:
                 continue
             own = seeds(hashes, mask, m)
@@ -116,11 +142,24 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(sums[: end + 1] == low[end])[0]), end
 
 
-def judge(equal: np.ndarray, item_words: int, least_words: int, least_equal: float) -> tuple[int, int, int] | None:
-    """(equal words, first, end) of the best stretch, if it counts."""
-    a, b = best_stretch(equal)
-    same = int(equal[a:b].sum())
-    return (same, a, b) if b - a >= min(least_words, item_words) and same >= least_equal * (b - a) else None
+def longest_stretch(equal: np.ndarray, least_equal: float) -> tuple[int, int]:
+    """Of the stretches with the share ``least_equal`` of equal words the longest, the first among equals; (0, 0) if there is none."""
+    share = Fraction(least_equal).limit_denominator(10_000)
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, share.denominator, 0) - share.numerator)))
+    # The last end of each begin: the last place from which on some sum is as great.
+    later = np.maximum.accumulate(sums[::-1])[::-1]
+    ends = len(later) - np.searchsorted(later[::-1], sums, "left") - 1
+    begin = int((ends - np.arange(len(sums))).argmax())
+    return begin, int(ends[begin])
+
+
+def judge(equal: np.ndarray, item_words: int, least_words: int, least_equal: float, full: bool = False) -> tuple[int, int, int] | None:
+    """(equal words, first, end) of the best stretch, if it counts, or with ``full`` of the longest that counts."""
+    for a, b in (best_stretch(equal), longest_stretch(equal, least_equal)) if full else (best_stretch(equal),):
+        same = int(equal[a:b].sum())
+        if b > a and b - a >= min(least_words, item_words) and same >= least_equal * (b - a):
+            return same, a, b
+    return None
 
 
 def found_in(own: Seeds, flags: list[tuple[np.ndarray, U64] | None], texts: pa.Array, least_words: int, least_equal: float) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -135,7 +174,7 @@ def found_in(own: Seeds, flags: list[tuple[np.ndarray, U64] | None], texts: pa.A
             for t in np.unique(text[a:b]).tolist():
                 first, end = a + int(np.searchsorted(text[a:b], t, "left")), a + int(np.searchsorted(text[a:b], t, "right"))
                 equal = hashes[first:end] == theirs[first - diagonal : end - diagonal]
-                if (said := judge(equal, len(theirs), least_words, least_equal)) is None:
+                if (said := judge(equal, len(theirs), least_words, least_equal, own.full)) is None:
                     continue
                 same, x, y = said
                 new = (same, -int(starts[first + x] - at[t]), y - x, int(ends[first + y - 1] - at[t]))
@@ -183,24 +222,33 @@ def contaminated(
     least_words: int = 12,
     least_equal: float = 0.75,
     block_words: int = 2_000_000,
+    full: bool = False,
 ) -> DataFrame:
-    """(id, item_id, equal_words, aligned_words, first_byte, end_byte): a row for each text and item in it."""
+    """(id, item_id, equal_words, aligned_words, first_byte, end_byte): a row for each text and item in it; ``full`` misses no stretch that counts."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = HITS.format(own.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
     kinds = [to_arrow_type(own.schema["id"].dataType), to_arrow_type(benchmark.schema[item_col].dataType), *[pa.int32()] * 4]
     context = docs.sparkSession.sparkContext
     found = [
-        own.mapInArrow(partial(_match, sent=context.broadcast(Seeds(items)), least_words=least_words, least_equal=least_equal, kinds=kinds), schema)
+        own.mapInArrow(partial(_match, sent=context.broadcast(Seeds(items, full)), least_words=least_words, least_equal=least_equal, kinds=kinds), schema)
         for items in blocks_of(benchmark, item_col, item_text_col, block_words)
     ]
     return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 12, least_equal: float = 0.75, block_words: int = 2_000_000
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    least_words: int = 12,
+    least_equal: float = 0.75,
+    block_words: int = 2_000_000,
+    full: bool = False,
 ) -> DataFrame:
     """The documents without any item of the benchmark, with all their columns; a pass for each block."""
     context = docs.sparkSession.sparkContext
     for items in blocks_of(benchmark, item_col, item_text_col, block_words):
-        docs = keep_rows(docs, text_col, partial(_clean, sent=context.broadcast(Seeds(items)), least_words=least_words, least_equal=least_equal))
+        docs = keep_rows(docs, text_col, partial(_clean, sent=context.broadcast(Seeds(items, full)), least_words=least_words, least_equal=least_equal))
     return docs

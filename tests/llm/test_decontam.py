@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from ledgerloom.llm.decontam import MASKS, SHORTEST, SPAN, contaminated
+from ledgerloom.llm.decontam import FULL, LONG, MASKS, SHORTEST, SPAN, contaminated, drop_contaminated, short_masks
 
 
 @pytest.mark.parametrize(("length", "replaced"), [(14, 2), (16, 3)])
@@ -72,3 +72,65 @@ def test_against_brute_force(spark):
             assert len(split(texts[r["id"]].encode()[r["first_byte"] : r["end_byte"]].decode())) == r["aligned_words"]
     assert contaminated(frame.limit(0), bench).collect() == [] == contaminated(frame, bench.limit(0)).collect()
     assert np.all([len(m) == 6 for m in MASKS])
+
+
+def brute_full(docs, items, least_words=12, least_equal=0.75):
+    """Pairs with any stretch that counts, without seeds."""
+    out = set()
+    for d, text in docs:
+        own = split(text)
+        for i, item in items:
+            theirs = split(item)
+            least = min(least_words, len(theirs))
+            for diagonal in range(1 - len(theirs), len(own)):
+                same = [own[j + diagonal] == w for j, w in enumerate(theirs) if 0 <= j + diagonal < len(own)]
+                if any(sum(same[a:b]) >= least_equal * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1)):
+                    out.add((d, i))
+    return out
+
+
+def test_full_masks_find_every_stretch():
+    # Longer stretches hold one of these, or one of their lengths with fewer words replaced.
+    for length in (12, 16, 20):
+        kept = [sum(1 << (i + p) for p in mask) for mask in FULL for i in range(length - mask[-1])]
+        for places in itertools.combinations(range(length), length // 4):
+            assert any(not k & sum(1 << p for p in places) for k in kept)
+    for length in range(1, LONG):
+        for places in itertools.combinations(range(length), length // 4):
+            assert any(not set(mask) & set(places) for mask in short_masks(length))
+
+
+def test_full_finds_all_replacements(spark):
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in (*range(1, 17), 20)]
+    docs = []
+    for n, item in items:
+        w = item.split()
+        cases = [c for r in range(n // 4 + 1) for c in itertools.combinations(range(n), r)]
+        for places in random.Random(n).sample(cases, min(len(cases), 600)):
+            docs.append((len(docs), n, " ".join(["before", *("zz" if j in places else x for j, x in enumerate(w)), "after"])))
+    frame = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in contaminated(frame, bench, full=True).collect()}
+    assert got == {(d, n) for d, n, _ in docs}
+    assert drop_contaminated(frame, bench, full=True).collect() == []
+
+
+def test_full_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 3)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 4, 6, 8, 11, 12, 13, 16, 25])))) for i in range(30)] + [(30, None), (31, "")]
+    docs = [(0, None), (1, "")]
+    for d in range(2, 60):
+        parts = [word() for _ in range(rng.randint(0, 9))]
+        for _ in range(2):
+            w = split(rng.choice(items[:30])[1])
+            parts += [word() if rng.random() < 0.22 else x for x in w[rng.choice([0, 0, 1, 3]) :]] + [word() for _ in range(rng.randint(0, 5))]
+        docs.append((d, " ".join(parts)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_full(docs, items)
+    rows = contaminated(frame, bench, full=True).collect()
+    assert {(r["id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+    assert {r["doc_id"] for r in drop_contaminated(frame, bench, full=True).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    for r in rows:
+        assert len(split(dict(docs)[r["id"]].encode()[r["first_byte"] : r["end_byte"]].decode())) == r["aligned_words"]
+        assert 4 * r["equal_words"] >= 3 * r["aligned_words"]
