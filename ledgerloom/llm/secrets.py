@@ -2,9 +2,9 @@
 
 Base spans are the matches of three patterns; they always stay. Further candidates come from patterns
 of well-known token forms. Over the whole corpus the values of all candidates are hashed, and for each
-hash the distinct repositories and owners that hold it are counted. A value that many owners have is a
-copied example; one that a single owner has is likely live, and only such further candidates become
-spans.
+hash the distinct repositories and owners that hold it are counted. A value that many repositories and
+owners have is a copied example; one that a single owner has is likely live, and what lies between is
+unclear. Of the further candidates only examples are left out; ``verdicts`` names each one's verdict.
 
 All of it is DataFrame operations. Offsets come from splitting a text at a pattern: a match begins
 after the pieces and matches before it. Ownership is counted after (hash, owner) pairs are made
@@ -53,7 +53,7 @@ ADDED = (
     Kind("url", r"[a-z][a-z0-9+]{1,20}://[A-Za-z0-9._%-]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+", hint="://"),
 )
 KINDS = BASE + ADDED
-#: A value is live-looking if at most so many owners have it, and an example from so many on.
+#: A value is live-looking if at most so many owners have it, and an example from so many owners and repositories on.
 LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
 SPAN = "struct<start: int, rank: int, end: int, value: string>"
 
@@ -98,8 +98,8 @@ def find_secrets(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with their spans, and the candidates with their owners.
 
-    The first table has (row, id, base, found): ``base`` and all spans sorted by start, then kind; the
-    second (row, start, rank, end, value, hash, repositories, owners, verdict), verdict being live,
+    The first table has (row, id, base, found, verdicts, n_live, n_example): ``base`` and all spans sorted
+    by start, then kind, and kind:start:end:verdict of every candidate, also of those left out; the second (row, start, rank, end, value, hash, repositories, owners, verdict), verdict being live,
     example or unclear.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -113,16 +113,18 @@ def find_secrets(
     each = own.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("s")).select("row", "repository", "owner", "s.*")
     each = cut(each.withColumn("hash", F.unhex(F.sha2("value", 256))), "candidates")
     told = each.join(cut(ownership(each), "ownership"), "hash")
-    verdict = F.when(F.col("owners") <= LIVE_OWNERS, "live").when(F.col("owners") >= EXAMPLE_OWNERS, "example").otherwise("unclear")
+    verdict = F.when(F.col("owners") <= LIVE_OWNERS, "live").when(F.least("owners", "repositories") >= EXAMPLE_OWNERS, "example").otherwise("unclear")
     told = told.withColumn("verdict", verdict).drop("repository", "owner")
 
     span = F.struct("start", "rank", "end", "value", "verdict")
     judged = told.groupBy("row").agg(F.collect_list(span).alias("judged"))
-    added = F.filter("judged", lambda s: (s["rank"] >= len(BASE)) & (s["verdict"] == "live"))
+    added = F.filter("judged", lambda s: (s["rank"] >= len(BASE)) & (s["verdict"] != "example"))
+    names = F.array(*[F.lit(k.name) for k in KINDS])
+    said = F.concat_ws(",", F.transform(F.array_sort("judged"), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"], s["verdict"])))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
     count = lambda v: F.coalesce(F.size(F.filter("judged", lambda s: s["verdict"] == v)), F.lit(0)).cast("long")
     out = own.join(judged, "row", "left").select(
-        "row", "id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce(bare(added), F.array().cast(f"array<{SPAN}>")))).alias("found"),
+        "row", "id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce(bare(added), F.array().cast(f"array<{SPAN}>")))).alias("found"), said.alias("verdicts"),
         F.when(F.col("judged").isNull(), 0).otherwise(count("live")).cast("long").alias("n_live"), F.when(F.col("judged").isNull(), 0).otherwise(count("example")).cast("long").alias("n_example"),
     )
     return out, told

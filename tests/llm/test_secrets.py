@@ -34,3 +34,16 @@ def test_owners(spark):
     owners = {r["value"]: (r["repositories"], r["owners"], r["verdict"]) for r in told.collect() if r["rank"] >= len(BASE)}
     assert owners == {hub("A"): (4, 4, "example"), hub("B"): (2, 1, "live"), hub("C"): (1, 1, "live")}
     assert len(KINDS) > len(BASE)
+
+
+def test_two_owners_are_unclear_and_stay(spark):
+    hub, url = "ghp_" + "D" * 36, "ftp://me:" + "p" * 9 + "@host"
+    rows = [(1, f"x {hub}", "s1", "en"), (2, f"y {hub}", "s2", "en"), *((10 + i, f"{i} {url}", f"s{i}", "en") for i in range(3)), (20, "none", "s1", "en")]
+    found, told = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    got = {r["id"]: (len(r["found"]), r["verdicts"], r["n_live"], r["n_example"]) for r in found.collect()}
+    assert got[1] == got[2] == (1, "hub:2:42:unclear", 0, 0)
+    assert got[10] == got[11] == got[12] == (0, "url:2:25:example", 0, 1)
+    assert got[20] == (0, "", 0, 0)
+    # Many owners in too few repositories are no widely copied example.
+    one = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), repository_cols=("lang",))[0]
+    assert {r["id"]: r["verdicts"] for r in one.collect()}[10] == "url:2:25:unclear"
