@@ -8,9 +8,11 @@ over all chunks and combined into one probability by a logistic layer with one h
 Besides its bytes a chunk holds how often a byte equals the one a few places before it, a fixed
 function of the bytes that lets filters see stuttering without knowing the words.
 
-Fitting takes a bounded sample of labelled rows (``most_rows`` in the order of a hash of the id) and
-of each at most ``SPANS`` spans of ``SPAN`` characters spread over the whole text; it runs in the
-driver with a fixed seed. Scoring is a map over batches and covers every byte of every text.
+Fitting takes a bounded sample of labelled rows: ``most_rows`` in the order of a hash of the id, and of
+these, in that order, those whose whole texts fit into ``most_bytes`` together. It runs in one task
+with a fixed seed and returns weights only; the task holds about six bytes for each byte of the sample.
+Scoring is a map over batches and covers every byte of every text; a text above ``PIECE`` blocks is
+walked in pieces whose chunks overlap, with a running maximum, so memory doesn't grow with its length.
 
 Defined results: a null or empty text is a chunk of padding and gets a score as any other; a null
 label is no label, and of several labels of an id the least counts; without labels of both kinds the
@@ -26,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import keep_rows, text_blocks
@@ -36,7 +38,8 @@ WIDTH = STRIDE * BLOCKS
 PAD, DIM, FILTERS, HIDDEN = 256, 4, 24, 12
 #: Distances at which a byte is compared with an earlier one.
 LAGS = tuple(range(2, 18))
-SPANS, SPAN = 8, 1024
+#: Blocks of bytes that the filters run over at a time.
+PIECE = 1 << 15
 #: Steps that a fit takes at least, in up to 60 rounds over the rows.
 LEAST_STEPS = 400
 BLOCK_IN = STRIDE * DIM + len(LAGS)
@@ -69,15 +72,14 @@ def layout(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     sizes = np.diff(at)
     chunks = np.maximum(1, -(-(sizes - (WIDTH - STRIDE)) // STRIDE))
     first = np.concatenate(([0], np.cumsum(chunks + BLOCKS - 1)))
-    codes = np.full(first[-1] * STRIDE, PAD, np.int64)
+    codes = np.full(first[-1] * STRIDE, PAD, np.uint16)
     codes[np.arange(len(buf)) + np.repeat(first[:-1] * STRIDE - at[:-1], sizes)] = buf
-    lags = np.empty((first[-1], len(LAGS)), np.float32)
+    lags = np.empty((first[-1], len(LAGS)), np.uint8)
     real, same = codes != PAD, np.zeros(len(codes), bool)
     for k, lag in enumerate(LAGS):
         np.equal(codes[lag:], codes[:-lag], out=same[lag:])
         same &= real
         lags[:, k] = np.bitwise_count(same.view(np.uint64))  # eight flags are one word
-    lags *= 1 / STRIDE
     # A text's first bytes have none of their own before them.
     for begin in range(-(-max(LAGS) // STRIDE)):
         own = first[:-1] + begin
@@ -92,7 +94,7 @@ def answers(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray) -> np
     # Four floats are taken as one number of 16 bytes, which is much faster than a row each.
     seen = np.take(w["embed"].view(np.complex128).ravel(), codes).view(np.float32).reshape(len(codes), -1)
     said = seen @ wide[: STRIDE * DIM]
-    said += lags @ wide[STRIDE * DIM :]
+    said += lags.astype(np.float32) @ (wide[STRIDE * DIM :] / STRIDE)
     out = said[:, :FILTERS] + w["shift"]
     for k in range(1, BLOCKS):
         out[:-k] += said[k:, k * FILTERS : (k + 1) * FILTERS]
@@ -105,6 +107,38 @@ def pooled(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, first:
     return np.maximum(np.maximum.reduceat(said[: bounds[-1]], bounds[:-1], axis=0)[::2], 0)
 
 
+def pooled_long(w: dict[str, np.ndarray], buf: np.ndarray) -> np.ndarray:
+    """What ``pooled`` gives for a single text, by pieces with a running maximum."""
+    chunks = max(1, -(-(len(buf) - (WIDTH - STRIDE)) // STRIDE))
+    top = np.zeros(FILTERS, np.float32)
+    for begin in range(0, chunks, PIECE):
+        end = min(chunks, begin + PIECE)
+        # Bytes before the piece for its lags; the chunks that begin there belong to the piece before.
+        lead = min(begin, -(-max(LAGS) // STRIDE))
+        part = buf[(begin - lead) * STRIDE : (end - 1) * STRIDE + WIDTH]
+        codes, lags, _ = layout(part, np.array([0, len(part)]))
+        top = np.maximum(top, answers(w, codes, lags)[lead : lead + end - begin].max(0))
+    return top[None]
+
+
+def best_chunks(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and filter the chunk of the greatest answer, the first of equal ones, and that answer."""
+    best = np.zeros((len(first) - 1, FILTERS), np.int64)
+    top = np.full(best.shape, -np.inf, np.float32)
+    for begin in range(0, first[-1], PIECE):
+        end = min(first[-1], begin + PIECE)
+        said = answers(w, codes[begin : end + BLOCKS - 1], lags[begin : end + BLOCKS - 1])
+        for t in range(np.searchsorted(first, begin, "right") - 1, np.searchsorted(first, end, "left")):
+            a, b = max(first[t], begin), min(first[t + 1] - (BLOCKS - 1), end)
+            if a < b:
+                own = said[a - begin : b - begin]
+                at = own.argmax(0)
+                value = own[at, np.arange(FILTERS)]
+                new = value > top[t]
+                best[t, new], top[t, new] = a + at[new], value[new]
+    return best, top
+
+
 def head(w: dict[str, np.ndarray], pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hidden = np.maximum(pool @ w["hidden"] + w["hidden_shift"], 0)
     return hidden, 1 / (1 + np.exp(-np.clip(hidden @ w["out"] + w["out_shift"][0], -30, 30)))
@@ -113,9 +147,7 @@ def head(w: dict[str, np.ndarray], pool: np.ndarray) -> tuple[np.ndarray, np.nda
 def gradients(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean log loss; only the chunk that gave a filter's maximum takes part."""
     n = len(y)
-    said = answers(w, codes, lags)
-    best = np.stack([a + said[a:b].argmax(0) for a, b in zip(first[:-1], first[1:] - (BLOCKS - 1), strict=True)])
-    top = np.take_along_axis(said, best, axis=0)
+    best, top = best_chunks(w, codes, lags, first)
     pool = np.maximum(top, 0)
     hidden, p = head(w, pool)
     d_out = ((p - y) / n).astype(np.float32)
@@ -125,7 +157,7 @@ def gradients(w: dict[str, np.ndarray], codes: np.ndarray, lags: np.ndarray, fir
     d_filters, d_embed = np.zeros_like(parts), np.zeros_like(w["embed"])
     for k in range(BLOCKS):
         own = codes[best + k]  # texts, filters, bytes of the block
-        seen = np.concatenate([w["embed"][own].reshape(n, FILTERS, -1), lags[best + k]], axis=2)
+        seen = np.concatenate([w["embed"][own].reshape(n, FILTERS, -1), lags[best + k] / np.float32(STRIDE)], axis=2)
         d_filters[k] = np.einsum("nfi,nf->if", seen, d_top)
         back = (d_top[:, :, None] * parts[k].T[None, :, : STRIDE * DIM]).reshape(-1, DIM)
         for d in range(DIM):
@@ -172,7 +204,9 @@ def probabilities(texts: pa.Array, network: Network) -> np.ndarray:
     scores = np.full(len(texts), network.prior)
     if network.weights:
         for lo, hi, buf, at in text_blocks(texts, 1 << 18):
-            scores[lo:hi] = head(network.weights, pooled(network.weights, *layout(buf, at)))[1]
+            long = len(buf) > PIECE * STRIDE
+            pool = pooled_long(network.weights, buf) if long else pooled(network.weights, *layout(buf, at))
+            scores[lo:hi] = head(network.weights, pool)[1]
     return scores
 
 
@@ -196,23 +230,41 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return own.mapInArrow(partial(_score, network=network), f"id {own.schema['id'].dataType.simpleString()}, score double")
 
 
-def spread(text: Column) -> Column:
-    """A text, or of a long one spans spread evenly from its first to its last character."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.length(text)
-    spans = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(text, F.floor(i * (size - SPAN) / (SPANS - 1)).cast("int") + 1, F.lit(SPAN)))
-    return F.when(size <= SPANS * SPAN, text).otherwise(F.concat_ws("", spans))
+WEIGHTS = "prior double, name string, shape array<int>, weights binary"
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of a network fitted on all the rows; a row of the prior alone where nothing was to learn."""
+    rows = sorted(r for b in batches for r in zip(b.column("place").to_pylist(), b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True))
+    network = fit([t for _, t, _ in rows], [int(y) for _, _, y in rows])
+    parts = sorted(network.weights.items()) or [("", np.empty(0, np.float32))]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([network.prior] * len(parts)),
+            pa.array([name for name, _ in parts]),
+            pa.array([list(x.shape) for _, x in parts], pa.list_(pa.int32())),
+            pa.array([x.tobytes() for _, x in parts], pa.binary()),
+        ],
+        ["prior", "name", "shape", "weights"],
+    )
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 3000) -> Network:
-    """Fit on at most ``most_rows`` of the labelled documents, those with the least hash of the id."""
+def train(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 3000, most_bytes: int = 64 << 20
+) -> Network:
+    """Fit on at most ``most_rows`` labelled documents and ``most_bytes`` of whole texts, by the least hash of the id."""
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     chosen = told.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    own = docs.select(F.col(id_col).alias("id"), spread(F.col(text_col)).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most most_rows identifiers and numbers: small enough to be sent to every task.
-    rows = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).collect()
-    rows.sort(key=lambda r: r["id"])
-    return fit([r["text"] for r in rows], [int(r["label"]) for r in rows])
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # One partition holds the sample, which is bounded in rows; here it is also bounded in bytes.
+    order = Window.orderBy(F.xxhash64("id"), "id")
+    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sample = rows.select("text", "label", F.row_number().over(order).alias("place"), size.alias("size")).where(F.col("size") <= most_bytes)
+    found = sample.select("place", "text", "label").coalesce(1).mapInArrow(_fit, WEIGHTS).collect()
+    weights = {r["name"]: np.frombuffer(bytes(r["weights"]), np.float32).reshape(r["shape"]) for r in found if r["name"]}
+    return Network(found[0]["prior"] if found else 0.5, weights)
 
 
 def held_out(doc_id: Column) -> Column:

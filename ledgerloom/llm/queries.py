@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +77,8 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabularies
+
     counted = count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 

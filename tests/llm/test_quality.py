@@ -54,3 +54,52 @@ def test_nothing_to_learn_from(spark):
     ones = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.train(docs, ones)).collect()} == {1.0}
     assert quality.score(docs.limit(0), quality.Network()).collect() == []
+
+
+def plain(w, raw):
+    """The score of a text by loops over chunks, bytes and lags."""
+    chunks = max(1, -(-(len(raw) - 16) // 8))
+    pool = np.zeros(quality.FILTERS)
+    for c in range(chunks):
+        seen = []
+        for block in range(c, c + 3):
+            at = [block * 8 + i for i in range(8)]
+            seen += [w["embed"][raw[i] if i < len(raw) else quality.PAD] for i in at]
+            same = [sum(block >= 3 and i < len(raw) and raw[i] == raw[i - lag] for i in at) / 8 for lag in quality.LAGS]
+            seen.append(np.array(same))
+        pool = np.maximum(pool, np.concatenate(seen) @ w["filters"] + w["shift"])
+    hidden = np.maximum(pool @ w["hidden"] + w["hidden_shift"], 0)
+    return 1 / (1 + np.exp(-(hidden @ w["out"] + w["out_shift"][0])))
+
+
+def test_convolution_against_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab é€x. "), n)) for n in (0, 1, 9, 16, 17, 24, 25, 26, 40, 41, 100, 333, 700)]
+    w = quality.start(7)
+    want = [plain(w, t.encode()) for t in texts]
+    network = quality.Network(0.5, w)
+    assert np.allclose(quality.probabilities(pa.array(texts), network), want, atol=1e-5)
+    for piece in (1, 2, 3, 5, 16):  # as texts longer than a piece are scored
+        monkeypatch.setattr(quality, "PIECE", piece)
+        alone = [quality.probabilities(pa.array([t]), network)[0] for t in texts]
+        assert np.allclose(alone, want, atol=1e-5)
+        laid = quality.layout(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        assert np.allclose(np.maximum(quality.best_chunks(w, *laid)[1], 0), quality.pooled(w, *laid), atol=1e-5)
+
+
+def test_a_text_of_twenty_megabytes():
+    import resource
+
+    network = quality.Network(0.5, quality.start(3))
+    text = "some words that go on and on " * 700_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    quality.probabilities(pa.array([text, "x"]), network)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
+
+
+def test_the_bound_of_bytes_leaves_out_whole_texts(spark):
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "zzzz!!!! ") * 20) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.train(docs, labels, most_bytes=10).weights == {}
+    assert quality.train(docs, labels, most_bytes=10).prior == 0.5
+    assert quality.train(docs, labels).weights
