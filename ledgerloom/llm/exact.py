@@ -1,9 +1,11 @@
 """Exact duplicates by a log-structured merge index of digests.
 
 Every task is a memtable: it flushes the digests of its documents as one sorted run, a Parquet file
-with a Bloom filter and the least and greatest digest of each row group. Compaction merges the runs:
-of equal digests it keeps the identifier that stays and adds up the counts. Digests that more than
-one document has are hits; their texts are compared byte by byte before anything is dropped.
+with a Bloom filter and the least and greatest digest of each row group. Runs stand in tiers: where a
+tier has ``fan`` flushes, they are merged into one of the next tier, and of equal digests a merge keeps
+the identifier that stays and adds up the counts. Digests with more than one document are hits. Only
+texts that may be hits, told by a filter of fixed size, are shuffled, and compared byte by byte before
+anything is dropped.
 
 All steps are DataFrame operations. Groups are pre-aggregated before the shuffle, so that a text
 with a third of all rows sends one row from each task, and the join that gives each document its
@@ -24,78 +26,128 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, shared_folder
 
 Digest = Callable[[Column], Column]
+#: Bits of a filter: 4 MB, whatever it holds.
+FILTER_BITS = 1 << 25
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def may_hold(rows: DataFrame, key: Column, held: DataFrame, held_key: Column, name: str) -> DataFrame:
+    """``rows`` with a flag whether ``held`` may have the key: always where it has, and for few others.
+
+    The filter is a bitmap cut into 1,024 rows of 4 KB at most, which is what the join broadcasts.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
+    bits = held.select(place(held_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(f"{name}_bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(f"{name}_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    flag = F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    told = rows.withColumn(f"{name}_bucket", F.bitmap_bucket_number(place(key)))
+    return told.join(F.broadcast(bits), f"{name}_bucket", "left").withColumn(name, flag).drop(f"{name}_bucket", f"{name}_bits")
+
+
 class MergeIndex:
-    """Sorted runs of (digest, id, copies) under one folder: level 0 as flushed, level 1 compacted."""
+    """Runs of (digest, id, copies) under one folder, each sorted by digest, in tiers of ``fan`` flushes or merges."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, keep: str = "largest") -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, keep: str = "largest", fan: int = 4) -> None:
         if keep not in ("largest", "smallest"):
             raise ValueError(f"keep must be largest or smallest, not {keep}")
-        self.spark, self.folder = spark, folder or shared_folder(spark)
+        self.spark, self.folder, self.fan = spark, folder or shared_folder(spark), fan
         self.stays = F.max if keep == "largest" else F.min
-        self.flushed = 0
+        self.flushed: list[str] = []
+        self.tiers: list[list[str]] = [[]]
 
-    def _write(self, rows: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, path: str) -> str:
         options = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true"}
         rows.sortWithinPartitions("digest").write.options(**options).parquet(path)
+        return path
 
-    def flush(self, rows: DataFrame) -> None:
-        """Write (digest, id) rows as sorted runs, one for each task."""
-        self._write(rows.withColumn("copies", F.lit(1).cast("long")), f"{self.folder}/level0/flush={self.flushed}")
-        self.flushed += 1
+    def _merge(self, paths: list[str], path: str) -> str:
+        rows = self.spark.read.parquet(*paths)
+        return self._write(rows.groupBy("digest").agg(self.stays("id").alias("id"), F.sum("copies").alias("copies")), path)
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/level0").drop("flush")
+    def flush(self, rows: DataFrame) -> None:
+        """Write (digest, id) rows as sorted runs, one for each task, and merge the tiers that are full."""
+        path = self._write(rows.withColumn("copies", F.lit(1).cast("long")), f"{self.folder}/flush={len(self.flushed)}")
+        self.flushed.append(path)
+        self.tiers[0].append(path)
+        for level, tier in enumerate(self.tiers):
+            if len(tier) >= self.fan:
+                if level + 1 == len(self.tiers):
+                    self.tiers.append([])
+                self.tiers[level + 1].append(self._merge(tier, f"{self.folder}/tier={level + 1}/merge={len(self.flushed)}"))
+                self.tiers[level] = []
+
+    def rows(self) -> DataFrame:
+        """Every (digest, id) that was flushed."""
+        return self.spark.read.parquet(*self.flushed).select("digest", "id")
 
     def compact(self) -> DataFrame:
-        """Merge all runs into level 1: a row for each digest with the id that stays and the copies."""
-        merged = self.runs().groupBy("digest").agg(self.stays("id").alias("id"), F.sum("copies").alias("copies"))
-        path = f"{self.folder}/level1/{self.flushed}"
-        self._write(merged, path)
-        return self.spark.read.parquet(path)
+        """What all tiers hold, merged: a row for each digest with the id that stays and the copies."""
+        live = [p for tier in self.tiers for p in tier]
+        top = self._merge(live, f"{self.folder}/all={len(self.flushed)}")
+        self.tiers = [[] for _ in self.tiers] + [[top]]
+        return self.spark.read.parquet(top)
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
-        """Rows of level 0 with these digests; Bloom filters and sorted row groups skip the rest."""
-        return self.runs().where(F.col("digest").isin([bytearray(d) for d in digests]))
+        """Every (digest, id) that was flushed with these digests; Bloom filters and sorted row groups skip the rest."""
+        return self.rows().where(F.col("digest").isin([bytearray(d) for d in digests]))
 
 
-def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest: Digest = sha256
-) -> DataFrame:
-    """For each document (id, keep_id, group_size, kept, digest); equal texts share keep_id.
-
-    ``digest`` may be any function of the text: texts that only share it are told apart by their bytes.
-    """
-    spark = docs.sparkSession
+def _answers(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Digest) -> DataFrame:
+    """(digest, id, keep_id, group_size) of each document, from the index and the bytes of its hits."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = own.select(digest(F.col("text")).alias("digest"), "id", "text")
-    index = MergeIndex(spark, keep=keep)
+    index = MergeIndex(docs.sparkSession, keep=keep)
     index.flush(keyed.select("digest", "id"))
     level = index.compact()
+    hits = level.where("copies > 1").select("digest")
 
-    texts = cut(keyed.groupBy("digest", "text").agg(index.stays("id").alias("keep_id"), F.count("*").alias("group_size")).drop("text"), "texts")
-    shared = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    shared = cut(shared, "shared")
-    runs = index.runs().select("digest", "id")
-    answers = runs.join(level.select("digest", F.col("id").alias("keep_id"), F.col("copies").alias("group_size")), "digest")
+    # Each distinct text of a hit once from each task; a digest of several texts is taken apart by text.
+    likely = may_hold(keyed.select("digest", "text"), F.col("digest"), hits, F.col("digest"), "hit").where("hit")
+    texts = cut(likely.groupBy("digest", "text").count().select("digest"), "texts")
+    shared = cut(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "shared")
+    answers = index.rows().join(level.select("digest", F.col("id").alias("keep_id"), F.col("copies").alias("group_size")), "digest")
     if not shared.isEmpty():
         apart = keyed.join(shared, "digest", "left_semi")
         classes = apart.groupBy("digest", "text").agg(index.stays("id").alias("keep_id"), F.count("*").alias("group_size"))
         told = apart.join(cut(classes, "classes"), ["digest", "text"]).select("digest", "id", "keep_id", "group_size")
         answers = answers.join(shared, "digest", "left_anti").unionByName(told)
-    return answers.select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
-    )
+    return answers.select("digest", "id", "keep_id", "group_size")
+
+
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest: Digest = sha256
+) -> DataFrame:
+    """For each document (id, keep_id, group_size, kept, digest); equal texts share keep_id.
+
+    ``digest`` may be any function of the text: texts that only share it are told apart by their bytes.
+    """
+    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return _answers(docs, id_col, text_col, keep, digest).select("id", "keep_id", "group_size", kept, "digest")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The documents that stay, with all their columns; of rows that tie by id and text one stays."""
-    found = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias("stays_id"), F.col("digest").alias("stays_digest")).distinct()
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
-    kept = own.join(found, (F.col("digest") == F.col("stays_digest")) & F.col("id").eqNullSafe(F.col("stays_id")), "left_semi")
-    return kept.dropDuplicates(["digest", "id"]).select("doc.*")
+    """The documents that stay, with all their columns; of rows that tie by id and text one stays.
+
+    A document without copies isn't shuffled, nor is one that the filters know to go: of a text with
+    a third of all rows one is, and the few that a filter confuses with it.
+    """
+    answers = cut(_answers(docs, id_col, text_col, keep, sha256), "answers")
+    hits = answers.where("group_size > 1").select("digest")
+    # What stays of the digests that the filter takes for hits, whether they are or not.
+    kept = answers.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", "id")
+    stays = may_hold(kept, F.col("digest"), hits, F.col("digest"), "hit").where("hit").select(F.col("digest").alias("stays_digest"), F.col("id").alias("stays_id"))
+    stays = cut(stays.distinct(), "stays")
+
+    pair = lambda d, i: F.struct(F.col(d), F.col(i).isNull(), F.col(i))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    own = docs.select(whole, F.col(id_col).alias("id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    told = may_hold(own, F.col("digest"), hits, F.col("digest"), "hit")
+    told = may_hold(told, pair("digest", "id"), stays, pair("stays_digest", "stays_id"), "stay")
+    same = (F.col("digest") == F.col("stays_digest")) & F.col("id").eqNullSafe(F.col("stays_id"))
+    one = told.where("hit and stay").join(stays, same, "left_semi").dropDuplicates(["digest", "id"])
+    return told.where("not hit").select("doc.*").unionByName(one.select("doc.*"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -219,12 +220,24 @@ def select(base: list[tuple[int, int, int]], proposed: list[tuple[int, int, int]
     """The base and, from the most probable on, proposals over their thresholds that overlap nothing taken."""
     if not proposed:
         return base
-    taken = [(a, b) for _, a, b in base]
+    # Disjoint intervals by start: only the neighbours of a proposal can overlap it.
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for i in sorted(range(len(proposed)), key=lambda i: (-p[i], proposed[i])):
         kind, a, b = proposed[i]
-        if p[i] >= thresholds[kind] and not any(a < d and c < b for c, d in taken):
-            taken.append((a, b))
+        if p[i] < thresholds[kind]:
+            continue
+        at = bisect_right(starts, a)
+        if (at == 0 or ends[at - 1] <= a) and (at == len(starts) or starts[at] >= b):
+            starts.insert(at, a)
+            ends.insert(at, b)
             added.append((kind, a, b))
     return base + sorted(added)
 

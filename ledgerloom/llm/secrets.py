@@ -7,7 +7,7 @@ owners have is a copied example; one that a single owner has is likely live, and
 unclear. Of the further candidates only examples are left out; ``verdicts`` names each one's verdict.
 
 All of it is DataFrame operations. Offsets come from splitting a text at a pattern: a match begins
-after the pieces and matches before it. Ownership is counted after (hash, owner) pairs are made
+after the pieces and matches before it, whose lengths are summed up by a window over a text's matches. Ownership is counted after (hash, owner) pairs are made
 distinct, so a value with a third of all occurrences sends one row from each task, and the counts are
 joined to the occurrences from written tables, which lets Spark split a hot hash.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut
@@ -58,25 +58,31 @@ LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
 SPAN = "struct<start: int, rank: int, end: int, value: string>"
 
 
-def spans(text: Column, kind: Kind, rank: int) -> Column:
-    """Matches of a kind as structs (start, rank, end, value), those that are too short left out."""
+MATCHES = "array<struct<piece: int, whole: int, value: string>>"
+
+
+def matches(text: Column, kind: Kind) -> Column:
+    """Of each match of a kind, in order: the characters since the match before, its own, and its value."""
     pattern = F.lit(kind.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(kind.value)) if kind.value else whole
-    rows = F.arrays_zip(F.split(text, kind.pattern).alias("piece"), whole.alias("whole"), value.alias("value"))
-    # Fold over (piece, match): where the text stands, and the spans so far.
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["piece"])
-        end = start + F.coalesce(F.length(row["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), row["value"].alias("value"))
-        keep = F.coalesce(F.length(row["value"]) >= kind.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(rows, begin, step, lambda s: s["found"])
+    pieces = F.transform(F.split(text, kind.pattern), F.length)
+    rows = F.arrays_zip(pieces.alias("piece"), F.transform(whole, F.length).alias("whole"), value.alias("value"))
     present = text.contains(kind.hint) if kind.hint else text.rlike(kind.pattern)
-    return F.when(present, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(present, rows).otherwise(F.array().cast(MATCHES))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, repository, owner, start, rank, end, value) of the matches that are long enough, by running sums.
+
+    A running sum over the matches of one text and kind takes time in proportion to their number.
+    """
+    each = found.select("row", "repository", "owner", F.posexplode("matches").alias("rank", "own")).select("row", "repository", "owner", "rank", F.posexplode("own").alias("k", "m"))
+    each = each.where("m.whole is not null").select("row", "repository", "owner", "rank", "k", "m.*")
+    so_far = Window.partitionBy("row", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("piece") + F.col("whole")).over(so_far).cast("int"))
+    least = F.element_at(F.array(*[F.lit(k.least) for k in KINDS]), F.col("rank") + 1)
+    return each.where(F.length("value") >= least).select("row", "repository", "owner", (F.col("end") - F.col("whole")).alias("start"), "rank", "end", "value")
 
 
 def listed(spans: Column) -> Column:
@@ -105,26 +111,29 @@ def find_secrets(
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = lambda cols: F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), name(repository_cols).alias("repository"), name(owner_cols).alias("owner"))
-    all_spans = [spans(F.col("text"), k, i) for i, k in enumerate(KINDS)]
-    own = own.select("id", "repository", "owner", F.concat(*all_spans[: len(BASE)]).alias("base"), F.concat(*all_spans[len(BASE) :]).alias("more"))
     # Written with a number for each row, which later steps can rely on.
-    own = cut(own.withColumn("row", F.monotonically_increasing_id()), "spans")
+    own = own.select("id", "repository", "owner", F.array(*[matches(F.col("text"), k) for k in KINDS]).alias("matches"))
+    own = cut(own.withColumn("row", F.monotonically_increasing_id()), "matches")
 
-    each = own.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("s")).select("row", "repository", "owner", "s.*")
-    each = cut(each.withColumn("hash", F.unhex(F.sha2("value", 256))), "candidates")
+    each = cut(placed(own).withColumn("hash", F.unhex(F.sha2("value", 256))), "candidates")
     told = each.join(cut(ownership(each), "ownership"), "hash")
     verdict = F.when(F.col("owners") <= LIVE_OWNERS, "live").when(F.least("owners", "repositories") >= EXAMPLE_OWNERS, "example").otherwise("unclear")
     told = told.withColumn("verdict", verdict).drop("repository", "owner")
 
     span = F.struct("start", "rank", "end", "value", "verdict")
-    judged = told.groupBy("row").agg(F.collect_list(span).alias("judged"))
-    added = F.filter("judged", lambda s: (s["rank"] >= len(BASE)) & (s["verdict"] != "example"))
+    judged = told.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
-    said = F.concat_ws(",", F.transform(F.array_sort("judged"), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"], s["verdict"])))
+    said = F.concat_ws(",", F.transform("judged", lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"], s["verdict"])))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
-    count = lambda v: F.coalesce(F.size(F.filter("judged", lambda s: s["verdict"] == v)), F.lit(0)).cast("long")
-    out = own.join(judged, "row", "left").select(
-        "row", "id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce(bare(added), F.array().cast(f"array<{SPAN}>")))).alias("found"), said.alias("verdicts"),
-        F.when(F.col("judged").isNull(), 0).otherwise(count("live")).cast("long").alias("n_live"), F.when(F.col("judged").isNull(), 0).otherwise(count("example")).cast("long").alias("n_example"),
-    )
+    count = lambda v: F.size(F.filter("judged", lambda s: s["verdict"] == v)).cast("long")
+    none = F.array().cast(f"array<{SPAN}>")
+    out = own.select("row", "id").join(judged, "row", "left").select(
+        "row",
+        "id",
+        F.coalesce(bare(F.filter("judged", lambda s: s["rank"] < len(BASE))), none).alias("base"),
+        F.coalesce(bare(F.filter("judged", lambda s: (s["rank"] < len(BASE)) | (s["verdict"] != "example"))), none).alias("found"),
+        said.alias("verdicts"),
+        F.coalesce(count("live"), F.lit(0).cast("long")).alias("n_live"),
+        F.coalesce(count("example"), F.lit(0).cast("long")).alias("n_example"),
+    )
     return out, told

@@ -2,7 +2,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.exact import MergeIndex, exact_duplicates, sha256
+from ledgerloom.llm import exact
+from ledgerloom.llm.exact import MergeIndex, drop_exact_duplicates, exact_duplicates, may_hold, sha256
 
 ROWS = [(1, "a"), (5, "a"), (3, "a"), (2, "b"), (4, None), (6, ""), (None, "b"), (7, "x" * 200_000), (8, "x" * 200_000), (9, "x" * 199_999), (9, "c"), (9, "c"), (None, "d")]
 
@@ -43,3 +44,31 @@ def test_index_takes_further_flushes(spark):
     (row,) = index.compact().collect()
     assert (row["id"], row["copies"]) == (3, 3)
     assert index.lookup([bytes(row["digest"])]).count() == 3 and index.lookup([b"\0" * 32]).count() == 0
+
+
+def test_tiers_are_merged(spark):
+    index = MergeIndex(spark, fan=2)
+    for i in range(5):
+        index.flush(spark.createDataFrame([(i, "same"), (i, f"own {i}")], "id long, t string").select(sha256(F.col("t")).alias("digest"), "id"))
+    assert [len(t) for t in index.tiers] == [1, 0, 1]
+    assert sorted((r["id"], r["copies"]) for r in index.compact().collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 5)]
+    assert index.rows().count() == 10
+
+
+def test_a_filter_misses_nothing(spark):
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    told = may_hold(rows, F.col("k"), rows.where("k % 3 = 0"), F.col("k"), "here").collect()
+    assert all(r["here"] for r in told if r["k"] % 3 == 0) and len(told) == 3000
+    assert sum(r["here"] for r in told) < 1100
+    assert not any(r["here"] for r in may_hold(rows, F.col("k"), rows.limit(0), F.col("k"), "here").collect())
+
+
+def test_dropping(spark, monkeypatch):
+    docs = frame(spark, ROWS)
+    want = sorted({(i, t or "") for i, t in ROWS if i == max((j for j, u in ROWS if (u or "") == (t or "") and j is not None), default=None)}, key=str)
+    for bits in (exact.FILTER_BITS, 8):  # so few bits that the filter confuses texts
+        monkeypatch.setattr(exact, "FILTER_BITS", bits)
+        kept = drop_exact_duplicates(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == want
+    assert drop_exact_duplicates(docs.limit(0)).collect() == []

@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import pii
@@ -50,3 +52,26 @@ def test_rows(spark):
     assert got == {(1, ()), (None, (("email", 0, 5),)), (2, ()), (2, (("email", 2, 7), ("phone", 8, 25)))}
     assert pii.find_personal_data(docs.limit(0)).collect() == []
     assert pii.redact("é a@b.c +1 (437) 555-0689!", [("email", 2, 7), ("phone", 8, 25)]) == "é [email] [phone]!"
+
+
+def test_selection_against_comparing_all():
+    rng = random.Random(8)
+    for _ in range(200):
+        span = lambda: (lambda a: (a, a + rng.randint(1, 6)))(rng.randint(0, 40))
+        base = [(rng.randint(0, 3), *span()) for _ in range(rng.randint(0, 5))]
+        proposed = [(rng.randint(4, 7), *span()) for _ in range(rng.randint(0, 12))]
+        p = np.array([rng.choice([0.2, 0.6, 0.7, 0.9]) for _ in proposed])
+        taken, added = [(a, b) for _, a, b in base], []
+        for i in sorted(range(len(proposed)), key=lambda i: (-p[i], proposed[i])):
+            kind, a, b = proposed[i]
+            if p[i] >= 0.5 and not any(a < d and c < b for c, d in taken):
+                taken.append((a, b))
+                added.append((kind, a, b))
+        assert pii.select(base, proposed, p, dict.fromkeys(range(8), 0.5)) == base + sorted(added)
+
+
+def test_a_hundred_thousand_proposals():
+    proposed = [(5, 12 * i, 12 * i + 11) for i in range(100_000)]
+    began = time.perf_counter()
+    assert len(pii.select([], proposed, np.ones(100_000), {5: 0.5})) == 100_000
+    assert time.perf_counter() - began < 5

@@ -47,3 +47,11 @@ def test_two_owners_are_unclear_and_stay(spark):
     # Many owners in too few repositories are no widely copied example.
     one = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), repository_cols=("lang",))[0]
     assert {r["id"]: r["verdicts"] for r in one.collect()}[10] == "url:2:25:unclear"
+
+
+def test_a_hundred_thousand_matches(spark):
+    one = "AKIA" + "A" * 20 + " "
+    docs = spark.createDataFrame([(1, one * 100_000, "s", "en")], "doc_id long, text string, source string, lang string")
+    found, _ = find_secrets(docs)
+    (row,) = found.selectExpr("size(found) as n", "found[99999].end as z", "n_live").collect()
+    assert tuple(row) == (100_000, 100_000 * 25 - 1, 100_000)
