@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache, partial
 from uuid import uuid4
 
@@ -17,18 +18,45 @@ U64 = np.uint64
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/ledgerloom/{uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Tables that were written since each open ``scratch`` began, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes within are deleted at the end, but for those it is told to keep."""
+    made: list[str] = []
+    token = _written.set((*_written.get(), made))
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        context = spark.sparkContext
+        for path in made:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs don't repeat its work.
 
+    Within ``scratch`` the table goes with it; with ``keep`` it goes with the scratch around that, if any.
+
     A table that is read again also has no partitioning that a join could rely on, so that both
     sides of the join are shuffled and Spark may split the partitions of a hot key.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
+    open_ = _written.get()[:-1] if keep else _written.get()
+    if open_:
+        open_[-1].append(path)
     with shuffles_go(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -99,7 +127,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i up to n."""
-    up, down = _powers(1 << max(21, n.bit_length()))
+    up, down = _powers(1 << max(20, n.bit_length()))
     return up[: n + 1], down[: n + 1]
 
 

@@ -252,9 +252,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     standing = each.where("n > 1 and ends > 0 and row = stands").dropDuplicates(["anchor", "range"])
     ends = each.where("n = 1").select(entry).unionByName(standing.select(entry)).join(rows.select("row", "key"), "row")
     wanted = cut(ends.groupBy("key").agg(F.collect_list(F.struct("anchor", "row", "place", "first", "last")).alias("ends")), "ends")
-    joined = keyed_texts(own, wanted).dropDuplicates(["key"]).join(wanted, "key").select("text", "ends")
-    contexts = joined.mapInArrow(partial(_contexts, length=length), "anchor long, row long, first int, before int, bytes binary")
-    contexts = cut(contexts, "contexts")
+    with keyed_texts(own, wanted) as texts:
+        joined = texts.dropDuplicates(["key"]).join(wanted, "key").select("text", "ends")
+        contexts = joined.mapInArrow(partial(_contexts, length=length), "anchor long, row long, first int, before int, bytes binary")
+        contexts = cut(contexts, "contexts")
     wide = again.where(F.col("all") > panel).select("anchor")
     wide = cut(wide, "wide")
     span = "row long, start int, end int"
@@ -275,10 +276,11 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = cut(each.mapInArrow(_merged, "row long, runs array<struct<start: int, end: int>>, n_removed long"), "merged")
     told = cut(rows.join(merged, "row", "left"), "told")
     partial_ = told.where("n_removed < n_bytes").select("row", "key", "runs")
-    texts = keyed_texts(docs.select(F.col(text_col).alias("text")), partial_)
-    kept = texts.join(partial_, "key").select("row", "text", "runs").mapInArrow(_kept, "row long, kept string").dropDuplicates(["row"])
+    with keyed_texts(docs.select(F.col(text_col).alias("text")), partial_) as texts:
+        kept = texts.join(partial_, "key").select("row", "text", "runs").mapInArrow(_kept, "row long, kept string").dropDuplicates(["row"])
+        kept = cut(kept, "kept")
     gone = F.when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(""), 256))
-    return told.join(cut(kept, "kept"), "row", "left").select(
+    return told.join(kept, "row", "left").select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<start: int, end: int>>")).alias("runs"),
         F.coalesce("kept", gone, "sha256").alias("kept_sha256"),
     )

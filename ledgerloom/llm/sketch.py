@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -18,6 +19,8 @@ from ledgerloom.llm.common import U64, mix, shuffles_go, text_blocks
 PARTS = 32
 SCHEMA = "part int, salt int, cells binary"
 FILTER_BITS = 1 << 24
+#: Keys that a task remembers to have given.
+REMEMBERED = 200_000
 
 
 def pieces(cells: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
@@ -118,9 +121,9 @@ class NumberFilter:
         return cls(merged(numbers.mapInArrow(cls.fill, SCHEMA), 1 << (cls.BITS - 3), "uint8", "or"))
 
 
-def counted(texts: DataFrame, size: int, fill: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
-    """Counts by cell that ``fill`` makes of each task's texts; a count above 255 stays there."""
-    return merged(texts.mapInArrow(fill, SCHEMA), size, "uint8")
+def counted(texts: DataFrame, size: int, fill: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str = "uint8") -> np.ndarray:
+    """Counts by cell that ``fill`` makes of each task's texts; a count stays at the greatest value of its kind."""
+    return merged(texts.mapInArrow(fill, SCHEMA), size, kind)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.Re
             for k in range(len(at) - 1):
                 key = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
                 if key in wanted and key not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < REMEMBERED:
                         seen.add(key)
                     keys.append(key)
                     take.append(lo + k)
@@ -141,10 +144,15 @@ def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text").take(pa.array(take))], ["key", "text"])
 
 
-def keyed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+@contextmanager
+def keyed_texts(docs: DataFrame, wanted: DataFrame) -> Iterator[DataFrame]:
     """(key, text) of the documents whose key is among those of ``wanted``, and of few others.
 
-    The key is the 128-bit XXH3 of the UTF-8 bytes. An equal text comes once from each task.
+    The key is the 128-bit XXH3 of the UTF-8 bytes. An equal text comes once from each task. The filter
+    that the tasks read goes at the end: what is made of the texts must be written by then.
     """
     sent = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted))
-    return docs.select("text").mapInArrow(partial(_texts, sent=sent), "key binary, text string")
+    try:
+        yield docs.select("text").mapInArrow(partial(_texts, sent=sent), "key binary, text string")
+    finally:
+        sent.destroy()

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import simjoin
@@ -70,3 +71,61 @@ def test_components_of_chains(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     want = {x: min(order[i - i % 50 : i - i % 50 + 50]) for i, x in enumerate(order)}
     assert got == want
+
+
+def near_copies(seed, n, words=120, replaced=7):
+    """Copies of one text, each with some words replaced: most share much and yet don't link."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    docs = []
+    for d in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), rng.randint(0, replaced)):
+            own[at] = f"x{rng.randrange(10**6)}" if rng.random() < 0.8 else f"w{rng.randrange(words)}"
+        docs.append((d, " ".join(own)))
+    return docs
+
+
+@pytest.mark.parametrize("replaced", [5, 9, 30])
+def test_a_large_group_of_copies_that_do_not_link(spark, monkeypatch, replaced):
+    monkeypatch.setattr(simjoin, "PORTION", 60)
+    monkeypatch.setattr(simjoin, "PART", 50)
+    paired = []
+    verify = simjoin.Join.verify
+
+    def counting(self, pairs):
+        pairs = pairs.distinct().cache()
+        paired.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(simjoin.Join, "verify", counting)
+    docs = near_copies(replaced, 300, replaced=replaced) + [(1000 + d, t) for d, t in near_copies(99, 20)]
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute(docs)
+    assert sorted(map(tuple, got), key=str) == want
+    if replaced == 9:
+        assert len({c for *_, c in want}) > 50
+    # Pairs that are verified one by one grow with the sets, not with their square.
+    assert sum(paired) <= 10 * len(docs)
+
+
+def test_answers_from_differences():
+    rng = random.Random(5)
+    for _ in range(50):
+        base = set(rng.sample(range(200), 60))
+        sets = [set(rng.sample(sorted(base), 50)) | set(rng.sample(range(400), rng.choice([1, 8, 60]))) for _ in range(12)]
+        hubs = simjoin.Hubs()
+        for k, x in enumerate(sets[:-1]):
+            hubs.add(k, k, np.array(sorted(x), np.uint64))
+        theirs = sets[-1]
+        want = [k for k, x in enumerate(sets[:-1]) if 100 * len(x & theirs) >= 55 * len(x | theirs)]
+        assert hubs.links(np.array(sorted(theirs), np.uint64), 55).tolist() == want
+
+
+def test_dropping_with_nulls_ties_and_clashing_columns(spark):
+    docs = [(None, "a b c d e f", "x"), (7, "a b c d e f", "y"), (7, "a b c d e f", "y"), (8, None, None), (9, "", None), (None, "other words", None), (3, "z " * 50_000, "n")]
+    frame = spark.createDataFrame([(d, t, x, 1, 2) for d, t, x in docs], "doc_id long, text string, number string, id int, row int")
+    kept = simjoin.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, "a b c d e f"), (8, None), (9, ""), (None, "other words"), (3, "z " * 50_000)], key=str)
+    assert simjoin.drop_near_duplicates(frame.limit(0)).collect() == []
