@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality
-from ledgerloom.llm.common import cut, documents
+from ledgerloom.llm.common import cut, documents, scratch
 from ledgerloom.llm.decontam import drop_contaminated
 from ledgerloom.llm.exact import drop_exact_duplicates
 from ledgerloom.llm.mixing import mix_sources
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
