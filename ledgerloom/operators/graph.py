@@ -1,27 +1,52 @@
-"""Components of a graph given by its edges."""
+"""Tables in the shared folder, and components of a graph given by its edges."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that the cluster shares and read again, so that later steps don't repeat it.
+
+    A lost executor costs no more than the step at hand. Only where ``spark.checkpoint.dir`` is unset in a
+    local session, as in tests, is a folder of our own taken.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/ledgerloom/{uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that a node can reach over (a, b) edges.
 
-    Labels spread to neighbours and then jump to their label's label, until none changes; each round is
-    cut by a reliable checkpoint where the session has a folder for it.
+    Each round hangs every node on its least neighbour if that is less, follows the pointers twice, and
+    keeps of the edges those between different roots: the rounds grow with the logarithm of the longest
+    chain, and a node with many edges sends one row from each task. Edges from a node to itself count for
+    nothing; null nodes are left out.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), "label")
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
-        step = spread.join(jump, "new", "left").select("node", F.least("new", F.coalesce("above", "new")).alias("new"), "label").checkpoint()
-        if step.where("new <> label").isEmpty():
-            return labels
-        labels = step.select("node", F.col("new").alias("label"))
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = written(edges.distinct(), "edges")
+    labels = None
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
+        hung = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "hung")
+        for _ in range(2):
+            above = hung.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            hung = hung.join(above, "label").select("node", F.col("above").alias("label"))
+        hung = written(hung, "jumped")
+        if labels is None:
+            labels = hung
+        else:
+            above = hung.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            labels = written(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
+        root = lambda side, of=hung: of.select(F.col("node").alias(side), F.col("label").alias(f"{side}_root"))
+        kept = left.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root")
+        left = written(kept.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)

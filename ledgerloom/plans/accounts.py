@@ -76,16 +76,6 @@ def dup_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ledger(spark, sf_dir).exceptions.groupBy("exception_type", candidate.alias("candidate")).agg(F.count("*").alias("n"))
 
 
-@register("parse_dates", duck("""select event_id, try_strptime(regexp_extract(raw, '[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}'), '%d.%m.%Y') as at
-from (select event_id, case when event_id % 5 = 0 then 'on 31.02.2024' when event_id % 5 = 1 then 'none' else strftime(ts, '%d.%m.%Y') || ' 10:15' end as raw from {events})"""))
-def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first date of a line; what is no day of the calendar is null."""
-    kind = F.col("event_id") % 5
-    raw = F.when(kind == 0, "on 31.02.2024").when(kind == 1, "none").otherwise(F.concat(F.date_format("ts", "dd.MM.yyyy"), F.lit(" 10:15")))
-    day = F.regexp_extract(raw, r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", 0)
-    return Ledger(spark, sf_dir).base("events").select("event_id", F.try_to_timestamp(day, F.lit("dd.MM.yyyy")).alias("at"))
-
-
 @register("statement_tx", duck("""select distinct t.id from {transactions} t join {links} l on l.transaction_id = t.id join {statement_rows} r on r.id = l.statement_row_id where r.statement_id = 'st_2_ov'"""))
 def statement_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark, sf_dir)

@@ -139,31 +139,6 @@ def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ledger(spark, sf_dir).statements.select("id", F.coalesce(F.nullif(found, F.lit("")), F.regexp_replace(path, "^.*/", "")).alias("source"))
 
 
-RAW = "case event_id % 5 when 0 then '− 1 234,50 ₽' when 1 then '+' || cast(value as decimal(14,2)) when 2 then 'n/a' when 3 then '12 345.60' else '–' || cast(value as decimal(14,2)) end"
-
-
-@register("parse_money", duck(f"""select event_id, try_cast(regexp_replace(replace(translate(raw, '−–,', '--.'), '+', ''), '[^0-9.-]', '', 'g') as decimal(14,2)) as amount from (select event_id, {RAW} as raw from {{events}})"""))
-def parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts with any minus, any space and a comma; what is no number is null."""
-    kind, value = F.col("event_id") % 5, F.col("value").cast("decimal(14,2)").cast("string")
-    raw = F.when(kind == 0, "− 1 234,50 ₽").when(kind == 1, F.concat(F.lit("+"), value)).when(kind == 2, "n/a").when(kind == 3, "12 345.60").otherwise(F.concat(F.lit("–"), value))
-    return Ledger(spark, sf_dir).base("events").select("event_id", parsed_money(raw).alias("amount"))
-
-
-def parsed_money(raw: Column) -> Column:
-    plain = F.regexp_replace(F.replace(F.translate(raw, "−–,", "--."), F.lit("+"), F.lit("")), "[^0-9.-]", "")
-    return plain.try_cast("decimal(14,2)")
-
-
-@register("clean_merchant", duck("""select event_id, left(trim(regexp_replace(regexp_replace(raw, '[0-9]{6,}|\\*{2,}[0-9]*|["«»]', ' ', 'g'), '\\s+', ' ', 'g')), 120) as merchant
-from (select event_id, ' SHOP «' || event_type || '»  ' || cast(event_id + 1000000 as varchar) || ' **' || cast(user_id as varchar) as raw from {events})"""))
-def clean_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without long numbers, masked cards and quotes; 120 characters at most."""
-    raw = F.concat(F.lit(" SHOP «"), "event_type", F.lit("»  "), (F.col("event_id") + 1000000).cast("string"), F.lit(" **"), F.col("user_id").cast("string"))
-    bare = F.regexp_replace(raw, r'[0-9]{6,}|\*{2,}[0-9]*|["«»]', " ")
-    return Ledger(spark, sf_dir).base("events").select("event_id", F.left(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(120)).alias("merchant"))
-
-
 SQL_ORPHANS = """gone as (select id from {statement_rows} where statement_id = 'st_1_ov'),
 touched as (select distinct transaction_id as id from {links} where statement_row_id in (select id from gone)),
 kept as (select distinct transaction_id as id from {links} where statement_row_id not in (select id from gone)),

@@ -49,6 +49,37 @@ select 'row_' || lpad(cast(event_id as string), 8, '0') || '_b', 'st_' || cast(u
 from {events} where event_id % 8 = 0
 """
 
+#: Rows as they are parsed from statements, with what was found out of the transaction in each; some stand twice.
+TEXTS["imports"] = """
+select id as statement_row_id, statement_id, event_id, 'acc_' || split_part(statement_id, '_', 2) as account_id, row_index, page_number, raw_text,
+  operation_date as row_at, cast(null as timestamp) as row_posted, amount as row_amount, currency as row_currency, direction as row_direction, cast(null as string) as row_precision,
+  case when event_id % 17 = 0 then null else operation_date end as tx_at, case when event_id % 5 = 0 then operation_date + interval 1 day end as tx_posted,
+  case when event_id % 19 = 0 then cast(0 as decimal(14,2)) else amount end as tx_amount, case when event_id % 23 = 0 then '' else currency end as tx_currency,
+  case when event_id % 29 = 0 then null else direction end as tx_direction,
+  case when event_id % 6 = 0 then '' when event_id % 6 = 1 then 'Purchase item ' || cast(event_id % 40 as string) else 'Purchase  item ' || cast(event_id % 40 as string) || ' Merchant 12' end as tx_description,
+  case when event_id % 4 <> 0 then 'merchant ' || cast(event_id % 40 as string) else '' end as tx_merchant,
+  case when event_id % 3 = 0 then 'REF ' || cast(event_id % 500 as string) when event_id % 7 = 0 then 'XREF-' || cast(event_id % 500 as string) else '' end as tx_reference,
+  case when event_id % 8 = 0 then 'shopping' end as tx_category, case when event_id % 7 = 0 then 'date_only' else 'exact' end as tx_precision
+from (select * from {statement_rows} union all
+  select replace(id, '_a', '_c'), statement_id, row_index, page_number, raw_text, amount, currency, direction, operation_date, event_id from {statement_rows} where event_id % 40 = 1 and id like '%_a') as r
+"""
+
+#: Lines of statement pages in several layouts.
+TEXTS["lines"] = """
+select event_id, cast(floor(event_id / 10) as int) as page, case when event_type in ('view','signup') then 'in' else 'out' end as direction,
+  case user_id % 3 when 0 then 'yandex' when 1 then 'sber' else 'other' end as bank,
+  case user_id % 7 when 0 then 'SPB_2024.pdf' when 1 then 'Yandex card.pdf' when 2 then 'сбер savings.pdf' when 3 then 'ozon wallet.pdf' when 4 then 'deposit.pdf' else 'statement.pdf' end as file_name,
+  case event_id % 7 when 0 then '− 1 234,50' when 1 then '+' || cast(cast(value as decimal(14,2)) as string) when 2 then 'a1b2' when 3 then '12 345.60' when 4 then '12 of 5' when 5 then '' else '–' || cast(cast(value as decimal(14,2)) as string) end as raw,
+  lpad(cast(day(ts) as string), 2, '0') || case when event_id % 4 = 0 then '/' else '.' end || lpad(cast(month(ts) as string), 2, '0') || case when event_id % 4 = 0 then '/' else '.' end || cast(year(ts) as string) || ' ' ||
+  case event_id % 16 when 0 then '10:15 Оплата товаров по карте SHOP*MARKET 12 −1 234,50 ₽' when 1 then '25:61:00 Перевод от Иван И. операция по карте +500,00' when 2 then '09:01:07 Отправитель: ООО "Ромашка", договор 1234567 1 000,00'
+    when 3 then 'Списание ****1234 в КОФЕЙНЯ дата 300,00 12 000,00' when 4 then 'Зачисление к/с 31.02.2024 77,10' when 5 then 'Капитализация вклада 15.00' when 6 then 'Оплата СБП QR магазин: Лента; чек - 45,00'
+    when 7 then 'возврат покупки по qr-коду СБП 9,99' when 8 then 'Банк Санкт-Петербург счёт без суммы' when 9 then 'Справка о движении средств Озон' when 10 then 'Зачисление зарплаты от АО Завод 40 000,00'
+    when 11 then 'Входящий перевод СБП, Пётр П. +10,00 Страница 2' when 12 then 'сумма из ALIFMOBI6 дата 3,33' when 13 then 'Перевод для клиента на счёте 1,00' when 14 then 'Покупка ПАО «Мега Маркет» 123456789 99,90' else 'исходящий перевод сбп 250000000000,00' end as line
+from {events}
+union all
+select event_id, cast(floor(event_id / 10) as int), 'in', 'other', 'statement.pdf', '31', case event_id % 4 when 0 then '31.02.2024 нет дня 5,00' when 1 then 'ИВАНОВ ИВАН 40817810000000 перевод' when 2 then ' Зачисление  остатка ЭДС ' else '' end from {events} where event_id % 25 = 0
+"""
+
 TEXTS["links"] = """
 select case when event_id % 211 = 0 then 'tx_missing_' || cast(event_id as string) else 'tx_' || lpad(cast(event_id as string), 8, '0') end as transaction_id, id as statement_row_id
 from {statement_rows} r where event_id % 97 <> 0
