@@ -16,7 +16,7 @@ HIGH_LEAST_IN, HIGH_LEAST_OUT = "185.00", "50.00"
 LIST_HINTS = ("%перевод%", "%сбп%", "%sbp%", "%между своими%", "%собственн%", "%transfer%", "%between accounts%", "%p2p%")
 STRICT_FLOWS = ("%списание к/с%", "%зачисление к/с%")
 STRICT_HINTS = ("%перевод%", "%между своими%", "%собственн%", "%transfer%", "%between accounts%", "%p2p%", "%платеж сбп%")
-STRICT_EXCEPTIONS = (("%перевод денежных средств%", "%интернет-банк%"), ('%комиссия за оказание услуги "перевод с карты на карту"%', "%sankt-peterburg, ru%"))
+STRICT_EXCEPTIONS = (("%перевод денежных средств%", "%интернет-банк%"), ('%комиссия за оказание услуги "перевод с карты на карту"%', "%sankt-pe, sankt-peterburg, ru%"))
 # Meanings.
 TRANSFERS = ("internal_transfer", "external_transfer")
 OBVIOUS_OUT, OBVIOUS_IN = ("spend", "fee"), ("income", "refund", "cashback", "interest")
@@ -47,8 +47,11 @@ def ledger_time() -> Column:
     return F.coalesce("operation_datetime", "posting_datetime", "created_at")
 
 
-def lens(name: str) -> Column:
-    """True for the transactions that a cash-flow lens leaves out; unknown names are the internal lens."""
+def lens(name: str, narratives: Sequence[str] = ()) -> Column:
+    """True for the transactions that a cash-flow lens leaves out; unknown names are the internal lens.
+
+    ``narratives`` are further patterns of descriptions that the strict lens excuses, such as those that name a person.
+    """
     meaning, description = text("meaning"), F.lower(text("description_raw"))
     internal = meaning == TRANSFERS[0]
     marked = meaning.isin(*TRANSFERS)
@@ -59,7 +62,7 @@ def lens(name: str) -> Column:
         enough_out = ~incoming & (amount >= F.lit(HIGH_LEAST_OUT).cast("decimal(14,2)")) & any_like(description, HIGH_OUT)
         return marked | ((F.lower(text("bank_category")) == "transfer") & (text("bank_reference_id") != "") & (enough_in | enough_out))
     if name == "strict_transfer_like":
-        excused = reduce(or_, (description.like(a) & description.like(b) for a, b in STRICT_EXCEPTIONS))
+        excused = reduce(or_, [*(description.like(a) & description.like(b) for a, b in STRICT_EXCEPTIONS), *(description.like(p) for p in narratives)])
         return marked | any_like(description, STRICT_FLOWS) | (any_like(description, STRICT_HINTS) & ~excused)
     if name == "strict_list":
         return (meaning == TRANSFERS[1]) | (F.lower(text("bank_category")) == "transfer") | any_like(description, LIST_HINTS)

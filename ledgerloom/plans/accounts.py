@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import cents, needs_review
-from ledgerloom.plans.browse import SQL_REVIEW
+from ledgerloom.functions.columns import cents
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.ledger import Ledger, duck
 
 
-@register("tx_account", duck("""select t.id, coalesce(nullif(case when t.id like '%7' then '' else t.account_id end, ''), min(r.statement_id)) as account
-from {transactions} t left join {links} l on l.transaction_id = t.id left join {statement_rows} r on r.id = l.statement_row_id group by t.id, t.account_id"""))
+@register("tx_account", duck("""select t.id, coalesce(nullif(case when t.id like '%7' then '' else t.account_id end, ''), min(s.account_id)) as account
+from {transactions} t left join {links} l on l.transaction_id = t.id left join {statement_rows} r on r.id = l.statement_row_id left join {sheets} s on s.id = r.statement_id group by t.id, t.account_id"""))
 def tx_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transaction's own account, or where it has none the least of its statements."""
+    """A transaction's own account, or where it has none the least account of its statements."""
     ledger = Ledger(spark, sf_dir)
-    rows = ledger.statement_rows.select(F.col("id").alias("statement_row_id"), "statement_id")
-    derived = ledger.links.join(rows, "statement_row_id").groupBy(F.col("transaction_id").alias("id")).agg(F.min("statement_id").alias("derived"))
-    own = F.when(~F.col("id").endswith("7"), F.col("account_id"))
+    sheets = ledger.sheets.select(F.col("id").alias("statement_id"), F.col("account_id").alias("sheet_account"))
+    rows = ledger.statement_rows.select(F.col("id").alias("statement_row_id"), "statement_id").join(sheets, "statement_id")
+    derived = ledger.links.join(rows, "statement_row_id").groupBy(F.col("transaction_id").alias("id")).agg(F.min("sheet_account").alias("derived"))
+    own = F.when(~F.col("id").endswith("7"), F.nullif("account_id", F.lit("")))
     return ledger.transactions.join(derived, "id", "left").select("id", F.coalesce(own, "derived").alias("account"))
 
 
@@ -44,38 +44,6 @@ def remap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("out_id", "in_id").agg(F.max_by("status", F.struct("rank", "id")).alias("status"), F.max("match_score").alias("score"), F.count("*").alias("n"))
 
 
-@register("class_mismatch", duck("""
-with own as (select strftime(operation_date, '%Y-%m-%d') as day, direction, (abs(amount) * 100)::bigint // 1000 as band, count(*) as n from {statement_rows} group by all),
-told as (select strftime(coalesce(operation_datetime, created_at), '%Y-%m-%d') as day, direction, (abs(amount) * 100)::bigint // 1000 as band, count(*) as n from {transactions} group by all)
-select coalesce(own.day, told.day) as day, coalesce(own.direction, told.direction) as direction, coalesce(own.band, told.band) as band, coalesce(own.n, 0) - coalesce(told.n, 0) as gap
-from own full join told on own.day = told.day and own.direction = told.direction and own.band = told.band where coalesce(own.n, 0) <> coalesce(told.n, 0)
-order by abs(gap) desc, day, direction, band limit 200"""))
-def class_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 200 keys of day, direction and band of amount on which two sides differ most."""
-    ledger = Ledger(spark, sf_dir)
-    key = lambda at: [F.date_format(at, "yyyy-MM-dd").alias("day"), "direction", F.floor(F.abs(cents(F.col("amount"))) / 1000).alias("band")]
-    own = ledger.statement_rows.groupBy(*key("operation_date")).agg(F.count("*").alias("n_own"))
-    told = ledger.transactions.groupBy(*key(F.coalesce("operation_datetime", "created_at"))).agg(F.count("*").alias("n_told"))
-    both = own.join(told, ["day", "direction", "band"], "full").na.fill(0, ["n_own", "n_told"]).withColumn("gap", F.col("n_own") - F.col("n_told"))
-    return both.where("gap <> 0").select("day", "direction", "band", "gap").orderBy(F.desc(F.abs("gap")), "day", "direction", "band").limit(200)
-
-
-@register("review_queue", duck(f"""select id, case when amount >= 100 then 'high' when amount >= 20 then 'medium' else 'low' end as severity, amount from {{transactions}} where {SQL_REVIEW}
-order by case when amount >= 100 then 0 when amount >= 20 then 1 else 2 end, amount desc, id limit 100"""))
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to look at first: by severity, then amount."""
-    amount = F.col("amount")
-    rank = F.when(amount >= 100, 0).when(amount >= 20, 1).otherwise(2)
-    severity = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), rank + 1)
-    return Ledger(spark, sf_dir).transactions.where(needs_review()).orderBy(rank, F.desc("amount"), "id").limit(100).select("id", severity.alias("severity"), "amount")
-
-
-@register("dup_candidate", duck("select exception_type, exception_type like '%duplicate%' or coalesce(json_extract_string(payload, '$.k'), '') = '1' as candidate, count(*) as n from {exceptions} group by all"))
-def dup_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidate = F.col("exception_type").contains("duplicate") | (F.coalesce(F.get_json_object("payload", "$.k"), F.lit("")) == "1")
-    return Ledger(spark, sf_dir).exceptions.groupBy("exception_type", candidate.alias("candidate")).agg(F.count("*").alias("n"))
-
-
 @register("statement_tx", duck("""select distinct t.id from {transactions} t join {links} l on l.transaction_id = t.id join {statement_rows} r on r.id = l.statement_row_id where r.statement_id = 'st_2_ov'"""))
 def statement_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark, sf_dir)

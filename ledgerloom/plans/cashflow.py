@@ -21,7 +21,7 @@ SQL_LENS = {
     "strict_transfer_like": f"""({MARKED} or {DESC} like '%списание к/с%' or {DESC} like '%зачисление к/с%'
       or (regexp_matches({DESC}, 'перевод|между своими|собственн|transfer|between accounts|p2p|платеж сбп')
         and not (({DESC} like '%перевод денежных средств%' and {DESC} like '%интернет-банк%')
-          or ({DESC} like '%комиссия за оказание услуги "перевод с карты на карту"%' and {DESC} like '%sankt-peterburg, ru%'))))""",
+          or ({DESC} like '%комиссия за оказание услуги "перевод с карты на карту"%' and {DESC} like '%sankt-pe, sankt-peterburg, ru%'))))""",
     "strict_list": f"""(coalesce(meaning, '') = 'external_transfer' or lower(coalesce(bank_category, '')) = 'transfer'
       or regexp_matches({DESC}, 'перевод|сбп|sbp|между своими|собственн|transfer|between accounts|p2p'))""",
 }

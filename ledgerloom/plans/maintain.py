@@ -2,136 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import money, text
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.ledger import Ledger, duck
 
-#: Rules are settings, compiled into one projection; more than this is refused.
-MOST_RULES = 2000
-
-SQL_MATCH = """r.enabled and (r.pattern <> '' or r.direction is not null or r.min_amount is not null or r.max_amount is not null)
-  and instr(lower(t.description_raw || ' ' || t.merchant_normalized || ' ' || t.bank_category), lower(trim(r.pattern))) > 0 and (r.direction is null or t.direction = r.direction)
-  and (r.min_amount is null or t.amount >= r.min_amount) and (r.max_amount is null or t.amount <= r.max_amount)"""
-
-
-def rule_set(rules: DataFrame) -> list[Row]:
-    """Enabled rules that say something, in the order in which they act."""
-    found = rules.where("enabled").orderBy("priority", "id").limit(MOST_RULES + 1).collect()
-    if len(found) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    return [r for r in found if r["pattern"] or any(r[c] is not None for c in ("direction", "min_amount", "max_amount"))]
-
-
-def matches(rule: Row) -> Column:
-    """Whether a rule's pattern and conditions fit the transaction as it came."""
-    out = F.lit(True)
-    if pattern := rule["pattern"].strip().lower():
-        out = F.lower(F.concat_ws(" ", "description_raw", "merchant_normalized", "bank_category")).contains(pattern)
-    if rule["direction"] is not None:
-        out &= F.col("direction") == rule["direction"]
-    if rule["min_amount"] is not None:
-        out &= F.col("amount") >= F.lit(rule["min_amount"])
-    if rule["max_amount"] is not None:
-        out &= F.col("amount") <= F.lit(rule["max_amount"])
-    return out
-
-
-def first_set(rules: list[Row], name: str, default: Column) -> Column:
-    """The value of the first rule that matches and sets one."""
-    chosen = [F.when(matches(r), F.lit(r[name])) for r in rules if r[name] is not None]
-    return F.coalesce(*chosen, default) if chosen else default
-
-
-def guarded(category: Column) -> Column:
-    """Income isn't an outflow's category nor spending an inflow's, unless somebody has looked."""
-    free = (text("meaning") != "internal_transfer") & (F.lower(F.trim(text("review_status"))) != "reviewed")
-    name = F.lower(F.trim(category))
-    return F.when(free & (F.col("direction") == "out") & (name == "income"), "Spending").when(free & (F.col("direction") == "in") & (name == "spending"), "Income").otherwise(category)
-
-
-@register("rule_matches", duck(f"select r.id as rule_id, count(*) as n_tx, sum(t.amount)::decimal(20,2) as total from {{transactions}} t join {{rules}} r on {SQL_MATCH} group by 1"))
-def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = Ledger(spark, sf_dir)
-    hits = F.filter(F.array(*[F.when(matches(r), r["id"]) for r in rule_set(ledger.rules)]), lambda x: x.isNotNull())
-    rows = ledger.transactions.select("amount", F.explode(hits).alias("rule_id"))
-    return rows.groupBy("rule_id").agg(F.count("*").alias("n_tx"), money(F.sum("amount")).alias("total"))
-
-
-SQL_GUARD = """case when coalesce(meaning, '') <> 'internal_transfer' and lower(trim(review_status)) <> 'reviewed' and direction = 'out' and lower(trim(category)) = 'income' then 'Spending'
-  when coalesce(meaning, '') <> 'internal_transfer' and lower(trim(review_status)) <> 'reviewed' and direction = 'in' and lower(trim(category)) = 'spending' then 'Income' else category end"""
-
-
-@register("rules_after_state", duck(f"""
-with hits as (select t.id, r.id as rule_id, r.priority, r.set_category, r.set_meaning, r.add_tag from {{transactions}} t join {{rules}} r on {SQL_MATCH}),
-firsts as (select id, arg_min(set_category, (priority, rule_id)) filter (where set_category is not null) as new_category, arg_min(set_meaning, (priority, rule_id)) filter (where set_meaning is not null) as new_meaning,
-  string_agg(add_tag, ',' order by priority, rule_id) as added from hits group by 1),
-done as (select t.id, t.direction, t.review_status, coalesce(f.new_category, t.category) as category, coalesce(f.new_meaning, t.meaning) as meaning, coalesce(f.added, '') as added from {{transactions}} t left join firsts f on f.id = t.id)
-select id, {SQL_GUARD} as category, meaning, added from done"""))
-def rules_after_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions as the rules leave them; conditions look at what came, only the actions are ordered."""
-    ledger = Ledger(spark, sf_dir)
-    rules = rule_set(ledger.rules)
-    added = F.concat_ws(",", *[F.when(matches(r), F.lit(r["add_tag"])) for r in rules if r["add_tag"] is not None])
-    out = ledger.transactions.select("id", "direction", "review_status", first_set(rules, "set_category", F.col("category")).alias("category"), first_set(rules, "set_meaning", F.col("meaning")).alias("meaning"), added.alias("added"))
-    return out.select("id", guarded(F.col("category")).alias("category"), "meaning", "added")
-
-
-@register("rules_preview", duck(f"""with hits as (select distinct t.id, t.category from {{transactions}} t join {{rules}} r on {SQL_MATCH})
-select (select count(*) from {{transactions}}) as scanned, (select count(*) from hits) as matched"""))
-def rules_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = Ledger(spark, sf_dir)
-    hit = F.lit(False)
-    for rule in rule_set(ledger.rules):
-        hit = hit | matches(rule)
-    return ledger.transactions.agg(F.count("*").alias("scanned"), F.count_if(hit).alias("matched"))
-
-
-@register("guardrail", duck(f"select id, {SQL_GUARD} as guarded from (select id, direction, meaning, review_status, case when id like '%1' then ' INCOME' when id like '%2' then 'spending' else category end as category from {{transactions}})"))
-def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    category = F.when(F.col("id").endswith("1"), " INCOME").when(F.col("id").endswith("2"), "spending").otherwise(F.col("category"))
-    return Ledger(spark, sf_dir).transactions.withColumn("category", category).select("id", guarded(F.col("category")).alias("guarded"))
-
-
-SQL_FILES = "(select event_id as id, event_id // 20 as batch, sha256(event_type || cast(user_id as varchar)) as hash from {events})"
-
-
-def files(ledger: Ledger) -> DataFrame:
-    """Uploads: one for each event, twenty to a batch, with the hash of what they hold."""
-    return ledger.base("events").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 20).alias("batch"), F.sha2(F.concat("event_type", F.col("user_id").cast("string")), 256).alias("hash"))
-
-
-def deduped(uploads: DataFrame) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("id")) == 1
-    return uploads.withColumn("status", F.when(first, "queued").otherwise("duplicate"))
-
-
-@register("file_dedupe", duck(f"select id, case when row_number() over (partition by hash order by id) = 1 then 'queued' else 'duplicate' end as status from {SQL_FILES}"))
-def file_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file whose hash came before, in any batch, is a duplicate."""
-    return deduped(files(Ledger(spark, sf_dir))).select("id", "status")
-
-
-@register("batch_summary", duck(f"""select batch, count(*) as n_files, count(*) filter (where status = 'queued') as created, case when count(*) filter (where status = 'queued') > 0 then 'queued' else 'failed' end as status
-from (select batch, case when row_number() over (partition by hash order by id) = 1 then 'queued' else 'duplicate' end as status from {SQL_FILES}) group by 1"""))
-def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    created = F.count_if(F.col("status") == "queued")
-    return deduped(files(Ledger(spark, sf_dir))).groupBy("batch").agg(F.count("*").alias("n_files"), created.alias("created"), F.when(created > 0, "queued").otherwise("failed").alias("status"))
-
-
-@register("resolve_accounts", duck("select provider, lower(trim(statement_type)) as kind, account_display, min(account_id) as account_id, count(*) as n from {statements} group by 1, 2, 3"))
-def resolve_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ["provider", F.lower(F.trim("statement_type")).alias("kind"), "account_display"]
-    return Ledger(spark, sf_dir).statements.groupBy(*key).agg(F.min("account_id").alias("account_id"), F.count("*").alias("n"))
-
-
-@register("mask_identifier", duck("select id, '****' || right(regexp_replace(account_display, '[^0-9]', '', 'g'), 4) as masked from {statements}"))
-def mask_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Ledger(spark, sf_dir).statements.select("id", F.concat(F.lit("****"), F.right(F.regexp_replace("account_display", "[^0-9]", ""), F.lit(4))).alias("masked"))
-
-
 @register("source_key", duck("select id, coalesce(nullif(regexp_extract(lower(pdf_path), '(all_[^/]*\\.pdf)$', 1), ''), regexp_replace(lower(pdf_path), '^.*/', '')) as source from {statements}"))
 def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.lower("pdf_path")
@@ -139,7 +15,7 @@ def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ledger(spark, sf_dir).statements.select("id", F.coalesce(F.nullif(found, F.lit("")), F.regexp_replace(path, "^.*/", "")).alias("source"))
 
 
-SQL_ORPHANS = """gone as (select id from {statement_rows} where statement_id = 'st_1_ov'),
+SQL_ORPHANS = """gone as (select id from {statement_rows} where statement_id = 'st_1_0'),
 touched as (select distinct transaction_id as id from {links} where statement_row_id in (select id from gone)),
 kept as (select distinct transaction_id as id from {links} where statement_row_id not in (select id from gone)),
 orphans as (select id from touched where id not in (select id from kept))"""
@@ -155,7 +31,7 @@ def orphans(ledger: Ledger, statement: str) -> tuple[DataFrame, DataFrame, DataF
 
 @register("orphan_tx", duck(f"with {SQL_ORPHANS} select id from orphans"))
 def orphan_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans(Ledger(spark, sf_dir), "st_1_ov")[2].withColumnRenamed("transaction_id", "id")
+    return orphans(Ledger(spark, sf_dir), "st_1_0")[2].withColumnRenamed("transaction_id", "id")
 
 
 @register("delete_statement_counts", duck(f"""with {SQL_ORPHANS} select (select count(*) from gone) as n_rows, (select count(*) from {{links}} where statement_row_id in (select id from gone)) as n_links,
@@ -163,7 +39,7 @@ def orphan_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_statement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes with a statement; transactions that other statements hold stay."""
     ledger = Ledger(spark, sf_dir)
-    gone, links, alone = orphans(ledger, "st_1_ov")
+    gone, links, alone = orphans(ledger, "st_1_0")
     sides = ledger.transfer_links.select("id", F.explode(F.array("transaction_out_id", "transaction_in_id")).alias("transaction_id"))
     transfers = sides.join(alone, "transaction_id", "left_semi").select("id").distinct()
     out = gone.agg(F.count("*").alias("n_rows"))
@@ -178,10 +54,3 @@ def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("transactions", "links", "transfer_links", "statements")
     parts = [getattr(ledger, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-
-
-@register("suggested_category", duck("""select id, coalesce(nullif(trim(json_extract_string(payload, '$.suggested_category')), ''), nullif(trim('K' || json_extract_string(payload, '$.k')), ''), 'Uncategorized') as category from {exceptions}"""))
-def suggested_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = lambda c: F.nullif(F.trim(c), F.lit(""))
-    named = full(F.get_json_object("payload", "$.suggested_category"))
-    return Ledger(spark, sf_dir).exceptions.select("id", F.coalesce(named, full(F.concat(F.lit("K"), F.get_json_object("payload", "$.k"))), F.lit("Uncategorized")).alias("category"))

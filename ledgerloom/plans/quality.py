@@ -11,26 +11,63 @@ from ledgerloom.plans.registry import register
 from ledgerloom.sources.ledger import Ledger, duck
 
 
-@register("core_metrics", duck("""
-select (select count(*) from {transactions}) as n_tx, (select sum(amount) from {transactions} where direction = 'in')::decimal(20,2) as income,
-  (select sum(amount) from {transactions} where direction = 'out')::decimal(20,2) as spend, (select count(*) from {transactions} where operation_datetime is null) as undated,
-  (select count(*) from {transactions} where coalesce(meaning, '') = 'internal_transfer') as internal, (select count(*) from {statement_rows}) as n_rows,
-  (select count(*) from {transfer_links}) as n_links, (select count(*) from {transfer_links} where status = 'suggested') as suggested, (select count(*) from {exceptions} where status = 'open') as open_exceptions"""))
-def core_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = Ledger(spark, sf_dir)
+SQL_CORE = """tx as (select count(*) as n_tx, count(*) filter (where direction = 'out') as n_out, count(*) filter (where direction = 'in') as n_in, coalesce(sum(amount) filter (where direction = 'out'), 0)::decimal(20,2) as gross_out,
+  coalesce(sum(amount) filter (where direction = 'in'), 0)::decimal(20,2) as gross_in, count(*) filter (where coalesce(meaning, '') = 'internal_transfer') as n_internal,
+  count(*) filter (where coalesce(meaning, '') <> 'internal_transfer' and direction = 'out') as n_spend, count(*) filter (where coalesce(meaning, '') <> 'internal_transfer' and direction = 'in') as n_income,
+  coalesce(sum(amount) filter (where coalesce(meaning, '') <> 'internal_transfer' and direction = 'out'), 0)::decimal(20,2) as spend, coalesce(sum(amount) filter (where coalesce(meaning, '') <> 'internal_transfer' and direction = 'in'), 0)::decimal(20,2) as income from {transactions}),
+lk as (select count(*) filter (where l.status = 'auto') as n_auto, count(*) filter (where l.status = 'suggested') as n_suggested, count(*) filter (where l.status = 'confirmed') as n_confirmed, count(*) filter (where l.status = 'rejected') as n_rejected,
+  count(*) filter (where o.id is null or i.id is null) as n_orphans from {transfer_links} l left join {transactions} o on o.id = l.transaction_out_id left join {transactions} i on i.id = l.transaction_in_id),
+un as (select count(*) as n_unresolved, coalesce(sum(amount) filter (where direction = 'out'), 0)::decimal(20,2) as unresolved_out, coalesce(sum(amount) filter (where direction = 'in'), 0)::decimal(20,2) as unresolved_in from {transactions}
+  where id in (select unnest([transaction_out_id, transaction_in_id]) from {transfer_links} where status = 'suggested')),
+core as (select *, (unresolved_in - unresolved_out)::decimal(20,2) as net_impact, (unresolved_in + unresolved_out)::decimal(20,2) as gross_impact from tx, lk, un)"""
+
+
+def core(ledger: Ledger) -> DataFrame:
+    """Eighteen measures of transactions and links, and what unresolved links may change; one row."""
+    out, into, own = F.col("direction") == "out", F.col("direction") == "in", ~lens("internal_only")
     tx = ledger.transactions.agg(
-        F.count("*").alias("n_tx"), total(F.col("amount"), F.col("direction") == "in").alias("income"), total(F.col("amount"), F.col("direction") == "out").alias("spend"),
-        F.count_if(F.col("operation_datetime").isNull()).alias("undated"), F.count_if(lens("internal_only")).alias("internal"),
+        F.count("*").alias("n_tx"), F.count_if(out).alias("n_out"), F.count_if(into).alias("n_in"), total(F.col("amount"), out).alias("gross_out"), total(F.col("amount"), into).alias("gross_in"), F.count_if(~own).alias("n_internal"),
+        F.count_if(own & out).alias("n_spend"), F.count_if(own & into).alias("n_income"), total(F.col("amount"), own & out).alias("spend"), total(F.col("amount"), own & into).alias("income"),
     )
-    rows = ledger.statement_rows.agg(F.count("*").alias("n_rows"))
-    links = ledger.transfer_links.agg(F.count("*").alias("n_links"), F.count_if(F.col("status") == "suggested").alias("suggested"))
-    exceptions = ledger.exceptions.agg(F.count_if(F.col("status") == "open").alias("open_exceptions"))
-    out = tx
-    for one_row in (rows, links, exceptions):
-        out = out.join(F.broadcast(one_row))  # aggregates of one row each
+    end = lambda side: ledger.transactions.select(F.col("id").alias(f"transaction_{side}_id"), F.lit(1).alias(side))
+    links = ledger.transfer_links.join(end("out"), "transaction_out_id", "left").join(end("in"), "transaction_in_id", "left")
+    counts = links.agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("auto", "suggested", "confirmed", "rejected")], F.count_if(F.col("out").isNull() | F.col("in").isNull()).alias("n_orphans"))
+    ids = ledger.transfer_links.where("status = 'suggested'").select(F.explode(F.array("transaction_out_id", "transaction_in_id")).alias("id"))
+    unresolved = ledger.transactions.join(ids, "id", "left_semi").agg(F.count("*").alias("n_unresolved"), total(F.col("amount"), out).alias("unresolved_out"), total(F.col("amount"), into).alias("unresolved_in"))
+    all_ = tx.join(F.broadcast(counts)).join(F.broadcast(unresolved))  # aggregates of one row each
+    return all_.withColumns({"net_impact": money(F.col("unresolved_in") - F.col("unresolved_out")), "gross_impact": money(F.col("unresolved_in") + F.col("unresolved_out"))})
+
+
+@register("core_metrics", duck(f"with {SQL_CORE} select * from core"))
+def core_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return core(Ledger(spark, sf_dir))
+
+
+SQL_INTEGRITY = """integrity as (select (select count(*) from {links} where transaction_id not in (select id from {transactions})) as links_without_tx, (select count(*) from {links} where statement_row_id not in (select id from {statement_rows})) as links_without_row,
+  (select count(*) from {statement_rows} where id not in (select statement_row_id from {links})) as rows_left, (select count(*) from {transactions} where id not in (select transaction_id from {links})) as tx_left,
+  (select count(*) from {sheets} where coalesce(reconcile_status, '') = 'mismatch') as n_mismatch)"""
+
+
+def integrity(ledger: Ledger) -> DataFrame:
+    """Links without a side, rows and transactions without a link, statements that don't add up; one row."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    tx, rows = ledger.transactions.select(F.col("id").alias("transaction_id")), ledger.statement_rows.select(F.col("id").alias("statement_row_id"))
+    out = count(ledger.links.join(tx, "transaction_id", "left_anti"), "links_without_tx")
+    for one_row in (
+        count(ledger.links.join(rows, "statement_row_id", "left_anti"), "links_without_row"),
+        count(rows.join(ledger.links, "statement_row_id", "left_anti"), "rows_left"),
+        count(tx.join(ledger.links, "transaction_id", "left_anti"), "tx_left"),
+        count(ledger.sheets.where("reconcile_status = 'mismatch'"), "n_mismatch"),
+    ):
+        out = out.join(F.broadcast(one_row))
     return out
 
 
+@register("link_integrity", duck(f"with {SQL_INTEGRITY} select * from integrity"))
+def link_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity(Ledger(spark, sf_dir))
+
+
 @register("unresolved_impact", duck("""
 with ids as (select transaction_out_id as id from {transfer_links} where status = 'suggested' union select transaction_in_id from {transfer_links} where status = 'suggested')
 select direction, count(*) as n_tx, sum(amount)::decimal(20,2) as impact from {transactions} where id in (select id from ids) group by direction"""))
@@ -133,20 +170,6 @@ def collapse_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_tx(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_tx"))
 
 
-@register("reference_tiers", duck("""select source_file, count(*) as n_rows, coalesce(sum(amount_rub) filter (where amount_rub > 0), 0)::decimal(20,2) as income,
-  coalesce(sum(-amount_rub) filter (where amount_rub < 0), 0)::decimal(20,2) as spend,
-  count(*) filter (where not (is_transfer = 'true' and transfer_confidence = 'high')) as n_tier_b, count(*) filter (where is_transfer <> 'true') as n_tier_c,
-  min(operation_date) as first_at, max(operation_date) as last_at from {reference_rows} group by 1"""))
-def reference_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows by file: all, without the sure transfers, without any."""
-    amount, transfer = F.col("amount_rub"), F.col("is_transfer") == "true"
-    return Ledger(spark, sf_dir).reference_rows.groupBy("source_file").agg(
-        F.count("*").alias("n_rows"), total(amount, amount > 0).alias("income"), total(-amount, amount < 0).alias("spend"),
-        F.count_if(~(transfer & (F.col("transfer_confidence") == "high"))).alias("n_tier_b"), F.count_if(~transfer).alias("n_tier_c"),
-        F.min("operation_date").alias("first_at"), F.max("operation_date").alias("last_at"),
-    )
-
-
 @register("per_file_mismatch", duck("""
 with own as (select 'all_' || upper(right(replace(pdf_path, '.pdf', ''), 1)) || '.pdf' as file, count(*) as n from {statements} group by 1),
 told as (select source_file as file, count(*) as n from {reference_rows} group by 1)
@@ -160,12 +183,22 @@ def per_file_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(told, "file", "full").na.fill(0, ["n_own", "n_told"]).withColumn("gap", F.col("n_own") - F.col("n_told"))
 
 
-@register("quality_status", duck("""with m as (select (select count(*) from {statement_rows} where id not in (select statement_row_id from {links})) as rows_left,
-  (select count(*) from {transactions} where id not in (select transaction_id from {links})) as tx_left, (select count(*) from {transfer_links} where status = 'suggested') as suggested)
-select *, case when rows_left > 0 or tx_left > 0 then 'critical' when suggested > 0 then 'warning' else 'ok' end as status from m"""))
+# Flags in their order, and which of them are incidents.
+FLAGS = (
+    ("suggested_transfer_links_pending", "n_suggested > 0"), ("orphan_transfer_links", "n_orphans > 0"), ("orphan_statement_links", "links_without_tx + links_without_row > 0"),
+    ("statement_reconciliation_mismatch", "n_mismatch > 0"), ("statement_rows_unlinked", "rows_left > 0"),
+)
+CRITICAL = ("orphan_transfer_links", "orphan_statement_links")
+
+
+@register("quality_status", duck(f"""with {SQL_CORE}, {SQL_INTEGRITY}, f as (select list_filter([{', '.join(f"case when {when} then '{name}' end" for name, when in FLAGS)}], lambda x: x is not null) as flags from core, integrity)
+select array_to_string(flags, ',') as flags, case when list_has_any(flags, {list(CRITICAL)}) then 'critical' when len(flags) > 0 then 'warning' else 'ok' end as status,
+  len(flags) - (list_contains(flags, 'orphan_transfer_links') and list_contains(flags, 'orphan_statement_links'))::int as n_recommendations from f"""))
 def quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    rows, tx = count(unlinked_rows(spark, sf_dir), "rows_left"), count(unlinked_tx(spark, sf_dir), "tx_left")
-    links = count(Ledger(spark, sf_dir).transfer_links.where("status = 'suggested'"), "suggested")
-    status = F.when((F.col("rows_left") > 0) | (F.col("tx_left") > 0), "critical").when(F.col("suggested") > 0, "warning").otherwise("ok")
-    return rows.join(F.broadcast(tx)).join(F.broadcast(links)).withColumn("status", status)  # one row each
+    """Flags, what they amount to, and how many things there are to do (both kinds of orphans are one)."""
+    ledger = Ledger(spark, sf_dir)
+    flags = F.array_compact(F.array(*[F.when(F.expr(when), F.lit(name)) for name, when in FLAGS]))
+    told = core(ledger).join(F.broadcast(integrity(ledger))).select(flags.alias("flags"))  # one row each
+    incident = F.arrays_overlap("flags", F.array(*map(F.lit, CRITICAL)))
+    both = (F.size(F.array_intersect("flags", F.array(*map(F.lit, CRITICAL)))) == 2).cast("int")
+    return told.select(F.array_join("flags", ",").alias("flags"), F.when(incident, "critical").when(F.size("flags") > 0, "warning").otherwise("ok").alias("status"), (F.size("flags") - both).alias("n_recommendations"))

@@ -126,16 +126,60 @@ select 'ref_' || cast(l_orderkey as string) || '_' || cast(l_linenumber as strin
 from {lineitem}
 """
 
-#: Rules of every kind: setters, tag actions, a pattern, conditions, one disabled, one that says nothing.
-TEXTS["rules"] = """
-select * from (values
-  ('r1', 'merchant 1', 10, true, cast(null as string), cast(null as decimal(14,2)), cast(null as decimal(14,2)), 'Groceries', cast(null as string), 'food', cast(null as string)),
-  ('r2', '', 20, true, 'out', cast(100 as decimal(14,2)), null, 'Large', 'spend', 'large', null),
-  ('r3', 'payroll', 20, true, 'in', null, null, 'Spending', 'salary', null, null),
-  ('r4', 'item 2', 30, true, null, null, cast(50 as decimal(14,2)), 'Small', null, 'small', 'home'),
-  ('r5', 'purchase', 5, false, null, null, null, 'Never', null, null, null),
-  ('r6', '', 1, true, null, null, null, 'Nothing', null, null, null)
-) as t(id, pattern, priority, enabled, direction, min_amount, max_amount, set_category, set_meaning, add_tag, remove_tag)
+RULE_COLUMNS = (
+    "id, name, priority, created_at, enabled, pattern, direction, currency, meaning, category, category_empty, description_contains, merchant_contains, bank_category_contains, "
+    "min_amount, max_amount, tags_any, tags_all, tags_none, set_category, set_meaning, set_review_status, set_tags, add_tags, remove_tags"
+)
+_NAMES = RULE_COLUMNS.split(", ")
+_KINDS = {"priority": "int", "created_at": "timestamp", "enabled": "boolean", "category_empty": "boolean", "min_amount": "decimal(14,2)", "max_amount": "decimal(14,2)"}
+
+
+def _rule(**said: str) -> str:
+    """A rule as a row of SQL; what isn't said is null."""
+    return "select " + ", ".join(f"cast({said.get(n, 'null')} as {_KINDS.get(n, 'string')}) as {n}" for n in _NAMES)
+
+
+def _rules(*rules: str) -> str:
+    return " union all ".join(rules)
+
+
+_day = "timestamp '2024-01-0{}'".format
+#: Rules of every kind: setters, tags, a pattern, each condition, one disabled, one that says nothing.
+TEXTS["rules"] = _rules(
+    _rule(id="'r1'", priority="10", created_at=_day(1), enabled="true", pattern="'Merchant 1'", set_category="'Groceries'", add_tags="'food'"),
+    _rule(id="'r2'", priority="20", created_at=_day(1), enabled="true", pattern="''", direction="'out'", min_amount="100", set_category="'Large'", set_meaning="'spend'", add_tags="'large,food'"),
+    _rule(id="'r3'", priority="20", created_at=_day(2), enabled="true", pattern="'payroll'", direction="'in'", set_category="'Spending'", set_meaning="'salary'", set_review_status="'needs_review'"),
+    _rule(id="'r4'", priority="30", created_at=_day(1), enabled="true", pattern="'item 2'", max_amount="50", set_category="'Small'", add_tags="'small'", remove_tags="'home,food'"),
+    _rule(id="'r5'", priority="5", created_at=_day(1), enabled="false", pattern="'purchase'", set_category="'Never'"),
+    _rule(id="'r6'", priority="1", created_at=_day(1), enabled="true", pattern="'  '", set_category="'Nothing'"),
+    _rule(id="'r7'", priority="2", created_at=_day(1), enabled="true", pattern="''", currency="'RUB'", tags_any="'trip,none'", bank_category_contains="'SHOP'", set_tags="'away,trip'"),
+    _rule(id="'r8'", priority="15", created_at=_day(1), enabled="true", pattern="''", tags_all="'home,work'", category_empty="true", description_contains="'СБП'", set_tags="'own'", set_category="'Income'"),
+    _rule(id="'r9'", priority="25", created_at=_day(1), enabled="true", pattern="''", tags_none="'home'", merchant_contains="'merchant 3'", meaning="'spend'", add_tags="'three'"),
+    _rule(id="'r10'", priority="40", created_at=_day(1), enabled="true", pattern="''", category="'Cat 4'", set_tags="''", set_review_status="'reviewed'"),
+)
+#: The ids, in order, of the rules that stand in where there are none.
+DEFAULT_RULES = ("d1", "d2", "d3")
+# These rules.
+TEXTS["default_rules"] = _rules(
+    _rule(id="'d1'", name="'[system] Internal transfer fallback'", priority="1000000", created_at=_day(1), enabled="true", pattern="''", meaning="'internal_transfer'", category_empty="true", set_category="'Transfer'"),
+    _rule(id="'d2'", name="'[system] Outflow fallback'", priority="1000001", created_at=_day(1), enabled="true", pattern="''", direction="'out'", category_empty="true", set_category="'Spending'"),
+    _rule(id="'d3'", name="'[system] Inflow fallback'", priority="1000002", created_at=_day(1), enabled="true", pattern="''", direction="'in'", category_empty="true", set_category="'Income'"),
+)
+
+#: The statements that the rows above belong to, with their accounts, files and batches.
+TEXTS["sheets"] = """
+select id, case when id like '%_ov' then 'acc_a' || split_part(id, '_', 2) else 'acc_' || split_part(id, '_', 2) end as account_id, '/In/2024/' || case when split_part(id, '_', 3) = '2' then 'x' else '' end || 'All_' || split_part(id, '_', 2) || '.PDF' as pdf_path,
+  'f_' || split_part(id, '_', 2) as file_id, 'b_' || cast(cast(split_part(id, '_', 2) as int) % 4 as string) as batch_id,
+  case split_part(id, '_', 3) when '0' then 'ok' when '1' then 'mismatch' end as reconcile_status
+from (select distinct statement_id as id from {statement_rows}) as s
+"""
+
+#: Accounts, some not counted in the net worth, some the same as others by provider, type and name.
+TEXTS["accounts"] = """
+select 'acc_' || cast(c_custkey % 12 as string) || case when c_custkey < 12 then '' else '_' || cast(c_custkey as string) end as id, 'bank_' || cast(c_custkey % 5 as string) as provider,
+  case c_custkey % 3 when 0 then 'card' when 1 then 'savings' else 'unknown' end as account_type, 'Acct 40817-' || cast(c_custkey % 50 as string) as display, 'RUB' as currency,
+  c_custkey % 4 <> 0 as include_in_net_worth, timestamp '2024-01-01' + interval 1 day as created_at, c_custkey
+from {customer} where c_custkey < 60
 """
 
 BASE = ("events", "orders", "lineitem", "customer", "nation")
