@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, quality, secrets, sql
-from ledgerloom.llm.common import documents
+from ledgerloom.llm.common import cut, documents, scratch
 from ledgerloom.llm.decontam import contaminated
 from ledgerloom.llm.exact import exact_duplicates
 from ledgerloom.llm.mixing import mix_sources
-from ledgerloom.llm.rlindex import remove_repeated
+from ledgerloom.llm.rlindex import remove_repeated, repeated_passages
 from ledgerloom.llm.simjoin import jaccard_components
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.llm.warc import read_bundles, write_bundles
@@ -24,6 +24,8 @@ TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 MIN_PAYLOAD = 0
 #: Bytes of a string that must not occur twice.
 REPEAT_BYTES = 400
+#: Words of a passage that is also reported where it occurs twice: more than fifty.
+PASSAGE_WORDS = 51
 #: The most labelled documents that the classifier is fitted on.
 TRAINING_ROWS = 3000
 
@@ -67,8 +69,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeated(documents(spark, sf_dir), length=REPEAT_BYTES)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+    docs = documents(spark, sf_dir)
+    with scratch(spark):
+        found = cut(remove_repeated(docs, length=REPEAT_BYTES), "repeats", keep=True)
+    with scratch(spark):
+        passages = cut(repeated_passages(docs, least=PASSAGE_WORDS), "passages", keep=True)
+    words = F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words")
+    return found.join(passages, "key", "left").select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256", words
+    )
 
 
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BYTE_VALUES, U64, cut, list_array, mix, powers, prefix_sums, text_blocks
+from ledgerloom.llm.common import ALNUM, BYTE_VALUES, U64, cut, list_array, mix, powers, prefix_sums, text_blocks, words
 from ledgerloom.llm.sketch import keyed_texts
 
 PANEL = 20_000
@@ -270,7 +270,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, anchor: int | None = None, panel: int = PANEL) -> DataFrame:
-    """(id, n_bytes, n_removed, runs, kept_sha256) of each row; ``runs`` are the maximal stretches to remove, in bytes."""
+    """(id, key, n_bytes, n_removed, runs, kept_sha256) of each row; ``runs`` are the maximal stretches to remove, in bytes.
+
+    ``key`` is the 128-bit XXH3 of the text.
+    """
     rows, spans = repeated_spans(docs, id_col, text_col, length, anchor, panel)
     each = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     merged = cut(each.mapInArrow(_merged, "row long, runs array<struct<start: int, end: int>>, n_removed long"), "merged")
@@ -281,6 +284,47 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kept = cut(kept, "kept")
     gone = F.when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit(""), 256))
     return told.join(kept, "row", "left").select(
-        "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<start: int, end: int>>")).alias("runs"),
+        "id", "key", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("runs", F.array().cast("array<struct<start: int, end: int>>")).alias("runs"),
         F.coalesce("kept", gone, "sha256").alias("kept_sha256"),
     )
+
+
+#: Characters of a word's code, six bits each: two of 2**18 different words have the same one time in 2**18.
+CODE = 6
+ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with each word of letters and digits, A-Z folded, as ``CODE`` characters, and the keys of the texts."""
+    for batch in batches:
+        for _, _, buf, at in text_blocks(batch.column("text")):
+            hashes, _, _, text = words(buf, at, ALNUM)
+            codes = ALPHABET[((hashes[:, None] >> (U64(6) * np.arange(CODE, dtype=U64))) & U64(63)).astype(np.int64)]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(at) - 1)))).astype(np.int64) * CODE
+            raw = buf.tobytes()
+            keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            column = pa.LargeStringArray.from_buffers(len(keys), pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), column.cast(pa.string())], ["id", "text"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The words within runs of at least so many whole words."""
+    for batch in batches:
+        out = []
+        for row in batch.column("spans").to_pylist():
+            runs = merge([(-(-s["start"] // CODE), s["end"] // CODE) for s in row])
+            out.append(sum(b - a for a, b in runs if b - a >= least))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], ["row", "n_passage_words"])
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", least: int = 51) -> DataFrame:
+    """(key, n_passage_words): for each text that has any, the words in passages of ``least`` words and more that occur again.
+
+    The same index over the texts' words in place of their bytes: spacing and punctuation don't matter. A
+    passage may occur again in the same text. Equal texts have one row; ``key`` is the text's 128-bit XXH3.
+    """
+    coded = docs.select(F.col(text_col).alias("text")).mapInArrow(_coded, "id binary, text string")
+    rows, spans = repeated_spans(coded, "id", "text", length=least * CODE)
+    each = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = each.mapInArrow(partial(_passages, least=least), "row long, n_passage_words long").where("n_passage_words > 0")
+    return rows.select("row", F.col("id").alias("key")).join(found, "row").groupBy("key").agg(F.max("n_passage_words").alias("n_passage_words"))

@@ -63,7 +63,7 @@ select sets.doc_id, any_value(len(s))::bigint as n_shingles, min(r) as component
 ORACLES["op10_jaccard"] = OP10
 
 #: Every string of 400 bytes by its start; those whose digest comes twice cover runs, which are cut out.
-OP7 = """
+OP7 = r"""
 with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
 starts as (select doc_id, unnest(range(1, greatest(octet_length(b) - 398, 1))) as p, b from raw),
 strings as (select doc_id, p, md5(b[p:p + 399]) as h from starts),
@@ -77,9 +77,13 @@ parts as (
   union all
   select doc_id, coalesce(max(z), 0) + 1 as o, any_value(b)[coalesce(max(z), 0) + 1:octet_length(any_value(b))] from raw left join runs using (doc_id) group by doc_id),
 kept as (select doc_id, sha256(unhex(coalesce(string_agg(hex(part), '' order by o), ''))) as kept_sha256 from parts group by doc_id),
-counts as (select doc_id, sum(z - a + 1)::bigint as n_removed, count(*) as n_spans from runs group by doc_id)
-select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
-from raw join kept using (doc_id) left join counts using (doc_id)
+counts as (select doc_id, sum(z - a + 1)::bigint as n_removed, count(*) as n_spans from runs group by doc_id),
+worded as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
+windows as (select doc_id, p, md5(array_to_string(w[p:p + 50], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 49, 1))) as p from worded)),
+again as (select h from windows group by h having count(*) > 1),
+passages as (select doc_id, count(*) as n_passage_words from (select distinct doc_id, unnest(range(p, p + 51)) as k from windows join again using (h)) group by doc_id)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256, coalesce(n_passage_words, 0) as n_passage_words
+from raw join kept using (doc_id) left join counts using (doc_id) left join passages using (doc_id)
 """
 
 ORACLES["op7_repeats"] = OP7

@@ -1,10 +1,14 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
+from ledgerloom.llm import rlindex
+from ledgerloom.llm.rlindex import merge, remove_repeated, repeated, sliding_least
 from ledgerloom.llm.rlindex import merge, remove_repeated, repeated, sliding_least
 
 
@@ -76,3 +80,30 @@ def test_sliding_least():
     for n, w in [(5, 5), (17, 4), (30, 1), (31, 7)]:
         x = rng.integers(0, 99, n).astype(np.uint64)
         assert sliding_least(x, w).tolist() == [x[i : i + w].min() for i in range(n - w + 1)]
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["the", "Ünder", "x1", "dog", "runs", "at", "b", "night"])
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 80)]
+    docs = [(0, None), (1, ""), (2, "one two")]
+    for d in range(40):
+        own = [word() for _ in range(rng.randint(0, 60))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            own += p + [word() for _ in range(rng.randint(0, 9))]
+        docs.append((3 + d, "".join(w.upper() * (rng.random() < 0.1) or w for w in [x + rng.choice([" ", ", ", "\n", "-"]) for x in own])))
+    docs.append((99, docs[5][1]))
+    worded = {d: re.findall("[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for d, t in docs}
+    places = {}
+    for d, w in worded.items():
+        for p in range(len(w) - 50):
+            places.setdefault(tuple(w[p : p + 51]), []).append((d, p))
+    covered = {d: set() for d in worded}
+    for found in places.values():
+        if len(found) > 1:
+            for d, p in found:
+                covered[d] |= set(range(p, p + 51))
+    key = lambda t: xxhash.xxh3_128_digest((t or "").encode())
+    want = {key(t): len(covered[d]) for d, t in docs if covered[d]}
+    got = rlindex.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {bytes(r["key"]): r["n_passage_words"] for r in got.collect()} == want and want
