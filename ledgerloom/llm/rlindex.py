@@ -42,6 +42,8 @@ from ledgerloom.llm.common import ALNUM, BYTE_VALUES, U64, cut, list_array, mix,
 from ledgerloom.llm.sketch import keyed_texts
 
 PANEL = 20_000
+#: Bytes of texts that are looked at together.
+BLOCK = 1 << 19
 #: No byte of UTF-8: stands where a row of a panel has no byte.
 NOTHING = 255
 ANCHORS = "id {0}, n_bytes long, key binary, sha256 string, anchor array<long>, range array<long>, place array<int>, first array<int>, last array<int>"
@@ -86,7 +88,7 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, at in text_blocks(batch.column("text")):
+        for lo, hi, buf, at in text_blocks(batch.column("text"), BLOCK):
             text, key, place, first, last = anchors(buf, at, length, anchor)
             raw = buf.tobytes()
             whole = [raw[at[k] : at[k + 1]] for k in range(hi - lo)]
@@ -297,7 +299,7 @@ ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each word of letters and digits, A-Z folded, as ``CODE`` characters, and the keys of the texts."""
     for batch in batches:
-        for _, _, buf, at in text_blocks(batch.column("text")):
+        for _, _, buf, at in text_blocks(batch.column("text"), BLOCK):
             hashes, _, _, text = words(buf, at, ALNUM)
             codes = ALPHABET[((hashes[:, None] >> (U64(6) * np.arange(CODE, dtype=U64))) & U64(63)).astype(np.int64)]
             ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(at) - 1)))).astype(np.int64) * CODE
@@ -323,7 +325,8 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", least: int = 51)
     The same index over the texts' words in place of their bytes: spacing and punctuation don't matter. A
     passage may occur again in the same text. Equal texts have one row; ``key`` is the text's 128-bit XXH3.
     """
-    coded = docs.select(F.col(text_col).alias("text")).mapInArrow(_coded, "id binary, text string")
+    # Written, so that no task needs a process for the codes and another for what is made of them.
+    coded = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(_coded, "id binary, text string"), "coded")
     rows, spans = repeated_spans(coded, "id", "text", length=least * CODE)
     each = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     found = each.mapInArrow(partial(_passages, least=least), "row long, n_passage_words long").where("n_passage_words > 0")
