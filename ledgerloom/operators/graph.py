@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that the cluster shares and read again, so that later steps don't repeat it.
-
-    A lost executor costs no more than the step at hand. Only where ``spark.checkpoint.dir`` is unset in a
-    local session, as in tests, is a folder of our own taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; only where that is unset in a local session, as in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/ledgerloom/{uuid4().hex}/{name}"
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/ledgerloom/{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps don't repeat it, a lost executor costs one step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

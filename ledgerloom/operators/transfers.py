@@ -95,7 +95,7 @@ def amount_cell(value: Column) -> Column:
     The width follows the tolerance: one cent for small amounts, a share of middle ones, the largest fee of
     large ones; two amounts that may pair are less than 1.006 tolerances apart.
     """
-    low, high = 2 * FEE_SHARE, FEE_CENTS * FEE_SHARE
+    low, high = FEE_SHARE, FEE_CENTS * FEE_SHARE
     middle = low + FEE_SHARE * F.log(F.greatest(value, F.lit(low)) / F.lit(float(low)))
     large = low + FEE_SHARE * F.log(F.lit(high / low)) + (value - high) / F.lit(float(FEE_CENTS))
     at = F.when(value < low, value.cast("double")).when(value < high, middle).otherwise(large)

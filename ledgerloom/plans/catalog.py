@@ -8,11 +8,14 @@ from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
 MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "rules", "maintain", "accounts", "review", "audit")
+STREAMS: tuple[str, ...] = ("ingest",)
 
 
 def _load() -> None:
     for name in MODULES:
         import_module(f"ledgerloom.plans.{name}")
+    for name in STREAMS:
+        import_module(f"ledgerloom.streaming.{name}")
 
 
 def queries() -> dict[str, Query]:

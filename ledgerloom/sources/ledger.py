@@ -196,12 +196,14 @@ def duck(text: str) -> str:
 
 
 class Ledger:
-    """The derived tables of one folder as DataFrames; timestamps are read as UTC."""
+    """The derived tables of one folder as DataFrames; timestamps are read as UTC. Base tables may be given, streams too."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, **given: DataFrame) -> None:
+        self.spark, self.sf_dir, self.given = spark, sf_dir, given
 
     def base(self, name: str) -> DataFrame:
+        if name in self.given:
+            return self.given[name]
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
