@@ -110,3 +110,21 @@ def links_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = lambda side: ledger.transactions.select(F.col("id").alias(f"transaction_{side}_id"), F.coalesce("operation_datetime", "created_at").alias(f"{side}_at"))
     both = ledger.transfer_links.join(end("out"), "transaction_out_id", "left").join(end("in"), "transaction_in_id", "left")
     return both.select("id", "status", F.greatest("out_at", "in_at").alias("happened_at")).orderBy(F.desc_nulls_last("happened_at"), F.desc("id"))
+
+
+@register("links_page", duck("""select l.id, l.status, coalesce(greatest(coalesce(o.operation_datetime, o.posting_datetime, o.created_at), coalesce(i.operation_datetime, i.posting_datetime, i.created_at)), l.created_at) as happened_at
+from {transfer_links} l left join {transactions} o on o.id = l.transaction_out_id left join {transactions} i on i.id = l.transaction_in_id
+order by 3 desc, case when coalesce(o.timestamp_precision, 'unknown') in ('date_only', 'unknown') or coalesce(i.timestamp_precision, 'unknown') in ('date_only', 'unknown')
+  then greatest(coalesce(o.id, ''), coalesce(i.id, '')) else '' end desc, l.created_at desc, l.id desc limit 200"""))
+def links_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of links, newest first by the later of their ends; where an end only has a date, by the greater of their places, here their ids."""
+    ledger = Ledger(spark, sf_dir)
+    dated = F.coalesce("timestamp_precision", F.lit("unknown")).isin("date_only", "unknown")
+    end = lambda side: ledger.transactions.select(F.col("id").alias(f"transaction_{side}_id"), ledger_time().alias(f"{side}_at"), dated.alias(f"{side}_dated"), F.col("id").alias(f"{side}_place"))
+    both = ledger.transfer_links.join(end("out"), "transaction_out_id", "left").join(end("in"), "transaction_in_id", "left")
+    missing, nowhere = F.lit(True), F.lit("")
+    loose = F.coalesce("out_dated", missing) | F.coalesce("in_dated", missing)
+    place = F.when(loose, F.greatest(F.coalesce("out_place", nowhere), F.coalesce("in_place", nowhere))).otherwise(nowhere)
+    happened = F.coalesce(F.greatest("out_at", "in_at"), "created_at").alias("happened_at")
+    page = both.select("id", "status", happened, place.alias("place"), "created_at").orderBy(F.desc("happened_at"), F.desc("place"), F.desc("created_at"), F.desc("id")).limit(200)
+    return page.select("id", "status", "happened_at")

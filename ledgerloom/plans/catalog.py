@@ -7,7 +7,7 @@ from importlib import import_module
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "rules", "maintain", "accounts", "review", "audit")
+MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "rules", "maintain", "accounts", "review", "audit", "scalars")
 STREAMS: tuple[str, ...] = ("ingest",)
 
 

@@ -71,8 +71,16 @@ def changes(snapshots: DataFrame) -> DataFrame:
 
 
 def running(points: DataFrame) -> DataFrame:
-    time = Window.partitionBy("currency").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return points.select("currency", "ts", money(F.sum("delta").over(time)).alias("total"), F.sum("new").over(time).cast("bigint").alias("n_known"))
+    """Totals so far, over the days of a currency and then over the times of a day: no task holds all times of a currency."""
+    own = points.withColumn("day", F.date_trunc("day", "ts"))
+    before = Window.partitionBy("currency").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = own.groupBy("currency", "day").agg(F.sum("delta").alias("delta"), F.sum("new").alias("new"))
+    sofar = days.select("currency", "day", F.sum("delta").over(before).alias("total_before"), F.sum("new").over(before).alias("known_before"))
+    time = Window.partitionBy("currency", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+    total = F.sum("delta").over(time) + F.coalesce("total_before", zero)
+    known = F.sum("new").over(time) + F.coalesce("known_before", zero)
+    return own.join(sofar, ["currency", "day"]).select("currency", "ts", money(total).alias("total"), known.cast("bigint").alias("n_known"))
 
 
 SQL_RAW = f"""
@@ -89,15 +97,33 @@ def net_worth_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(changes(Ledger(spark, sf_dir).balance_snapshots))
 
 
-def timeline(snapshots: DataFrame, unit: str) -> DataFrame:
-    """A point for each day, week or month from the first to the last snapshot, carried forward where nothing changed."""
-    points = running(changes(snapshots))
-    last = points.groupBy("currency", F.date_trunc(unit, "ts").alias("bucket")).agg(F.max_by(F.struct("total", "n_known"), "ts").alias("at"))
-    bounds = last.groupBy("currency").agg(F.sequence(F.min("bucket"), F.max("bucket"), F.expr(f"interval 1 {unit}")).alias("all"))
-    grid = bounds.select("currency", F.explode("all").alias("bucket"))
+def at_time(value: str) -> Column:
+    return F.lit(value).cast("timestamp_ntz")
+
+
+def timeline(snapshots: DataFrame, unit: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(currency, bucket, at, total, n_known) for each day, week or month, carried forward where nothing changed.
+
+    The buckets go from ``start``, or the first snapshot, to ``end``, or the last; what is known at the start is in the
+    first. ``at`` is the last microsecond of a bucket, or the end. A currency without snapshots up to the end has no rows.
+    """
+    floor = lambda time: F.date_trunc(unit, time).cast("timestamp_ntz")
+    steps = changes(snapshots if end is None else snapshots.where(F.col("ts") <= at_time(end)))
+    first = F.min("ts") if start is None else at_time(start)
+    last = F.max("ts") if end is None else at_time(end)
+    # Without an end the last point is the last snapshot, or the start where all snapshots are earlier.
+    bounds = steps.groupBy("currency").agg(first.alias("first"), (last if start is None else F.greatest(last, first)).alias("last"))
+    grid = bounds.select("currency", "last", F.explode(F.sequence(floor(F.col("first")), floor(F.col("last")), F.expr(f"interval 1 {unit}"))).alias("bucket"))
+    bucket = floor(F.col("ts")) if start is None else F.greatest(floor(F.col("ts")), floor(at_time(start)))
+    moved = steps.groupBy("currency", bucket.alias("bucket")).agg(F.sum("delta").alias("delta"), F.sum("new").alias("new"))
     so_far = Window.partitionBy("currency").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last("at", ignorenulls=True).over(so_far)
-    return grid.join(last, ["currency", "bucket"], "left").withColumn("at", filled).select("currency", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "at.total", "at.n_known")
+    return grid.join(moved, ["currency", "bucket"], "left").select(
+        "currency",
+        F.date_format("bucket", "yyyy-MM-dd").alias("bucket"),
+        F.least("last", F.col("bucket") + F.expr(f"interval 1 {unit}") - F.expr("interval 1 microsecond")).alias("at"),
+        money(F.coalesce(F.sum("delta").over(so_far), F.lit(0))).alias("total"),
+        F.coalesce(F.sum("new").over(so_far), F.lit(0)).cast("bigint").alias("n_known"),
+    )
 
 
 def _register_timeline(unit: str) -> None:
@@ -108,12 +134,78 @@ from grid g join raw r on r.currency = g.currency and r.ts < g.bucket + interval
 
     @register(f"net_worth_{unit}", duck(sql))
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return timeline(Ledger(spark, sf_dir).balance_snapshots, unit)
+        return timeline(Ledger(spark, sf_dir).balance_snapshots, unit).drop("at")
 
 
 for _unit in ("day", "week", "month"):
     _register_timeline(_unit)
 
+SQL_INCLUDED = "select id, currency, provider, account_type from {accounts} where include_in_net_worth"
+
+
+@register("net_worth_accounts", duck(f"select a.id as account_id, a.provider, a.account_type, a.currency, l.ts as as_of, l.balance from ({SQL_INCLUDED}) a left join ({SQL_LATEST}) l on l.account_id = a.id and l.currency = a.currency"))
+def net_worth_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts that count, with their latest balance or none."""
+    ledger = Ledger(spark, sf_dir)
+    mine = ledger.accounts.where("include_in_net_worth").select(F.col("id").alias("account_id"), "provider", "account_type", "currency")
+    return mine.join(last_of(ledger.balance_snapshots, "account_id", "currency"), ["account_id", "currency"], "left").select(*mine.columns, F.col("ts").alias("as_of"), "balance")
+
+
+@register("net_worth_included", duck(f"""select a.currency, count(*) as n_accounts, count(l.balance) as n_known, sum(l.balance)::decimal(20,2) as total
+from ({SQL_INCLUDED}) a left join ({SQL_LATEST}) l on l.account_id = a.id and l.currency = a.currency group by 1"""))
+def net_worth_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the accounts that count; an account without a balance is counted and adds nothing."""
+    return net_worth_accounts(spark, sf_dir).groupBy("currency").agg(F.count("*").alias("n_accounts"), F.count("balance").alias("n_known"), money(F.sum("balance")).alias("total"))
+
+
+def included(ledger: Ledger) -> tuple[DataFrame, DataFrame]:
+    """The snapshots of the accounts that count, and how many these are by currency."""
+    mine = ledger.accounts.where("include_in_net_worth").select(F.col("id").alias("account_id"), "currency")
+    return ledger.balance_snapshots.join(mine, ["account_id", "currency"], "left_semi"), mine.groupBy("currency").agg(F.count("*").alias("n_accounts"))
+
+
+def raw_between(snapshots: DataFrame, start: str, end: str) -> DataFrame:
+    """A point at the start, where anything is known by then, and one for each time of a change from the start to the end."""
+    steps = changes(snapshots.where(F.col("ts") <= at_time(end)))
+    seed = steps.where(F.col("ts") <= at_time(start)).groupBy("currency").agg(at_time(start).alias("ts"), money(F.sum("delta")).alias("total"), F.sum("new").cast("bigint").alias("n_known"))
+    return seed.unionByName(running(steps).where(F.col("ts") >= at_time(start)))
+
+
+START, END = "1995-03-15 12:00:00", "1998-06-15 00:00:00"
+#: Balances at given points, straight from their definition: of each account that counts the last one known then.
+SQL_AT = f"""with mine as ({SQL_INCLUDED}), known as (
+  select b.account_id, b.currency, b.ts, b.balance from {{balance_snapshots}} b join mine m on m.id = b.account_id and m.currency = b.currency
+  qualify row_number() over (partition by b.account_id, b.ts order by {SQL_PRIORITY} desc, statement_id desc) = 1),
+points as (@points@), each as (select p.currency, p.at, p.kind, m.id from points p join mine m on m.currency = p.currency)
+select e.currency, e.at, sum(k.balance)::decimal(20,2) as total, count(k.balance) as n_known, count(*) as n_accounts
+from each e asof left join known k on k.account_id = e.id and k.ts <= e.at group by e.currency, e.at, e.kind"""
+
+
+def sql_at(points: str) -> str:
+    return duck(SQL_AT.replace("@points@", points))
+
+
+@register("net_worth_raw_scoped", sql_at(f"""select distinct currency, ts as at, 1 as kind from known where ts between timestamp '{START}' and timestamp '{END}'
+  union all select distinct currency, timestamp '{START}', 0 from known where ts <= timestamp '{START}'"""))
+def net_worth_raw_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of the accounts that count between two times, beginning with what is known at the first."""
+    own, size = included(Ledger(spark, sf_dir))
+    return raw_between(own, START, END).withColumnRenamed("ts", "at").join(size, "currency")
+
+
+def _register_scoped(unit: str) -> None:
+    sql = sql_at(f"""select currency, least(timestamp '{END}', bucket + interval 1 {unit} - interval 1 microsecond) as at, 1 as kind from (
+  select currency, unnest(generate_series(date_trunc('{unit}', timestamp '{START}')::timestamp, timestamp '{END}', interval 1 {unit})) as bucket from (select distinct currency from known where ts <= timestamp '{END}'))""")
+
+    @register(f"net_worth_{unit}_scoped", sql)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own, size = included(Ledger(spark, sf_dir))
+        return timeline(own, unit, START, END).drop("bucket").join(size, "currency")
+
+
+for _unit in ("day", "week", "month"):
+    _register_scoped(_unit)
+
 SQL_RECONCILE = """select id, case when opening_balance is null or closing_balance is null then 'unknown'
   when abs(opening_balance + coalesce(total_credits, 0) - coalesce(total_debits, 0) - closing_balance) <= 0.01 then 'ok' else 'mismatch' end as status,
   (opening_balance + coalesce(total_credits, 0) - coalesce(total_debits, 0) - closing_balance)::decimal(20,2) as delta from {statements}"""

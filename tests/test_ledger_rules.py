@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import lens
 from ledgerloom.plans import imports as I
+from ledgerloom.plans import networth
 from ledgerloom.plans import rules as R
 from ledgerloom.plans import statements as S
 from ledgerloom.plans.audit import quality_report
@@ -102,3 +103,20 @@ def test_the_report_holds_the_measures(spark):
     report = json.loads(quality_report(spark, SF).first()["report"])
     core = core_metrics(spark, SF).first().asDict()
     assert {k: float(v) for k, v in core.items()} == {k: float(report[k]) for k in core}
+
+
+def test_net_worth_between_two_times(spark):
+    said = [("a", 1, "10"), ("a", 5, "20"), ("b", 3, "5"), ("b", 9, "1")]
+    text = " union all ".join(
+        f"select '{a}' as account_id, 's{d}' as statement_id, timestamp_ntz '2024-01-0{d} 00:00:00' as ts, cast({x} as decimal(14,2)) as balance, 'other' as method, 'RUB' as currency" for a, d, x in said
+    )
+    snapshots = spark.sql(text)
+    start, end = "2024-01-02 12:00:00", "2024-01-06 00:00:00"
+    raw = sorted((str(r["ts"]), float(r["total"]), r["n_known"]) for r in networth.raw_between(snapshots, start, end).collect())
+    assert raw == [(start, 10.0, 1), ("2024-01-03 00:00:00", 15.0, 2), ("2024-01-05 00:00:00", 25.0, 2)]
+    days = [(r["bucket"], float(r["total"]), r["n_known"]) for r in networth.timeline(snapshots, "day", start, end).orderBy("bucket").collect()]
+    assert days == [("2024-01-02", 10.0, 1), ("2024-01-03", 15.0, 2), ("2024-01-04", 15.0, 2), ("2024-01-05", 25.0, 2), ("2024-01-06", 25.0, 2)]
+    last = networth.timeline(snapshots, "day", start, end).orderBy(F.desc("bucket")).first()["at"]
+    assert str(last) == end and networth.raw_between(snapshots, "2023-01-01", "2023-02-01").collect() == []
+    late = networth.timeline(snapshots, "month", "2024-03-01").collect()
+    assert [(r["bucket"], float(r["total"])) for r in late] == [("2024-03-01", 21.0)]
