@@ -47,6 +47,16 @@ def unit(text: Column) -> Column:
     return whole.cast("double") / F.lit(float(1 << (4 * DIGITS)))
 
 
+def reached(steps: list[float], u: Column) -> Column:
+    """How many thresholds a number reaches. The plan holds one literal, an array, however many they are."""
+    # Those that are zero are reached by every number; a large rate has many of them.
+    zeros = sum(x == 0 for x in steps)
+    rest = ",".join(map(repr, steps[zeros:]))
+    if not rest:
+        return F.lit(zeros)
+    return F.lit(zeros) + F.size(F.filter(F.split(F.lit(rest), ",").cast("array<double>"), lambda x: x <= u))
+
+
 def rates(docs: DataFrame, weights: Mapping[str, float], rest: float, source_col: str, size: float) -> dict[str | None, float]:
     """Mean repetitions by named source, and under None of all others; shares are of ``size`` times the input."""
     total = sum(weights.values()) + rest
@@ -75,9 +85,7 @@ def mix_sources(
     u = unit(F.concat(F.lit(f"{seed}:"), key))
     count = F.lit(0)
     for name, mean in rate.items():
-        steps = thresholds(mean)
-        # As many as there are thresholds that the number reaches.
-        own = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= u)) if steps else F.lit(0)
+        own = reached(thresholds(mean), u)
         here = ~F.coalesce(F.col(source_col).isin(list(weights)), F.lit(False)) if name is None else F.col(source_col) == name
         count = F.when(F.coalesce(here if weights else F.lit(True), F.lit(False)), own).otherwise(count)
     copy, mix_key = names

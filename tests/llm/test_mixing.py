@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.mixing import mix_sources, thresholds
+from ledgerloom.llm.mixing import mix_sources, reached, thresholds
 
 
 @pytest.mark.parametrize("rate", [0.01, 0.5, 1.0, 3.7, 40.0, 400.0])
@@ -31,3 +32,19 @@ def test_rows(spark):
     five = [r["repeat"] for r in everything if r["doc_id"] == 5]
     assert sorted(five) == sorted([*range(1, len(five) // 2 + 1)] * 2)
     assert mix_sources(docs.limit(0), {"a": 1.0}, names=("repeat", "key")).collect() == []
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 7.0, 2000.0, 100_000.0])
+def test_reached_counts_thresholds(spark, rate):
+    steps = thresholds(rate)
+    numbers = [0.0, 2.0**-52, 0.1, 0.5, 0.75, 1 - 2.0**-52, *steps[len(steps) // 2 : len(steps) // 2 + 3]]
+    given = spark.createDataFrame([(x,) for x in numbers], "u double")
+    plan = given.select("u", reached(steps, F.col("u")).alias("n"))
+    assert {r["u"]: r["n"] for r in plan.collect()} == {u: sum(x <= u for x in steps) for u in numbers}
+
+
+def test_large_rate(spark):
+    docs = spark.createDataFrame([(i, "rare" if i == 0 else "rest") for i in range(1000)], "doc_id long, source string")
+    mixed = mix_sources(docs, {"rare": 0.9}, rest=0.1, size=100.0, seed=1)
+    n = mixed.where("source = 'rare'").count()
+    assert abs(n - 90_000) < 5 * 300
