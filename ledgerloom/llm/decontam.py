@@ -15,31 +15,38 @@ items of any length have masks over the whole item that leave out each possible
 So for the default ``least_words`` and ``least_equal`` and for stricter ones nothing is missed; for
 laxer ones the seeds may miss a stretch.
 
-The benchmark is the smaller side: its seeds go to the tasks in blocks of at most ``block_words``
-words, as a sorted array behind a filter table, and each block is one pass over the documents. The
-bound holds for each block, however many there are; nothing of the documents is shuffled.
+A benchmark of at most ``block_words`` words (and sixteen bytes for each) is sent to the tasks whole: its
+seeds are a sorted array behind a filter table, and nothing of the documents is shuffled. Beyond that
+size Spark makes the seeds of the distinct items, and the tasks get only a filter of 16 MB. Seeds of
+the documents that pass it are joined with the items' by hash; for each place so found the words of
+both sides are cut out, joined and judged. Either way gives the same rows. Filled far beyond a hundred
+million words the filter lets all seeds of the documents through, which costs a shuffle, not results.
 
 Defined results: a null or empty text matches nothing, nor does such an item, nor, without ``full``, a
 text or an item of fewer than 5 words; of equal items each is reported; a null id is reported as null; repeated rows are answered each;
 of the places where an item occurs in a text, the one with the most equal words is reported, then the
-first; empty tables give no rows. Only the named columns are read.
+first; empty tables give no rows. Only the named columns are read
+and compared; what is dropped is dropped by the text alone, whatever the other columns hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerloom.llm.common import ALNUM, U64, keep_rows, mix, text_blocks, words
+from ledgerloom.llm.common import ALNUM, U64, cut, keep_rows, list_array, mix, text_blocks, words
+from ledgerloom.llm.exact import sha256
+from ledgerloom.llm.sketch import NumberFilter, keyed_texts
 
 SPAN, SHORTEST = 10, 5
 #: Kept positions of each mask.
@@ -201,15 +208,115 @@ def _clean(texts: pa.Array, sent: Broadcast, least_words: int, least_equal: floa
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks by a hash of the item's text, one in the driver at a time."""
-    own = benchmark.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = own.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
-    # Twice the blocks that are needed on average, for blocks that come out larger.
-    n = 1 if size <= block_words else 2 * -(-size // block_words)
-    for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+def small_enough(benchmark: DataFrame, text_col: str, block_words: int) -> bool:
+    """Whether the benchmark may be held by the driver and by each task."""
+    size = F.sum(F.size(F.split(text_col, r"[^\p{L}\p{N}]+"))), F.sum(F.octet_length(text_col))
+    n_words, n_bytes = benchmark.where(F.col(text_col).isNotNull()).agg(*size).first()
+    return (n_words or 0) <= block_words and (n_bytes or 0) <= 16 * block_words
+
+
+def all_seeds(benchmark: DataFrame, item_col: str, text_col: str, full: bool) -> Broadcast:
+    """The seeds of a benchmark that is small enough."""
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Seeds([(r["id"], r["text"]) for r in items], full))
+
+
+class SeedFilter(NumberFilter):
+    """A filter of seeds: 16 MB, whatever their number."""
+
+    BITS = 27
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, texts = batch.column("item_key"), batch.column("text")
+        for k in range(len(batch)):
+            own = Seeds([(None, texts[k].as_py())], full)
+            for m, table in enumerate(own.tables):
+                if table is not None:
+                    n = len(table[0])
+                    columns = [pa.array(table[0].view(np.int64)), pa.array([keys[k].as_py()] * n, pa.binary()), pa.array(table[2])]
+                    columns += [pa.array(np.full(n, v, np.int32)) for v in (m, len(own.words[0]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["seed", "item_key", "item_word", "mask", "item_words"])
+
+
+def _text_seeds(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Seeds of the texts that the benchmark may have, with the text's key and the word that each begins at."""
+    quick, masks = sent.value
+    for batch in batches:
+        for _, _, buf, at in text_blocks(batch.column("text")):
+            hashes, _, _, text = words(buf, at, ALNUM)
+            before = np.searchsorted(text, np.arange(len(at) - 1), "left")
+            for m, mask in masks:
+                own = seeds(hashes, mask, m)
+                where = np.flatnonzero(quick.may_hold(own))
+                where = where[text[where] == text[where + mask[-1]]]
+                if not len(where):
+                    continue
+                met, of = np.unique(text[where], return_inverse=True)
+                keys = pa.array([xxhash.xxh3_128_digest(buf[at[t] : at[t + 1]]) for t in met.tolist()], pa.binary())
+                columns = [keys.take(pa.array(of)), pa.array(own[where].view(np.int64)), pa.array((where - before[text[where]]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "seed", "word"])
+
+
+def _text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes of each text with their first and end bytes."""
+    for batch in batches:
+        for lo, hi, buf, at in text_blocks(batch.column("text")):
+            hashes, starts, ends, text = words(buf, at, ALNUM)
+            n = np.bincount(text, minlength=hi - lo)
+            columns = [batch.column("key").slice(lo, hi - lo), list_array(pa.array(hashes.view(np.int64)), n)]
+            columns += [list_array(pa.array((x - at[text]).astype(np.int32)), n) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "starts", "ends"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch], least_words: int, least_equal: float, full: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        get = lambda name, k: batch.column(name)[k].values.to_numpy()  # noqa: B023, E731
+        take, out = [], []
+        for k in range(len(batch)):
+            said = judge(get("words", k) == get("theirs", k), batch.column("item_words")[k].as_py(), least_words, least_equal, full)
+            if said is not None:
+                take.append(k)
+                out.append((said[0], said[2] - said[1], int(get("starts", k)[said[1]]), int(get("ends", k)[said[2] - 1])))
+        if take:
+            columns = [batch.column(name).take(pa.array(take)) for name in ("key", "item_key")] + [pa.array(c, pa.int32()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "item_key", "equal_words", "aligned_words", "first_byte", "end_byte"])
+
+
+def joined(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str, least_words: int, least_equal: float, full: bool) -> DataFrame:
+    """(text_digest, item_digest, equal_words, ...): a row for each distinct text and distinct item in it, by joins."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    items = benchmark.select(sha256(F.col(item_text_col)).alias("item_key"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = cut(items.dropDuplicates(["item_key"]), "items")
+    theirs = cut(items.mapInArrow(partial(_item_seeds, full=full), "seed long, item_key binary, item_word int, mask int, item_words int"), "item-seeds")
+    # At most one row for each mask there is.
+    used = sorted(r["mask"] for r in theirs.select("mask").distinct().collect())
+    sent = spark.sparkContext.broadcast((SeedFilter.of(theirs.select("seed")), [(m, all_masks(full)[m][0]) for m in used]))
+    # Copies of a text have the same rows, which become one before anything is joined.
+    ours = cut(texts.mapInArrow(partial(_text_seeds, sent=sent), "key binary, seed long, word int").distinct(), "text-seeds")
+    sent.destroy()
+    places = ours.join(theirs, "seed").select("key", "item_key", "item_words", (F.col("word") - F.col("item_word")).alias("diagonal"))
+    places = cut(places.distinct(), "places")
+    with keyed_texts(texts, places.select("key").distinct()) as kept:
+        kept = cut(kept.dropDuplicates(["key"]), "texts")
+    own = cut(kept.mapInArrow(_text_words, "key binary, words array<long>, starts array<int>, ends array<int>"), "text-words")
+    first = F.greatest("diagonal", F.lit(0))
+    end = F.least(F.size("words"), F.col("diagonal") + F.col("item_words"))
+    part = lambda name: F.slice(name, first + 1, end - first).alias(name)
+    sides = places.join(own, "key").select("key", "item_key", "item_words", (first - F.col("diagonal")).alias("skipped"), *map(part, ("words", "starts", "ends")))
+    items = items.withColumnRenamed("item_key", "key").mapInArrow(_text_words, "key binary, words array<long>, starts array<int>, ends array<int>")
+    items = cut(items.select(F.col("key").alias("item_key"), F.col("words").alias("all")), "item-words")
+    sides = sides.join(items, "item_key").withColumn("theirs", F.slice("all", F.col("skipped") + 1, F.size("words"))).drop("all", "skipped")
+    step = partial(_judged, least_words=least_words, least_equal=least_equal, full=full)
+    found = sides.mapInArrow(step, "key binary, item_key binary, equal_words int, aligned_words int, first_byte int, end_byte int")
+    best = F.max(F.struct("equal_words", (-F.col("first_byte")).alias("back"), "aligned_words", "end_byte")).alias("best")
+    found = found.groupBy("key", "item_key").agg(best).join(kept.select("key", sha256(F.col("text")).alias("text_digest")), "key")
+    found = found.select(
+        "text_digest", F.col("item_key").alias("item_digest"), "best.equal_words", "best.aligned_words", (-F.col("best.back")).alias("first_byte"), "best.end_byte"
+    )
+    return cut(found, "found")
 
 
 def contaminated(
@@ -226,14 +333,15 @@ def contaminated(
 ) -> DataFrame:
     """(id, item_id, equal_words, aligned_words, first_byte, end_byte): a row for each text and item in it; ``full`` misses no stretch that counts."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = HITS.format(own.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    kinds = [to_arrow_type(own.schema["id"].dataType), to_arrow_type(benchmark.schema[item_col].dataType), *[pa.int32()] * 4]
-    context = docs.sparkSession.sparkContext
-    found = [
-        own.mapInArrow(partial(_match, sent=context.broadcast(Seeds(items, full)), least_words=least_words, least_equal=least_equal, kinds=kinds), schema)
-        for items in blocks_of(benchmark, item_col, item_text_col, block_words)
-    ]
-    return reduce(DataFrame.unionByName, found)
+    if small_enough(benchmark, item_text_col, block_words):
+        kinds = [to_arrow_type(own.schema["id"].dataType), to_arrow_type(benchmark.schema[item_col].dataType), *[pa.int32()] * 4]
+        schema = HITS.format(own.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
+        sent = all_seeds(benchmark, item_col, item_text_col, full)
+        return own.mapInArrow(partial(_match, sent=sent, least_words=least_words, least_equal=least_equal, kinds=kinds), schema)
+    found = joined(own, benchmark, "text", item_text_col, least_words, least_equal, full)
+    items = benchmark.select(F.col(item_col).alias("item_id"), sha256(F.col(item_text_col)).alias("item_digest"))
+    named = own.select("id", sha256(F.col("text")).alias("text_digest")).join(found, "text_digest").join(items, "item_digest")
+    return named.select("id", "item_id", "equal_words", "aligned_words", "first_byte", "end_byte")
 
 
 def drop_contaminated(
@@ -247,8 +355,9 @@ def drop_contaminated(
     block_words: int = 2_000_000,
     full: bool = False,
 ) -> DataFrame:
-    """The documents without any item of the benchmark, with all their columns; a pass for each block."""
-    context = docs.sparkSession.sparkContext
-    for items in blocks_of(benchmark, item_col, item_text_col, block_words):
-        docs = keep_rows(docs, text_col, partial(_clean, sent=context.broadcast(Seeds(items, full)), least_words=least_words, least_equal=least_equal))
-    return docs
+    """The documents without any item of the benchmark, with all their columns."""
+    if small_enough(benchmark, item_text_col, block_words):
+        sent = all_seeds(benchmark, item_col, item_text_col, full)
+        return keep_rows(docs, text_col, partial(_clean, sent=sent, least_words=least_words, least_equal=least_equal))
+    found = joined(docs, benchmark, text_col, item_text_col, least_words, least_equal, full).select("text_digest").distinct()
+    return docs.join(found, sha256(docs[text_col]) == found["text_digest"], "left_anti")

@@ -134,3 +134,11 @@ def test_full_against_brute_force(spark):
     for r in rows:
         assert len(split(dict(docs)[r["id"]].encode()[r["first_byte"] : r["end_byte"]].decode())) == r["aligned_words"]
         assert 4 * r["equal_words"] >= 3 * r["aligned_words"]
+    # A benchmark of more words than may be broadcast is joined instead, with the same rows; copies are answered each.
+    twice = frame.union(frame).withColumn("text_digest", frame["doc_id"])
+    for own in (frame, twice):
+        assert sorted(contaminated(own, bench, full=True, block_words=9).collect()) == sorted(rows * (own.count() // frame.count()))
+    clean = drop_contaminated(twice, bench, full=True, block_words=9)
+    assert clean.columns == twice.columns
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(2 * [d for d in {d for d, _ in docs} - {d for d, _ in want}])
+    assert contaminated(frame.limit(0), bench, full=True, block_words=9).collect() == []
