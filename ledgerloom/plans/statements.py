@@ -23,6 +23,7 @@ MONEY = r"[+\-–−]?\s*[0-9][0-9\s\x{00A0}]*[.,][0-9]{2}"
 LONG_DIGITS, MASKED = r"\b[0-9]{6,}\b", r"\*{2,}[0-9]{2,4}"
 NAME = r"[A-Za-zА-Яа-я0-9.&@_/-]"
 MOST_MONEY = 100_000_000_000
+LETTERS = "[A-Za-zА-Яа-яЁё]"
 SENDERS = (
     rf"(?i){B}(?:отправитель|sender)\s*:\s*([^.;,]{{3,}})",
     rf"(?i){B}входящий\s+перевод(?:\s+сбп)?\s*,\s*([^,.;]{{3,}})",
@@ -115,7 +116,7 @@ def clean_merchant(value: Column) -> Column:
 
 
 def lettered(value: Column) -> Column:
-    return let(value, lambda v: F.when(v.rlike("[A-Za-zА-Яа-яЁё]"), v))
+    return let(value, lambda v: F.when(v.rlike(LETTERS), v))
 
 
 def counterparty(line: Column) -> Column:

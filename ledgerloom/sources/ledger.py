@@ -80,6 +80,22 @@ union all
 select event_id, cast(floor(event_id / 10) as int), 'in', 'other', 'statement.pdf', '31', case event_id % 4 when 0 then '31.02.2024 нет дня 5,00' when 1 then 'ИВАНОВ ИВАН 40817810000000 перевод' when 2 then ' Зачисление  остатка ЭДС ' else '' end from {events} where event_id % 25 = 0
 """
 
+#: Pages of statements in four layouts, one for each event.
+TEXTS["statement_pages"] = """
+select provider, provider || case when file % 2 = 0 then ' card ' else ' savings ' end || cast(file as string) || '.pdf' as file_name, page,
+  case provider
+    when 'ozon' then case when page % 19 = 3 then 'Справка о движении средств' || chr(10) else '' end || case event_id % 5 when 0 then day || chr(10) || ' 10:1' || digit || ':07 ' || number || ' Перевод Индивидуальный предприниматель через СБП. чай' when 1 then day || ' 25:61 ' || number || chr(10) || 'Зачисление'
+      when 2 then '31.02.2024 10:00 ' || number || ' нет дня' else day || ' 0' || digit || ':30 ' || number || ' Заказ 12 345,60' end || chr(10) || '− ' || money || ' ₽' || chr(10) || chr(10) || 'строка ' || digit
+    when 'yandex' then case when page % 23 = 2 then 'Выписка по договору Исх. №' || chr(10) else '' end || case event_id % 4 when 0 then 'Оплата СБП QR' || chr(10) || day || chr(10) || 'в 0' || digit || ':15' || chr(10) || 'кафе ' || day || ' –' || money || ' ₽' when 1 then 'Входящий перевод в 11:0' || digit || chr(10) || day || ' +' || money || ' ₽ 1 000,00 ₽'
+      when 2 then 'Страница ' || digit || chr(10) || 'Итого ' || money || ' ₽ ' || day else '31.02.2024' || chr(10) || 'нет дня ' || day || ' ' || money || ' ₽' end
+    when 'spb' then 'Период: ' || day || chr(10) || day || case event_id % 4 when 0 then ' Перевод СБП' when 1 then ' в 1' || digit || ':20 Зарплата код операции A' || number when 2 then ' Покупка' else ' Кешбэк' end || chr(10) || '+' || money || chr(10) || case when event_id % 3 = 0 then 'чек ' || day || ' 12:3' || digit || ':09' else 'чек' end || chr(10) || '/1 2'
+    else case when page % 9 = 1 then 'Расшифровка операций' || chr(10) else '' end || case event_id % 4 when 0 then day || ' 1' || digit || ':40 Перевод от Пётр П. ' || money when 1 then day || ' Возврат покупки по QR–коду СБП +' || money when 2 then day || ' Комиссия № 12345678 −' || money || chr(10) || 'ДАТА' else '31.02.2024 нет дня ' || money end
+      || chr(10) || day || ' AB12' || digit || ' подробности' || chr(10) || '1 000,00' || chr(10) || 'Продолжение на следующей странице' end as text
+from (select event_id, cast(event_id % 50 as int) as page, cast(floor(event_id / 50) as int) as file, case cast(floor(event_id / 50) as int) % 4 when 0 then 'ozon' when 1 then 'yandex' when 2 then 'spb' else 'sber' end as provider, cast(event_id % 10 as string) as digit,
+  cast(1000 + event_id % 900 as string) as number, replace(cast(cast(case when event_id % 10 < 5 then event_id % 7 else value end as decimal(14,2)) as string), '.', ',') as money,
+  lpad(cast(day(ts) as string), 2, '0') || '.' || lpad(cast(month(ts) as string), 2, '0') || '.' || cast(year(ts) as string) as day from {events}) as e
+"""
+
 TEXTS["links"] = """
 select case when event_id % 211 = 0 then 'tx_missing_' || cast(event_id as string) else 'tx_' || lpad(cast(event_id as string), 8, '0') end as transaction_id, id as statement_row_id
 from {statement_rows} r where event_id % 97 <> 0
