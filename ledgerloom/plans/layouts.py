@@ -15,9 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import layout_sql
 from ledgerloom.plans.registry import register
 from ledgerloom.plans.statements import DATE, LETTERS, MONEY, MOST_MONEY, SECTION, any_of, let, parsed_date, parsed_money, parsed_time, rewritten, spaced, statement_kind
-from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.ledger import Ledger, duck
 
 # Marks and words of the four layouts.
 DAY, CLOCK = r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", r"[0-9]{2}:[0-9]{2}(?::[0-9]{2})?"
@@ -272,13 +273,21 @@ def records_of(provider: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return LAYOUTS[provider](pages.where(F.col("provider") == provider))
 
 
-def _register(name: str, provider: str, doc: str) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return records_of(provider, spark, sf_dir)
+@register("ozon_records", duck(layout_sql.wallet(CREDITED, REMAINDER, PAYEES)))
+def ozon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of("ozon", spark, sf_dir)
 
-    query.__name__, query.__doc__ = name, doc
-    register(name)(query)
 
+@register("yandex_records", duck(layout_sql.contract(CONTRACT, HEADS, HEAD_PARTS, OWN_MOVE)))
+def yandex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of("yandex", spark, sf_dir)
 
-for _provider, _layout in LAYOUTS.items():
-    _register(f"{_provider}_records", _provider, _layout.__doc__ or "")
+
+@register("spb_records", duck(layout_sql.ledger(NOISE_STARTS, NOISE)))
+def spb_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of("spb", spark, sf_dir)
+
+
+@register("sber_records", duck(layout_sql.table(TABLE, TABLE_STARTS, TABLE_WORDS, NEXT_PAGE, OUT_WORDS, IN_WORDS)))
+def sber_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of("sber", spark, sf_dir)
