@@ -276,13 +276,16 @@ def generic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("day").alias("operation_date"), F.abs("amount").alias("amount"), direction.alias("direction"), F.trim("rest").alias("description"))
 
 
-@register("sections", duck(f"""select file_name, page, greatest(1, sum(starts::int) over (partition by file_name order by page)) as section from (
-  select file_name, page, bool_or(contains(line, '{SECTION}')) as starts from {{lines}} group by all)"""))
+@register("sections", duck(f"""select file_name, page, greatest(1, section) as section from (
+  select file_name, page, sum(starts::int) over (partition by file_name order by page) as section, sum(starts::int) over (partition by file_name) as sections from (
+  select file_name, page, bool_or(contains(line, '{SECTION}')) as starts from {{lines}} group by all)) where section > 0 or sections = 0"""))
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the section that they belong to: a page with the marker begins one."""
+    """Pages by the section that they belong to: a page with the marker begins one, and pages before the first belong to none."""
     pages = lines(spark, sf_dir).groupBy("file_name", "page").agg(F.bool_or(F.col("line").contains(SECTION)).alias("starts"))
     so_far = F.sum(F.col("starts").cast("int")).over(Window.partitionBy("file_name").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    return pages.select("file_name", "page", F.greatest(F.lit(1), so_far).alias("section"))
+    most = F.sum(F.col("starts").cast("int")).over(Window.partitionBy("file_name"))
+    dealt = pages.select("file_name", "page", so_far.alias("section"), most.alias("sections")).where("section > 0 or sections = 0")
+    return dealt.select("file_name", "page", F.greatest(F.lit(1), "section").alias("section"))
 
 
 def sql_described(raw: str) -> str:
