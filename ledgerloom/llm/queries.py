@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, quality, secrets, sql
+from ledgerloom.llm.align import align_tokenizers
 from ledgerloom.llm.common import cut, documents, scratch
 from ledgerloom.llm.decontam import contaminated
 from ledgerloom.llm.exact import exact_duplicates
+from ledgerloom.llm.fingerprints import edited_fingerprints, near_heads
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.periods import periodic_runs, repeated_tail
 from ledgerloom.llm.rlindex import remove_repeated, repeated_passages
 from ledgerloom.llm.simjoin import jaccard_components
 from ledgerloom.llm.tokens import count_tokens
@@ -21,6 +24,8 @@ from ledgerloom.llm.warc import read_bundles, write_bundles
 WEIGHTS = {"src0": 0.10, "src1": 0.15, "src2": 0.15}
 REST, MIX_SEED = 0.60, 7
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 512
+#: The tokenizer that op11 aligns with ``TOKENIZER``.
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 MIN_PAYLOAD = 0
 #: Bytes of a string that must not occur twice.
 REPEAT_BYTES = 400
@@ -97,8 +102,36 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query and op9 need the vocabularies
+
+    with scratch(spark):
+        rows, _ = align_tokenizers(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
+        return cut(rows.withColumnRenamed("id", "doc_id"), "alignment", keep=True)
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", repeated_tail().alias("text"))
+    found = periodic_runs(docs)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = F.sort_array(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    first = found.withColumn("first", F.get(longest, F.lit(0)))
+    length, start, period = -F.col("first.col1"), F.col("first.start"), F.col("first.period")
+    return first.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    with scratch(spark):
+        found = cut(near_heads(docs, edited_fingerprints(docs)), "near-heads", keep=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op6_decontamination, op7_repeats, op8_exact, op9_tokens, op10_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_mixing, op5_secrets, op6_decontamination, op7_repeats, op8_exact, op9_tokens, op10_jaccard, op11_align, op12_periods, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

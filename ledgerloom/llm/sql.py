@@ -117,3 +117,34 @@ select doc_id, {', '.join(f'coalesce(n_{k.name}, 0) as n_{k.name}' for k in BASE
 
 
 ORACLES["op5_secrets"] = secrets_sql()
+
+#: CRC-32 bit by bit; equal words p apart by a join on words, stretches of them as islands, the least period of each stretch.
+OP12 = r"""
+with crcs as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) as h,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+sized as (select doc_id, h % 10 = 0 and len(w) > 0 as planted, h // 10 as g, len(w)::bigint as n, w from crcs),
+tails as (select *, case when n > 0 then g % n end as a from sized),
+texts as (
+  select doc_id, n, case when planted then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) else w end as w
+  from tails),
+words as (select doc_id, n, unnest(range(n)) as i, unnest(w) as word from texts),
+pairs as (
+  select a.doc_id, a.i, b.i - a.i as p from words a join words b on a.doc_id = b.doc_id and a.word = b.word and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+islands as (select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) as island from pairs),
+stretches as (select doc_id, p, min(i) as s, max(i) + 1 + p as e from islands group by doc_id, p, island),
+runs as (select doc_id, s, e, min(p) as p from stretches where e - s >= greatest(6, 4 * p) group by all),
+dropped as (select distinct doc_id, unnest(range(s + p, e)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as said from words anti join dropped using (doc_id, i) group by doc_id),
+told as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || (e - s) || ',' || p || chr(10), '' order by s, p) as said,
+    first({'s': s, 'n': e - s, 'p': p} order by e - s desc, s, p) as longest
+  from runs group by doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, longest.s as start, longest.n as length, longest.p as period, 1000 * longest.n // longest.p as exponent_milli,
+  sha256(coalesce(told.said, '')) as runs_sha256, sha256(coalesce(kept.said, '')) as collapsed_sha256
+from texts t left join told using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES["op12_periods"] = OP12
