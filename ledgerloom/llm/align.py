@@ -12,7 +12,8 @@ Spark adds the pairs' numbers up over all blocks, joins them back to the blocks
 text's figures are summed beside its block: what is shuffled is distinct pairs of blocks, not links, and
 a pair that is in every block is a hot key of a join that Spark may split, never a group.
 
-Long texts are handed to the tokenizers in pieces cut before single spaces between letters: there both
+A's tokens come from a faster library where the driver has proved, from the vocabulary, that both give
+the same (``ranked``), and from its own otherwise. Long texts are handed to the tokenizers in pieces cut before single spaces between letters: there both
 begin a new token anyway (for B this is read off its vocabulary), so a piece's memory is bounded.
 
 Defined results: texts that are null or empty, or whose tokens' bytes joined differ from a space and the
@@ -22,7 +23,9 @@ plain text. Rows that repeat count each; a null id stays; an empty table gives n
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from hashlib import sha256
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm.common import cut, list_array, shuffles_go
-from ledgerloom.llm.tokens import byte_letters
+from ledgerloom.llm.tokens import PATTERN, byte_letters
 
 #: Bytes of the texts that are aligned at once, and characters of a piece of a text.
 BLOCK, PIECE = 4 << 20, 50_000
@@ -46,16 +49,71 @@ BLOCK, PIECE = 4 << 20, 50_000
 LONE_SPACE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
+#: What the faster library takes quadratic time for.
+LONG_PART = 1000
+LONG_SPACE = re.compile(rf"\s{{{LONG_PART}}}")
+
+
+def _last_parts(entry: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What merging by rank makes of an entry's bytes before the entry itself."""
+    parts = [entry[i : i + 1] for i in range(len(entry))]
+    own = ranks[entry]
+    while True:
+        rank, i = min(((ranks.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1)), default=(own, 0))
+        if rank >= own:
+            return parts
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def ranked_file(file_a: str) -> dict[bytes, int]:
+    """The byte strings of A's vocabulary with their identifiers, but for the added tokens."""
+    with open(file_a, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte_of[c] for c in entry): i for entry, i in spec["model"]["vocab"].items() if entry not in special}
+
+
+@lru_cache(4)
+def ranked(file_a: str) -> dict[bytes, int] | None:
+    """The byte strings of A's vocabulary with their identifiers, if merging by the least identifier gives A's tokens; else None.
+
+    It does where texts are split by the published pattern alone, bytes come before the merges' results, these are
+    numbered in the merges' order, and each entry, by itself, comes to the two parts of its own merge: merges inside
+    an entry's bytes don't depend on what is around them, so no other pair ever makes that entry.
+    """
+    with open(file_a, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    said = lambda entry: bytes(byte_of[c] for c in entry)
+    pairs = [tuple(map(said, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    ranks = ranked_file(file_a)
+    merged = [ranks.get(a + b) for a, b in pairs]
+    singles = [ranks.get(bytes([b])) for b in range(256)]
+    if None in merged or None in singles or len(ranks) != 256 + len(pairs) or [*sorted(singles), *merged] != sorted({*singles, *merged}):
+        return None
+    return ranks if all(_last_parts(a + b, ranks) == [a, b] for a, b in pairs) else None
+
+
 class Tokenizers:
-    """Both tokenizers, with the bytes of each of their entries."""
+    """Both tokenizers, with the bytes of each of their entries; ``fast`` says that A's file is ``ranked``."""
 
-    def __init__(self, file_a: str, file_b: str) -> None:
+    def __init__(self, file_a: str, file_b: str, fast: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(file_a)
         self.a.encode_special_tokens = True
+        self.fast = None
+        if fast:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranked_file(file_a), special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         byte_of = {letter: b for b, letter in byte_letters().items()}
         self.bytes_a = [b""] * (1 + max(self.a.get_vocab().values()))
@@ -81,13 +139,18 @@ class Tokenizers:
             at = m.end()
         return [*out, text[at:]]
 
+    def encode_a(self, piece: str) -> list[int]:
+        if self.fast is None or max(map(len, piece.split()), default=0) >= LONG_PART or LONG_SPACE.search(piece):
+            return self.a.encode(piece, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(piece)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Identifiers of A and of B of each text; none where they don't spell a space and the text."""
         for text in texts:
             a: list[int] = []
             b: list[int] = []
             for piece in self.pieces(text) if text else ():
-                a += self.a.encode(f" {piece}", add_special_tokens=False).ids
+                a += self.encode_a(f" {piece}")
                 b += self.b.encode(piece, num_threads=1)
             own = f" {text}".encode() if text else b""
             same = b"".join(map(self.bytes_a.__getitem__, a)) == own == b"".join(map(self.bytes_b.__getitem__, b))
@@ -95,8 +158,8 @@ class Tokenizers:
 
 
 @lru_cache(2)
-def tokenizers(file_a: str, file_b: str) -> Tokenizers:
-    return Tokenizers(file_a, file_b)
+def tokenizers(file_a: str, file_b: str, fast: bool = False) -> Tokenizers:
+    return Tokenizers(file_a, file_b, fast)
 
 
 def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -109,7 +172,7 @@ def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return root
         u, v, a, b = u[apart], v[apart], a[apart], b[apart]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (up := root[root]).tobytes() != root.tobytes():
+        while not np.array_equal(up := root[root], root):
             root = up
 
 
@@ -133,10 +196,11 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
     u = np.repeat(np.arange(n_a), count)
     v = np.arange(len(u)) - np.repeat(np.cumsum(count) - count - first, count)
     root = united(n_a + n_b, u, v + n_a)
-    roots, group = np.unique(root, return_inverse=True)  # a component's least node is its first A token
+    number = np.cumsum(root[:n_a] == np.arange(n_a)) - 1  # a component's least node is its first A token
+    group = number[root]
     group_a, group_b = group[:n_a], group[n_a:]
-    each = np.arange(len(roots))
-    return Aligned(group_a, group_b, np.searchsorted(group_a, each, "right") - 1, np.searchsorted(group_b, each, "right") - 1)
+    last = lambda side: np.flatnonzero(np.diff(side, append=-1))
+    return Aligned(group_a, group_b, last(group_a), last(group_b))
 
 
 class Block(NamedTuple):
@@ -174,7 +238,7 @@ def spell(own: Tokenizers, block: Block) -> list[str]:
     return ["".join(map(said, codes[lo:hi].tolist()))[:-1] for lo, hi in zip(at[:-1], at[1:])]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], files: tuple[str, str]) -> Iterator[tuple[pa.Array, Block, Tokenizers]]:
+def _blocks(batches: Iterator[pa.RecordBatch], files: tuple[str, str, bool]) -> Iterator[tuple[pa.Array, Block, Tokenizers]]:
     own = tokenizers(*files)
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "")
@@ -187,7 +251,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], files: tuple[str, str]) -> Iterat
             lo = hi
 
 
-def _spelled(batches: Iterator[pa.RecordBatch], files: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _spelled(batches: Iterator[pa.RecordBatch], files: tuple[str, str, bool]) -> Iterator[pa.RecordBatch]:
     for ids, block, own in _blocks(batches, files):
         yield pa.RecordBatch.from_arrays([ids, pa.array(spell(own, block), pa.string())], ["id", "groups"])
 
@@ -195,10 +259,10 @@ def _spelled(batches: Iterator[pa.RecordBatch], files: tuple[str, str]) -> Itera
 def token_groups(docs: DataFrame, file_a: str, file_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, groups) of each row: its groups spelled as ``a1,a2|b1;a3|b2,b3`` in decimal identifiers."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(partial(_spelled, files=(file_a, file_b)), f"id {own.schema['id'].dataType.simpleString()}, groups string")
+    return own.mapInArrow(partial(_spelled, files=(file_a, file_b, ranked(file_a) is not None)), f"id {own.schema['id'].dataType.simpleString()}, groups string")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], files: tuple[str, str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], files: tuple[str, str, bool], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A row for each text, with the places of its pairs in the block's list, and one for that list."""
     number = TaskContext.get().partitionId() << 32
     for ids, block, own in _blocks(batches, files):
@@ -247,7 +311,7 @@ def align_tokenizers(docs: DataFrame, file_a: str, file_b: str, id_col: str = "d
     id_kind = own.schema["id"].dataType
     id_field = pa.field("id", to_arrow_type(id_kind))
     schema = pa.schema([id_field, *(pa.field(c.split()[0], kind) for c, kind in zip(columns.split(", "), kinds))])
-    table = cut(own.mapInArrow(partial(_counted, files=(file_a, file_b), schema=schema), f"id {id_kind.simpleString()}, {columns}"), "aligned")
+    table = cut(own.mapInArrow(partial(_counted, files=(file_a, file_b, ranked(file_a) is not None), schema=schema), f"id {id_kind.simpleString()}, {columns}"), "aligned")
     listed = table.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "totals")).alias("slot", "x"))
     held = listed.select("block", "slot", F.col("x.pairs").alias("pair"), F.col("x.totals").alias("total"))
     summed = cut(held.groupBy("pair").agg(F.sum("total").alias("n")), "pair-numbers")

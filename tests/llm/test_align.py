@@ -1,5 +1,7 @@
+import json
 from collections import Counter, defaultdict
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -103,10 +105,37 @@ def test_pieces_of_long_texts(monkeypatch):
     whole = A.encode(f" {text}", add_special_tokens=False).ids, B.encode(text)
     for size in (1, 7, 50):
         monkeypatch.setattr(align, "PIECE", size)
-        assert len(own.pieces(text)) > 20
+        assert len(list(own.pieces(text))) > 20
         assert next(own.encode([text])) == whole
 
 
+@given(st.text(st.sampled_from("ab .,'s\n\t\xa0▁é北1<>|") | st.characters(codec="utf-8"), max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_faster_library(text):
+    """Ranks give the tokens of A's own library."""
+    assert align.tokenizers(*FILES, True).encode_a(text) == A.encode(text, add_special_tokens=False).ids
+
+
+def test_ranked(tmp_path):
+    """The file at hand is proved; one whose merges don't decide is not."""
+    ranks = align.ranked(FILES[0])
+    assert len(ranks) == 50256 and max(ranks.values()) == 50255
+    for text in ("a" * 5000, " " * 5000, "<|endoftext|>", "ab" * 700):
+        assert align.tokenizers(*FILES, True).encode_a(text) == A.encode(text, add_special_tokens=False).ids
+    spec = json.loads(Path(FILES[0]).read_text())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "prefix.json").write_text(json.dumps(spec))
+    assert align.ranked(str(tmp_path / "prefix.json")) is None
+    letters = byte_letters()
+    vocab = {letters[b]: b for b in range(256)} | {"ab": 256, "bc": 257, "abc": 258}
+    odd = {"model": {"vocab": vocab, "merges": ["a b", "b c", "a bc"]}, "pre_tokenizer": {"type": "ByteLevel"}, "added_tokens": []}
+    (tmp_path / "odd.json").write_text(json.dumps(odd))
+    assert align.ranked(str(tmp_path / "odd.json")) is None
+    odd["model"]["merges"][2] = "ab c"
+    (tmp_path / "even.json").write_text(json.dumps(odd))
+    assert align.ranked(str(tmp_path / "even.json")) is not None
+
+
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=40), st.lists(st.integers(1, 9), min_size=1, max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_components_are_least_groups(a, b):
