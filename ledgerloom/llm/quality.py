@@ -9,7 +9,7 @@ Besides its bytes a chunk holds how often a byte equals the one a few places bef
 function of the bytes that lets filters see stuttering without knowing the words.
 
 Fitting takes a bounded sample of labelled rows: ``most_rows`` in the order of a hash of the id, and of
-these, in that order, those whose whole texts fit into ``most_bytes`` together. It runs in one task
+these, in that order, each whose whole text still fits into ``most_bytes``; one that doesn't is passed over. It runs in one task
 with a fixed seed and returns weights only; the task holds about six bytes for each byte of the sample.
 Scoring is a map over batches and covers every byte of every text; a text above ``PIECE`` blocks is
 walked in pieces whose chunks overlap, with a running maximum, so memory doesn't grow with its length.
@@ -28,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import keep_rows, text_blocks
@@ -258,10 +258,16 @@ def train(
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # At most most_rows identifiers and numbers: small enough to be sent to every task.
     rows = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    # One partition holds the sample, which is bounded in rows; here it is also bounded in bytes.
-    order = Window.orderBy(F.xxhash64("id"), "id")
-    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.select("text", "label", F.row_number().over(order).alias("place"), size.alias("size")).where(F.col("size") <= most_bytes)
+    # As many identifiers and sizes come to the driver; of the texts only those chosen there come together, in one task.
+    sizes = rows.select("id", "label", F.xxhash64("id").alias("hash"), F.octet_length("text").alias("size")).collect()
+    fitting = []
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["id"])):
+        if r["size"] <= most_bytes:
+            most_bytes -= r["size"]
+            fitting.append((r["id"], int(r["label"]), len(fitting)))
+    kind = own.schema["id"].dataType.simpleString()
+    picked = docs.sparkSession.createDataFrame(fitting, f"id {kind}, label int, place int")
+    sample = own.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place"))
     found = sample.select("place", "text", "label").coalesce(1).mapInArrow(_fit, WEIGHTS).collect()
     weights = {r["name"]: np.frombuffer(bytes(r["weights"]), np.float32).reshape(r["shape"]) for r in found if r["name"]}
     return Network(found[0]["prior"] if found else 0.5, weights)

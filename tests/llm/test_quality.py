@@ -103,3 +103,13 @@ def test_the_bound_of_bytes_leaves_out_whole_texts(spark):
     assert quality.train(docs, labels, most_bytes=10).weights == {}
     assert quality.train(docs, labels, most_bytes=10).prior == 0.5
     assert quality.train(docs, labels).weights
+
+
+def test_a_text_above_the_bound_is_passed_over(spark):
+    """Wherever in the order the long text stands, the others are learned from."""
+    rows = [(i, ("good words here " if i % 2 else "zzzz qqqq ") * 8) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for long in range(0, 40, 13):
+        docs = spark.createDataFrame([(i, t * 400 if i == long else t) for i, t in rows], "doc_id long, text string")
+        network = quality.train(docs, labels, most_bytes=20_000)
+        assert network.weights and abs(network.prior - 0.5) < 0.05
