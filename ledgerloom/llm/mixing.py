@@ -11,8 +11,9 @@ for each named source and one for the rest: the driver sees as many numbers as t
 
 Defined results: a null source belongs to the rest; a null id counts as the text of no character,
 and rows that repeat an id get the same count, each; an empty table gives no rows; a weight of zero
-gives no copies. Further columns are kept as they are, and ``copy`` and ``mix_key`` are added (taken
-from ``names``, should those clash). Texts aren't looked at.
+gives no copies; a named source without rows gets none, and the output is smaller by its share. Further columns are
+kept as they are, and ``copy`` and ``mix_key`` are added (or ``names``): where the documents have a column of
+such a name, in whatever case, that is an error. Texts aren't looked at.
 """
 
 from __future__ import annotations
@@ -80,6 +81,9 @@ def mix_sources(
     names: tuple[str, str] = ("copy", "mix_key"),
 ) -> DataFrame:
     """Documents repeated to the target weights and shuffled; ``size`` is the output over the input."""
+    taken = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if taken or names[0].lower() == names[1].lower():
+        raise ValueError(f"columns {sorted(taken)} exist already; give other names")
     rate = rates(docs, weights, rest, source_col, size)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = unit(F.concat(F.lit(f"{seed}:"), key))

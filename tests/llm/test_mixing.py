@@ -48,3 +48,17 @@ def test_large_rate(spark):
     mixed = mix_sources(docs, {"rare": 0.9}, rest=0.1, size=100.0, seed=1)
     n = mixed.where("source = 'rare'").count()
     assert abs(n - 90_000) < 5 * 300
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "mine")], "doc_id long, source string, Copy string")
+    with pytest.raises(ValueError, match="copy"):
+        mix_sources(docs, {"a": 1.0})
+    with pytest.raises(ValueError):
+        mix_sources(docs, {"a": 1.0}, names=("n", "N"))
+    assert {r["Copy"] for r in mix_sources(docs, {"a": 1.0}, size=9.0, names=("n", "key")).collect()} == {"mine"}
+
+
+def test_a_named_source_without_rows(spark):
+    docs = spark.createDataFrame([(i, "a") for i in range(2000)], "doc_id long, source string")
+    assert abs(mix_sources(docs, {"a": 0.5, "gone": 0.5}).count() - 1000) < 150
