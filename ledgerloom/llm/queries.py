@@ -65,7 +65,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.find_secrets(documents(spark, sf_dir))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(secrets.BASE)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), "n_live", "n_example")
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), F.coalesce("verdicts", F.lit("")).alias("verdicts"), "n_live", "n_example")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

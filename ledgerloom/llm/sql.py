@@ -95,23 +95,27 @@ def secrets_sql() -> str:
     for rank, kind in enumerate(KINDS):
         pattern = kind.pattern.replace("'", "''")
         each.append(f"""
-  select doc_id, owner, {rank} as rank, '{kind.name}' as kind, {kind.least} as least, unnest(range(1, len(whole) + 1)) as i, pieces, whole, value from (
-    select doc_id, owner, string_split_regex(t, '{pattern}') as pieces, regexp_extract_all(t, '{pattern}', 0) as whole, regexp_extract_all(t, '{pattern}', {kind.value}) as value
+  select doc_id, owner, repository, {rank} as rank, '{kind.name}' as kind, {kind.least} as least, unnest(range(1, len(whole) + 1)) as i, pieces, whole, value from (
+    select doc_id, owner, repository, string_split_regex(t, '{pattern}') as pieces, regexp_extract_all(t, '{pattern}', 0) as whole, regexp_extract_all(t, '{pattern}', {kind.value}) as value
     from own where regexp_matches(t, '{pattern}'))""")
     counts = ", ".join(f"count(*) filter (where kind = '{k.name}') as n_{k.name}" for k in BASE)
     return f"""
-with own as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+with own as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner, coalesce(source, '') || chr(31) || coalesce(lang, '') as repository from documents),
 found as ({' union all '.join(each)}),
 placed as (
-  select doc_id, owner, rank, kind, value[i] as v, length(whole[i]) as size,
+  select doc_id, owner, repository, rank, kind, value[i] as v, length(whole[i]) as size,
     list_sum(list_transform(pieces[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)::bigint as a
   from found where length(value[i]) >= least),
-owners as (select v, count(distinct owner) as n from placed group by v),
-judged as (select *, kind || ':' || a || ':' || (a + size) as said, rank < {len(BASE)} as base, n <= {LIVE_OWNERS} as live, n >= {EXAMPLE_OWNERS} as example from placed join owners using (v)),
+owners as (select v, count(distinct owner) as n, count(distinct repository) as r from placed group by v),
+judged as (
+  select *, kind || ':' || a || ':' || (a + size) as said, rank < {len(BASE)} as base, n <= {LIVE_OWNERS} as live, least(n, r) >= {EXAMPLE_OWNERS} as example,
+    case when n <= {LIVE_OWNERS} then 'live' when least(n, r) >= {EXAMPLE_OWNERS} then 'example' else 'unclear' end as verdict
+  from placed join owners using (v)),
 told as (
-  select doc_id, {counts}, string_agg(said, ',' order by a, rank) filter (where base) as base_spans, string_agg(said, ',' order by a, rank) filter (where base or live) as spans,
+  select doc_id, {counts}, string_agg(said, ',' order by a, rank) filter (where base) as base_spans, string_agg(said, ',' order by a, rank) filter (where base or not example) as spans,
+    string_agg(said || ':' || verdict, ',' order by a, rank) as verdicts,
     count(*) filter (where live) as n_live, count(*) filter (where example) as n_example from judged group by doc_id)
-select doc_id, {', '.join(f'coalesce(n_{k.name}, 0) as n_{k.name}' for k in BASE)}, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans,
+select doc_id, {', '.join(f'coalesce(n_{k.name}, 0) as n_{k.name}' for k in BASE)}, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(verdicts, '') as verdicts,
   coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from own left join told using (doc_id)
 """
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+
+from ledgerloom.llm import queries
 from ledgerloom.llm.secrets import BASE, KINDS, find_secrets
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -55,3 +58,21 @@ def test_a_hundred_thousand_matches(spark):
     found, _ = find_secrets(docs)
     (row,) = found.selectExpr("size(found) as n", "found[99999].end as z", "n_live").collect()
     assert tuple(row) == (100_000, 100_000 * 25 - 1, 100_000)
+
+
+def test_query_and_sql_agree_on_owners(spark, tmp_path):
+    """Values of one, two and three owners, alone and in two repositories of one owner."""
+    hub = lambda c: "ghp_" + c * 36
+    url = "ftp://me:" + "p" * 9 + "@host"
+    rows = [(i, f"x {url} {hub('A') if i < 2 else hub('B')}", f"s{i}", "en") for i in range(5)]
+    rows += [(10, hub("C"), "s1", "en"), (11, hub("C"), "s1", "de"), (12, f"secret={'k' * 9} {hub('A')}", "s0", None), (13, None, None, None), (14, f"two {hub('D')}", "s1", "en"), (15, f"{hub('D')} two", "s2", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op5_secrets"])
+    columns = sorted(want.columns)
+    got = queries.op5_secrets(spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.select(*columns).fetchall())
+    spans = {r["doc_id"]: r["verdicts"] for r in got}
+    assert "unclear" in spans[14] and "live" in spans[10] and "example" in spans[2]
