@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import blank, money, text
+from ledgerloom.operators.rulebook import matched
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.ledger import DEFAULT_RULES, Ledger, duck
 
@@ -211,3 +212,22 @@ def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(F.col("id").endswith("1"), " INCOME").when(F.col("id").endswith("2"), "spending").otherwise(F.col("category"))
     tx = Ledger(spark, sf_dir).transactions.withColumn("category", category)
     return tx.select("id", guarded(F.col("category"), text("meaning"), text("review_status"), F.col("direction")).alias("guarded"))
+
+
+#: As many rules as a quarter of the events: some look for texts, some ask for values, some for amounts or tags alone.
+MANY_RULES = """select 'm' || cast(event_id as string) as id, cast(null as string) as name, cast(event_id % 7 as int) as priority, ts as created_at, event_id % 60 <> 0 as enabled,
+  case when event_id % 8 = 0 then 'Item ' || cast(event_id % 50 as string) else '' end as pattern, case when event_id % 12 = 0 then 'out' end as direction, cast(null as string) as currency,
+  case when event_id % 36 = 4 then 'spend' end as meaning, case when event_id % 44 = 8 then 'Cat 4' end as category, case when event_id % 100 = 4 then true end as category_empty,
+  case when event_id % 16 = 4 then 'перевод ' || case when event_id % 3 = 0 then 'сбп' else 'для' end end as description_contains, case when event_id % 16 = 12 then 'merchant ' || cast(event_id % 60 as string) end as merchant_contains,
+  case when event_id % 200 = 4 then 'SHOP' end as bank_category_contains, cast(value + 40 as decimal(14,2)) as min_amount, case when event_id % 24 = 0 then cast(value + 90 as decimal(14,2)) end as max_amount,
+  case when event_id % 28 = 4 then 'trip,work' end as tags_any, case when event_id % 52 = 4 then 'home,work' end as tags_all, case when event_id % 68 = 0 then 'home' end as tags_none
+from {events} where event_id % 4 = 0"""
+
+
+@register("rules_many", duck(f"select r.id as rule_id, count(*) as n_tx, sum(t.amount)::decimal(20,2) as total from {{transactions}} t join ({MANY_RULES}) r on {SQL_MATCH} group by 1"))
+def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of more rules than a projection can hold matches."""
+    ledger = Ledger(spark, sf_dir)
+    found = matched(ledger.transactions, ledger.sql(MANY_RULES))
+    rows = found.join(ledger.transactions.select("id", "amount"), "id")
+    return rows.groupBy("rule_id").agg(F.count("*").alias("n_tx"), money(F.sum("amount")).alias("total"))
