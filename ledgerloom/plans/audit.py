@@ -9,8 +9,8 @@ from ledgerloom.functions.columns import HIGH_IN, HIGH_LEAST_IN, HIGH_LEAST_OUT,
 from ledgerloom.plans.cashflow import SQL_LENS
 from ledgerloom.plans.quality import core, integrity
 from ledgerloom.plans.registry import register
-from ledgerloom.plans.rules import guarded
-from ledgerloom.plans.statements import SQL_SPACED, merchant_label, sql_clean
+from ledgerloom.plans.rules import guarded, sql_guard
+from ledgerloom.plans.statements import SQL_SPACED, merchant_label, sql_counterparty, sql_merchant
 from ledgerloom.sources.ledger import Ledger, duck
 
 LENSES = ("internal_only", "high_confidence_transfer_like", "strict_transfer_like")
@@ -199,9 +199,6 @@ def align_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", place).where(F.col("k") <= F.abs("gap")).select("row_id", F.when(F.col("gap") > 0, "demote").otherwise("promote").alias("action"))
 
 
-SQL_LABEL = f"(select case when l = '' then '' else {sql_clean('l')} end from (select {SQL_SPACED.format('description_raw')} as l))"
-
-
 def category_changes(ledger: Ledger) -> DataFrame:
     """What the guardrail and the merchant cascade would change of linked transactions that aren't internal."""
     linked = ledger.links.select(F.col("transaction_id").alias("id")).distinct()
@@ -212,11 +209,12 @@ def category_changes(ledger: Ledger) -> DataFrame:
     return plan.withColumns({"category_changed": F.col("category") != F.col("new_category"), "merchant_changed": F.col("merchant") != F.col("new_merchant")})
 
 
-SQL_CHANGES = """changes as (select id, category, merchant, new_category, coalesce(nullif(trim(merchant), ''), label) as new_merchant from (
-  select id, coalesce(category, '') as category, coalesce(merchant_normalized, '') as merchant, coalesce(category, '') as new_category,
-    case when description_raw in ('Зачисление к/с') and direction = 'in' then 'Зачисление к/с' when starts_with(lower(description_raw), 'перевод') or starts_with(lower(description_raw), 'списание') or starts_with(lower(description_raw), 'зачисление') then ''
-      when starts_with(description_raw, 'Purchase item ') or description_raw in ('transfer between accounts', 'karta-vklad move', 'Card replenishment', 'Payroll credit', 'Комиссия') then description_raw else '?' end as label
-  from {transactions} where id in (select transaction_id from {links}) and coalesce(meaning, '') <> 'internal_transfer'))"""
+SQL_CHANGES = f"""said as (
+  select *, {SQL_SPACED.format('description_raw')} as l, coalesce(category, '') as own, lower(trim(coalesce(meaning, ''))) as meant, coalesce(review_status, 'needs_review') as seen
+  from {{transactions}} where id in (select transaction_id from {{links}}) and coalesce(meaning, '') <> 'internal_transfer'),
+changes as (select id, own as category, coalesce(merchant_normalized, '') as merchant, {sql_guard('own', 'meant', 'seen')} as new_category,
+    coalesce(nullif(trim(coalesce(merchant_normalized, '')), ''), {sql_merchant("coalesce(bank_category, '')")}) as new_merchant
+  from (select *, {sql_counterparty('l')} as counterparty from said))"""
 
 
 @register("category_plan", duck(f"with {SQL_CHANGES} select id, new_category, new_merchant, category <> new_category as category_changed, merchant <> new_merchant as merchant_changed from changes where category <> new_category or merchant <> new_merchant"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import money
+from ledgerloom.operators.asof import asof_join
 from ledgerloom.plans.registry import register
 from ledgerloom.sources.ledger import Ledger, duck
 
@@ -231,12 +232,48 @@ def balance_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.max(sure).alias("confidence"))
 
 
-@register("reconcile_exceptions", duck(f"select 'reconcile_mismatch' as exception_type, id as entity_id, delta from ({SQL_RECONCILE}) where status = 'mismatch'"))
+def mismatches(statements: DataFrame, stored: DataFrame) -> DataFrame:
+    """Exceptions of statements that don't add up and have no such exception yet, whatever became of it."""
+    known = stored.where("exception_type = 'reconcile_mismatch' and entity_type = 'statement'").select(F.col("entity_id").alias("id"))
+    wrong = reconciled(statements).where("status = 'mismatch'").join(known, "id", "left_anti")
+    return wrong.select(F.lit("reconcile_mismatch").alias("exception_type"), F.col("id").alias("entity_id"), "delta")
+
+
+@register("reconcile_exceptions", duck(f"""select 'reconcile_mismatch' as exception_type, id as entity_id, delta from ({SQL_RECONCILE}) where status = 'mismatch' and id not like '%7'"""))
 def reconcile_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile(spark, sf_dir).where("status = 'mismatch'").select(F.lit("reconcile_mismatch").alias("exception_type"), F.col("id").alias("entity_id"), "delta")
+    """Here every statement whose id ends with 7 has its exception already."""
+    ledger = Ledger(spark, sf_dir)
+    told = ledger.statements.where("id like '%7'").select(F.lit("reconcile_mismatch").alias("exception_type"), F.lit("statement").alias("entity_type"), F.col("id").alias("entity_id"))
+    return mismatches(ledger.statements, ledger.exceptions.select("exception_type", "entity_type", "entity_id").union(told))
 
 
-@register("stale_accounts", duck(f"select account_id, date_diff('day', ts::date, date '2001-09-15') > 30 as stale from ({SQL_LATEST})"))
+@register("stale_accounts", duck(f"select a.id as account_id, coalesce(date_diff('day', l.ts::date, date '2001-09-15') > 30, true) as stale from {{accounts}} a left join ({SQL_LATEST}) l on l.account_id = a.id"))
 def stale_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts whose latest balance is more than 30 days before a given day."""
-    return net_worth_current(spark, sf_dir).select("account_id", (F.date_diff(F.lit("2001-09-15").cast("date"), F.col("ts").cast("date")) > 30).alias("stale"))
+    """Accounts whose latest balance is more than 30 days before a given day, and those without any."""
+    old = F.date_diff(F.lit("2001-09-15").cast("date"), F.col("ts").cast("date")) > 30
+    ids = Ledger(spark, sf_dir).accounts.select(F.col("id").alias("account_id"))
+    return ids.join(net_worth_current(spark, sf_dir), "account_id", "left").select("account_id", F.coalesce(old, F.lit(True)).alias("stale"))
+
+
+SQL_POINTS = f"select account_id, ts, arg_max(balance, ({SQL_PRIORITY}, statement_id)) as balance from {{balance_snapshots}} group by all"
+
+
+@register("balance_movement", duck(f"""with points as ({SQL_POINTS}), told as (select *, lag(balance) over w as prior, lag(ts) over w as prior_ts from points window w as (partition by account_id order by ts))
+select account_id, ts, balance, prior_ts, (balance - prior)::decimal(20,2) as movement from told qualify row_number() over (partition by account_id order by ts desc) = 1"""))
+def balance_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last balance of each account less the one before it; nothing where there is only one."""
+    points = last_of(Ledger(spark, sf_dir).balance_snapshots, "account_id", "ts").select("account_id", "ts", "balance")
+    last = points.groupBy("account_id").agg(F.max("ts").alias("ts"), F.max_by("balance", "ts").alias("balance"))
+    prior = points.join(last.select("account_id", F.col("ts").alias("last_ts")), "account_id").where("ts < last_ts")
+    prior = prior.groupBy("account_id").agg(F.max("ts").alias("prior_ts"), F.max_by("balance", "ts").alias("prior"))
+    return last.join(prior, "account_id", "left").select("account_id", "ts", "balance", "prior_ts", money(F.col("balance") - F.col("prior")).alias("movement"))
+
+
+@register("balance_asof", duck(f"""with points as ({SQL_POINTS}), probes as (select id, account_id, opening_date as ts from (select id, account_id, period_start - interval 1 day as opening_date from {{statements}}) s)
+select p.id, p.account_id, b.ts as known_at, b.balance from probes p asof left join points b on b.account_id = p.account_id and p.ts >= b.ts"""))
+def balance_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of each statement's account on the day before the statement begins."""
+    ledger = Ledger(spark, sf_dir)
+    points = last_of(ledger.balance_snapshots, "account_id", "ts").select("account_id", "ts", "balance", F.col("ts").alias("known_at"))
+    probes = ledger.statements.select("id", "account_id", F.expr("period_start - interval 1 day").alias("ts"))
+    return asof_join(probes, points, ["account_id"], "ts").select("id", "account_id", "found.known_at", "found.balance")

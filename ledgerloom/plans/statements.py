@@ -235,8 +235,13 @@ def counterparty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_REST = "regexp_replace(regexp_replace(regexp_replace(" + SQL_SPACED.format(f"regexp_replace(regexp_replace(l, '{MASKED}', ' ', 'g'), '{LONG_DIGITS}', ' ', 'g')") + f", '{CUT}', ''), '[;|].*$', ''), '{PAID}', '')"
-SQL_MERCHANT = f"""case when l = '' then '' when direction = 'in' and counterparty <> '' then counterparty when {' or '.join(f"starts_with(lower(l), '{p}')" for p in PREFIXES)} then ''
-  else coalesce({', '.join(f"nullif({sql_clean(f'regexp_extract(l, {quoted(p)}, 1)')}, '')" for p in MERCHANTS)}, nullif({sql_clean(SQL_REST)}, ''), {sql_clean("'shop'")}) end"""
+def sql_merchant(category: str) -> str:
+    """The label of a line ``l`` with its ``counterparty``; the bank's category stands in where nothing else is said."""
+    return f"""case when l = '' then '' when direction = 'in' and counterparty <> '' then counterparty when {' or '.join(f"starts_with(lower(l), '{p}')" for p in PREFIXES)} then ''
+  else coalesce({', '.join(f"nullif({sql_clean(f'regexp_extract(l, {quoted(p)}, 1)')}, '')" for p in MERCHANTS)}, nullif({sql_clean(SQL_REST)}, ''), {sql_clean(category)}) end"""
+
+
+SQL_MERCHANT = sql_merchant("'shop'")
 
 
 @register("merchant_label", duck(f"select event_id, {SQL_MERCHANT} as merchant from (select *, {sql_counterparty('l')} as counterparty from (select event_id, direction, {SQL_SPACED.format('line')} as l from {{lines}}))"))
