@@ -113,21 +113,26 @@ def sides(tx: DataFrame, direction: str) -> DataFrame:
     )
 
 
-def candidates(tx: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
+def widest_window(lanes: DataFrame | None) -> float:
+    """Seconds that two sides may be apart at most: one number for the whole ledger."""
+    return float(WINDOW_S) if lanes is None else max(float(WINDOW_S), lanes.agg(F.max("window_s")).first()[0] or 0.0)
+
+
+def candidates(tx: DataFrame, lanes: DataFrame | None = None, inflows: DataFrame | None = None) -> DataFrame:
     """Pairs near in time and amount, of two accounts and one currency; lanes may widen the window of time.
 
+    Inflows are those of ``inflows`` if that is given, else of ``tx`` itself.
+
     An equality join on cells: time is cut by the widest window there is, amounts by the tolerance, and an
     outflow goes to its own cell and its neighbours, nine in all. Both sides are shuffled by cell (the side
     that was exploded is never sent whole to every task), so Spark may split a cell that holds too much.
     """
-    widest = float(WINDOW_S)
-    if lanes is not None:  # one number for the whole ledger
-        widest = max(widest, lanes.agg(F.max("window_s")).first()[0] or 0.0)
+    widest = widest_window(lanes)
     day = lambda at: F.floor(F.col(at) / F.lit(int(widest * 1_000_000)))
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     around = lambda cell: F.explode(F.transform(near, lambda k: cell + k))
     out = sides(tx, "out").withColumn("t", around(day("out_us"))).withColumn("c", around(amount_cell(F.col("out_cents"))))
-    into = sides(tx, "in").withColumn("t", day("in_us")).withColumn("c", amount_cell(F.col("in_cents")))
+    into = sides(tx if inflows is None else inflows, "in").withColumn("t", day("in_us")).withColumn("c", amount_cell(F.col("in_cents")))
     most = F.greatest("out_cents", "in_cents")
     allowed = F.least(F.lit(FEE_CENTS), F.greatest(F.lit(1), F.floor(most / FEE_SHARE).cast("bigint")))
     delta = F.abs(F.col("out_cents") - F.col("in_cents"))
@@ -347,16 +352,24 @@ def rationale() -> Column:
 
 
 def links(pairs: DataFrame) -> DataFrame:
-    """The links of scored pairs: (out_id, in_id, status, score, fee, rationale).
+    """The links of scored pairs: (out_id, in_id, status, score, fee, rationale)."""
+    pairs = written(pairs, "pairs")
+    edges = counted(viable(pairs), lane_counts(pairs))
+    labels = components(edges.select(F.col("out_id").alias("a"), F.col("in_id").alias("b")))
+    return linked(edges.join(labels.withColumnRenamed("node", "out_id"), "out_id")).drop("label")
+
 
-    Components of viable pairs share no transaction, so each is assigned by itself: small ones exactly in a
+def counted(edges: DataFrame, counts: DataFrame) -> DataFrame:
+    return edges.join(counts, ["out_account", "in_account"], "left").na.fill(0, ["n_pairs", "n_forward"])
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """The links of viable pairs with the counts of their accounts and the ``label`` of their component, with that label.
+
+    Components share no transaction, so each is assigned by itself: small ones exactly in a
     grouped function, others by rounds of mutual best pairs. Whether a pair under the usual threshold
     becomes a link depends on pairs of better rank, so the judgement is repeated until it stays.
     """
-    pairs = written(pairs, "pairs")
-    edges = viable(pairs).join(lane_counts(pairs), ["out_account", "in_account"], "left").na.fill(0, ["n_pairs", "n_forward"])
-    labels = components(edges.select(F.col("out_id").alias("a"), F.col("in_id").alias("b")))
-    edges = edges.join(labels.withColumnRenamed("node", "out_id"), "out_id")
     edges = written(edges.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*rank_order()))), "edges")
     sizes = edges.groupBy("label").agg(F.countDistinct("out_id").alias("outs"), F.countDistinct("in_id").alias("ins"), F.count("*").alias("edges"))
     small = (F.col("outs") <= EXACT_SIDE) & (F.col("ins") <= EXACT_SIDE) & (F.col("edges") <= EXACT_EDGES)
@@ -375,4 +388,4 @@ def links(pairs: DataFrame) -> DataFrame:
             break
         low = now
     fee = F.when(F.col("delta_cents") > 0, F.col("delta_cents") / 100)
-    return out.where("status <> 'dropped'").select("out_id", "in_id", "status", "score", fee.alias("fee"), rationale().alias("rationale"))
+    return out.where("status <> 'dropped'").select("label", "out_id", "in_id", "status", "score", fee.alias("fee"), rationale().alias("rationale"))

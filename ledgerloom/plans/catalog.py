@@ -8,7 +8,7 @@ from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
 MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "layouts", "rules", "maintain", "accounts", "review", "audit", "rebuild", "alignment", "split", "scalars")
-STREAMS: tuple[str, ...] = ("ingest",)
+STREAMS: tuple[str, ...] = ("ingest", "redetect")
 
 
 def _load() -> None:
