@@ -44,6 +44,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def goes_with_scratch(path: str) -> None:
+    """Have the innermost open ``scratch`` delete a folder; without one it stays."""
+    if open_ := _written.get():
+        open_[-1].append(path)
+
+
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs don't repeat its work.
 

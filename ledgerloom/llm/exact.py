@@ -1,11 +1,12 @@
 """Exact duplicates by a log-structured merge index of digests.
 
 Every task is a memtable: it flushes the digests of its documents as one sorted run, a Parquet file
-with a Bloom filter and the least and greatest digest of each row group. Runs stand in tiers: where a
-tier has ``fan`` flushes, they are merged into one of the next tier, and of equal digests a merge keeps
-the identifier that stays and adds up the counts. Digests with more than one document are hits. Only
-texts that may be hits, told by a filter of fixed size, are shuffled, and compared byte by byte before
-anything is dropped.
+with a Bloom filter and the least and greatest digest of each row group. One pass over the documents deals
+its tasks' runs out to ``FLUSHES`` flushes. Flushes stand in tiers: where a tier has ``fan`` of them, they are
+merged into one of the next tier, and of equal digests a merge keeps the identifier that stays and adds up
+the counts. Digests with more than one document are hits. Only texts that may be hits, told by a filter that
+grows with the hits up to 64 MB, are shuffled, and compared byte by byte before anything is dropped. (With
+far more than a hundred million hits that filter is full: all texts are shuffled then, and the result is the same.)
 
 All steps are DataFrame operations. Groups are pre-aggregated before the shuffle, so that a text
 with a third of all rows sends one row from each task, and the join that gives each document its
@@ -23,23 +24,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, shared_folder
+from ledgerloom.llm.common import cut, goes_with_scratch, scratch, shared_folder, shuffles_go
 
 Digest = Callable[[Column], Column]
-#: Bits of a filter: 4 MB, whatever it holds.
-FILTER_BITS = 1 << 25
+#: Bits of a filter: 4 MB at least, 64 MB at most, and between these sixteen for each key.
+FILTER_BITS, MOST_BITS = 1 << 25, 1 << 29
+#: Flushes that one pass over the documents makes, fewer where it has fewer tasks.
+FLUSHES = 16
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def may_hold(rows: DataFrame, key: Column, held: DataFrame, held_key: Column, name: str) -> DataFrame:
+def filter_bits(keys: int) -> int:
+    return min(max(MOST_BITS, FILTER_BITS), max(FILTER_BITS, 1 << (16 * keys).bit_length()))
+
+
+def may_hold(rows: DataFrame, key: Column, held: DataFrame, held_key: Column, name: str, n_bits: int | None = None) -> DataFrame:
     """``rows`` with a flag whether ``held`` may have the key: always where it has, and for few others.
 
-    The filter is a bitmap cut into 1,024 rows of 4 KB at most, which is what the join broadcasts.
+    The filter is a bitmap cut into rows of 4 KB, at most 16,384 of them, which is what the join broadcasts.
     """
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
+    n_bits = n_bits or FILTER_BITS
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(n_bits)) + 1
     bits = held.select(place(held_key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(f"{name}_bucket"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(f"{name}_bits"))
     at = F.bitmap_bit_position(place(key))
@@ -49,6 +57,10 @@ def may_hold(rows: DataFrame, key: Column, held: DataFrame, held_key: Column, na
     return told.join(F.broadcast(bits), f"{name}_bucket", "left").withColumn(name, flag).drop(f"{name}_bucket", f"{name}_bits")
 
 
+#: How runs are written.
+OPTIONS = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true"}
+
+
 class MergeIndex:
     """Runs of (digest, id, copies) under one folder, each sorted by digest, in tiers of ``fan`` flushes or merges."""
 
@@ -56,13 +68,13 @@ class MergeIndex:
         if keep not in ("largest", "smallest"):
             raise ValueError(f"keep must be largest or smallest, not {keep}")
         self.spark, self.folder, self.fan = spark, folder or shared_folder(spark), fan
+        goes_with_scratch(self.folder)
         self.stays = F.max if keep == "largest" else F.min
         self.flushed: list[str] = []
         self.tiers: list[list[str]] = [[]]
 
     def _write(self, rows: DataFrame, path: str) -> str:
-        options = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true"}
-        rows.sortWithinPartitions("digest").write.options(**options).parquet(path)
+        rows.sortWithinPartitions("digest").write.options(**OPTIONS).parquet(path)
         return path
 
     def _merge(self, paths: list[str], path: str) -> str:
@@ -71,7 +83,23 @@ class MergeIndex:
 
     def flush(self, rows: DataFrame) -> None:
         """Write (digest, id) rows as sorted runs, one for each task, and merge the tiers that are full."""
-        path = self._write(rows.withColumn("copies", F.lit(1).cast("long")), f"{self.folder}/flush={len(self.flushed)}")
+        self._take(self._write(rows.withColumn("copies", F.lit(1).cast("long")), f"{self.folder}/flush={len(self.flushed)}"))
+
+    def flush_parts(self, rows: DataFrame, parts: int) -> None:
+        """The same as ``parts`` flushes by one pass over the rows: each task's run goes whole to one of them."""
+        base = f"{self.folder}/parts={len(self.flushed)}"
+        part = F.pmod(F.spark_partition_id(), F.lit(parts))
+        runs = rows.withColumns({"copies": F.lit(1).cast("long"), "part": part}).sortWithinPartitions("part", "digest")
+        runs.write.options(**OPTIONS).partitionBy("part").parquet(base)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(base)
+        made = [f.getPath().getName() for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path) if f.isDirectory()]
+        if not made:  # no rows at all
+            self.flush(rows.limit(0))
+        for name in sorted(made, key=lambda n: int(n.partition("=")[2])):
+            self._take(f"{base}/{name}")
+
+    def _take(self, path: str) -> None:
+        """A flush joins the first tier, and full tiers are merged."""
         self.flushed.append(path)
         self.tiers[0].append(path)
         for level, tier in enumerate(self.tiers):
@@ -88,6 +116,8 @@ class MergeIndex:
     def compact(self) -> DataFrame:
         """What all tiers hold, merged: a row for each digest with the id that stays and the copies."""
         live = [p for tier in self.tiers for p in tier]
+        if len(live) == 1 and not self.tiers[0]:  # merged already
+            return self.spark.read.parquet(*live)
         top = self._merge(live, f"{self.folder}/all={len(self.flushed)}")
         self.tiers = [[] for _ in self.tiers] + [[top]]
         return self.spark.read.parquet(top)
@@ -102,12 +132,13 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Dig
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = own.select(digest(F.col("text")).alias("digest"), "id", "text")
     index = MergeIndex(docs.sparkSession, keep=keep)
-    index.flush(keyed.select("digest", "id"))
-    level = index.compact()
+    with shuffles_go(docs.sparkSession):
+        index.flush_parts(keyed.select("digest", "id"), FLUSHES)
+        level = index.compact()
     hits = level.where("copies > 1").select("digest")
 
     # Each distinct text of a hit once from each task; a digest of several texts is taken apart by text.
-    likely = may_hold(keyed.select("digest", "text"), F.col("digest"), hits, F.col("digest"), "hit").where("hit")
+    likely = may_hold(keyed.select("digest", "text"), F.col("digest"), hits, F.col("digest"), "hit", filter_bits(hits.count())).where("hit")
     texts = cut(likely.groupBy("digest", "text").count().select("digest"), "texts")
     shared = cut(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "shared")
     answers = index.rows().join(level.select("digest", F.col("id").alias("keep_id"), F.col("copies").alias("group_size")), "digest")
@@ -127,7 +158,9 @@ def exact_duplicates(
     ``digest`` may be any function of the text: texts that only share it are told apart by their bytes.
     """
     kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return _answers(docs, id_col, text_col, keep, digest).select("id", "keep_id", "group_size", kept, "digest")
+    with scratch(docs.sparkSession):
+        answers = cut(_answers(docs, id_col, text_col, keep, digest), "answers", keep=True)
+    return answers.select("id", "keep_id", "group_size", kept, "digest")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
@@ -136,18 +169,20 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document without copies isn't shuffled, nor is one that the filters know to go: of a text with
     a third of all rows one is, and the few that a filter confuses with it.
     """
-    answers = cut(_answers(docs, id_col, text_col, keep, sha256), "answers")
+    with scratch(docs.sparkSession):
+        answers = cut(_answers(docs, id_col, text_col, keep, sha256), "answers", keep=True)
     hits = answers.where("group_size > 1").select("digest")
+    bits = filter_bits(answers.where("group_size > 1 and id <=> keep_id").count())
     # What stays of the digests that the filter takes for hits, whether they are or not.
     kept = answers.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", "id")
-    stays = may_hold(kept, F.col("digest"), hits, F.col("digest"), "hit").where("hit").select(F.col("digest").alias("stays_digest"), F.col("id").alias("stays_id"))
+    stays = may_hold(kept, F.col("digest"), hits, F.col("digest"), "hit", bits).where("hit").select(F.col("digest").alias("stays_digest"), F.col("id").alias("stays_id"))
     stays = cut(stays.distinct(), "stays")
 
     pair = lambda d, i: F.struct(F.col(d), F.col(i).isNull(), F.col(i))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     own = docs.select(whole, F.col(id_col).alias("id"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
-    told = may_hold(own, F.col("digest"), hits, F.col("digest"), "hit")
-    told = may_hold(told, pair("digest", "id"), stays, pair("stays_digest", "stays_id"), "stay")
+    told = may_hold(own, F.col("digest"), hits, F.col("digest"), "hit", bits)
+    told = may_hold(told, pair("digest", "id"), stays, pair("stays_digest", "stays_id"), "stay", bits)
     same = (F.col("digest") == F.col("stays_digest")) & F.col("id").eqNullSafe(F.col("stays_id"))
     one = told.where("hit and stay").join(stays, same, "left_semi").dropDuplicates(["digest", "id"])
     return told.where("not hit").select("doc.*").unionByName(one.select("doc.*"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact
 from ledgerloom.llm.exact import MergeIndex, drop_exact_duplicates, exact_duplicates, may_hold, sha256
+from ledgerloom.llm.queries import op8_exact
 
 ROWS = [(1, "a"), (5, "a"), (3, "a"), (2, "b"), (4, None), (6, ""), (None, "b"), (7, "x" * 200_000), (8, "x" * 200_000), (9, "x" * 199_999), (9, "c"), (9, "c"), (None, "d")]
 
@@ -72,3 +73,41 @@ def test_dropping(spark, monkeypatch):
         assert kept.columns == docs.columns
         assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == want
     assert drop_exact_duplicates(docs.limit(0)).collect() == []
+
+
+def test_the_query_flushes_merges_and_asks_the_filter(spark, tmp_path, monkeypatch):
+    """Several flushes by one pass, tiers that fill, texts told by the filter of hits, and nothing left but the answer."""
+    made, asked = [], []
+
+    class Watched(MergeIndex):
+        def __init__(self, *args, **named):
+            super().__init__(*args, **named)
+            made.append(self)
+
+        def _merge(self, paths, path):
+            self.merged = [*getattr(self, "merged", []), (len(paths), path.removeprefix(self.folder))]
+            return super()._merge(paths, path)
+
+    def watched(rows, key, held, held_key, name, n_bits=None):
+        asked.append((rows.columns, n_bits))
+        return may_hold(rows, key, held, held_key, name, n_bits)
+
+    monkeypatch.setattr(exact, "MergeIndex", Watched)
+    monkeypatch.setattr(exact, "may_hold", watched)
+    frame(spark, ROWS * 20).repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+    try:
+        found_rows = op8_exact(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (index,) = made
+    assert len(index.flushed) == exact.FLUSHES
+    assert [n for n, _ in index.merged] == [4, 4, 4, 4, 4] and [len(t) for t in index.tiers] == [0, 0, 1]
+    assert asked == [(["digest", "text"], exact.FILTER_BITS)]
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found_rows) == brute(ROWS * 20)
+    path = spark._jvm.org.apache.hadoop.fs.Path(index.folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_filter_grows_with_its_keys_up_to_a_bound():
+    assert [exact.filter_bits(n) for n in (0, 1000, 10**7, 10**12)] == [1 << 25, 1 << 25, 1 << 28, 1 << 29]
