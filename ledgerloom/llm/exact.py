@@ -57,8 +57,8 @@ def may_hold(rows: DataFrame, key: Column, held: DataFrame, held_key: Column, na
     return told.join(F.broadcast(bits), f"{name}_bucket", "left").withColumn(name, flag).drop(f"{name}_bucket", f"{name}_bits")
 
 
-#: How runs are written.
-OPTIONS = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true"}
+#: How runs are written; a run's Bloom filter is as large as its digests ask for, not a megabyte for each file.
+OPTIONS = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 class MergeIndex:
