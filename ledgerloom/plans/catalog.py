@@ -7,7 +7,7 @@ from importlib import import_module
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "layouts", "rules", "maintain", "accounts", "review", "audit", "rebuild", "alignment", "split", "deletion", "scalars")
+MODULES: tuple[str, ...] = ("cashflow", "browse", "quality", "networth", "transfers", "imports", "statements", "layouts", "rules", "maintain", "accounts", "review", "audit", "rebuild", "alignment", "split", "deletion", "persist", "scalars")
 STREAMS: tuple[str, ...] = ("ingest", "redetect")
 
 
