@@ -87,7 +87,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[
 
 
 def _tags(column: str) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def fits() -> Column:

@@ -33,7 +33,7 @@ def split_tags(value: str | None) -> list[str]:
 
 def tags() -> Column:
     """The distinct tags of a transaction, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text("tag_list"), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text("tag_list"), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def strings(values: list[str]) -> Column:
@@ -196,6 +196,31 @@ def rules_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", text("category").alias("before_category"), F.col("new_category").alias("after_category"), F.array_join("new_tags", ",").alias("after_tags"))
 
 
+def applied(tx: DataFrame, rules: list[Row], include_transfers: bool = False) -> DataFrame:
+    """All of ``tx`` as the rules leave it; rows out of scope and rows that nothing changes stay as they are, null fields too.
+
+    No tags are null. One map over the rows: that a second run changes nothing holds where conditions don't look at what
+    the rules set, as conditions see the row as it came. Missing meanings are in scope.
+    """
+    inside = F.lit(True) if include_transfers else F.col("meaning").isNull() | (F.col("meaning") != "internal_transfer")
+    out = after(tx, rules).withColumn("does", inside & changed())
+    new = {s: F.when(F.col("does"), F.col(f"new_{s}")).otherwise(F.col(s)) for s in SETTERS}
+    put = F.when(F.col("does"), F.nullif(F.array_join("new_tags", ","), F.lit(""))).otherwise(F.col("tag_list"))
+    return out.withColumns(new | {"tag_list": put, "updated": F.col("does")}).select(*tx.columns, "updated")
+
+
+SQL_APPLIED = f"""{SQL_AFTER}, applied as (select a.id, t.meaning is distinct from 'internal_transfer' and (a.category <> guarded or a.tags <> new_tags or a.meaning <> new_meaning or a.review_status <> new_review_status) as updated,
+  t.category as old_category, t.meaning as old_meaning, t.review_status as old_review, t.tag_list as old_tags, guarded, new_meaning, new_review_status, new_tags, n from after_ a join {{transactions}} t using (id))"""
+
+
+@register("rules_applied", duck(f"""with {SQL_APPLIED} select id, updated, case when updated then guarded else old_category end as category, case when updated then new_meaning else old_meaning end as meaning,
+  case when updated then new_review_status else old_review end as review_status, case when updated then nullif(array_to_string(new_tags, ','), '') else old_tags end as tag_list from applied"""))
+def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions after the rules were applied, and which of them were updated."""
+    ledger = Ledger(spark, sf_dir)
+    return applied(ledger.transactions, rule_set(ledger.rules)).select("id", "updated", *SETTERS, "tag_list")
+
+
 SQL_DEFAULT = sql_after("{default_rules}", DEFAULT_RULES)
 
 

@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 from decimal import Decimal
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import lens
@@ -120,3 +121,20 @@ def test_net_worth_between_two_times(spark):
     assert str(last) == end and networth.raw_between(snapshots, "2023-01-01", "2023-02-01").collect() == []
     late = networth.timeline(snapshots, "month", "2024-03-01").collect()
     assert [(r["bucket"], float(r["total"])) for r in late] == [("2024-03-01", 21.0)]
+
+
+def test_rules_applied(spark):
+    """Rows that change are written whole, all others stay as they are, null fields and odd tags too."""
+    schema = "id string, description_raw string, merchant_normalized string, bank_category string, category string, meaning string, review_status string, direction string, currency string, amount decimal(14,2), tag_list string"
+    row = lambda i, text, category=None, meaning=None, review=None, tags=None: (i, text, None, None, category, meaning, review, "out", "RUB", None, tags)
+    tx = spark.createDataFrame([row("a", "Coffee", tags="x, x,old"), row("b", "tea", tags=" y,,y"), row("c", "coffee", meaning="internal_transfer"), row("d", None), row("e", "coffee", "Food", "spend", "reviewed", "new")], schema)
+    rule = {c: None for c in (*R.CONDITIONS, "set_category", "set_meaning", "set_review_status", "set_tags", "add_tags", "remove_tags")} | {"id": "r", "pattern": "coffee"}
+    rules = [Row(**(rule | {"set_category": "Food", "set_meaning": "spend", "add_tags": "new", "remove_tags": "old,x"}))]
+    got = {r["id"]: (r["category"], r["meaning"], r["review_status"], r["tag_list"], r["updated"]) for r in R.applied(tx, rules).collect()}
+    assert got["a"] == ("Food", "spend", "reviewed", "new", True)
+    assert got["b"] == (None, None, None, " y,,y", False) and got["d"] == (None, None, None, None, False)
+    assert got["c"] == (None, "internal_transfer", None, None, False) and got["e"] == ("Food", "spend", "reviewed", "new", False)
+    every = {r["id"]: r["updated"] for r in R.applied(tx, rules, include_transfers=True).collect()}
+    assert every == {"a": True, "b": False, "c": True, "d": False, "e": False}
+    gone = [Row(**(rule | {"id": "g", "remove_tags": "x,old"}))]
+    assert {r["id"]: r["tag_list"] for r in R.applied(tx, gone).collect()}["a"] is None
