@@ -7,7 +7,8 @@ less what chance gives, estimates the Jaccard similarity of two sets: the standa
 
 ``BANDS`` keys of ``ROWS`` least values each lead from a text to its near copies. Spark gathers the least
 document of each key, joins it with the key's others, and the exact Jaccard similarity of both texts' sets is
-verified. A band of any size costs its documents' rows: pairs within a band are never made.
+verified. A band of any size costs its documents' rows: pairs within a band are never made. These links are where the
+exact join of ``simjoin`` begins: it finds those that share no band, or no near head, and gives each document its class.
 
 ``edited_fingerprints`` compares each document with the next one. Spark deals the documents out by ranges of
 descending id, so that the next document is the next row; the last row of a partition and the first of the
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.llm.common import SPACED, U64, cut, list_array, mix, scratch, text_blocks, words
+from ledgerloom.llm.simjoin import text_components
 from ledgerloom.llm.sketch import keyed_texts
 
 #: Words of a shingle, and the least similarity of near copies.
@@ -216,15 +218,16 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both.append(np.unique(shingles(buf, at)[0]))
             shared = len(np.intersect1d(*both, assume_unique=True))
             near[i] = shared / max(1, len(both[0]) + len(both[1]) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("head_id"), pa.array(near)], ["key", "head_id", "jaccard"])
+        own = ["key", "head_key", "head_id"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(near)], [*own, "jaccard"])
 
 
 def band_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text", least: float = LEAST_JACCARD) -> DataFrame:
-    """(key, near_id): of each text the least id among the heads of its bands that it is a near copy of.
+    """(key, head_key, head_id): the near copies among texts and the heads of their bands.
 
     ``printed`` has id, key and bands of the rows of ``docs``. The head of a band is its document of least id; a text
     heads its own bands only where no other comes first. A near copy has a Jaccard similarity of ``least`` or
-    more, computed from the texts. Texts near no head other than themselves are left out.
+    more, computed from the texts. These are links that a fingerprint finds at once, not all: see ``near_heads``.
     """
     kind = printed.schema["id"].dataType.simpleString()
     texts = cut(printed.where(F.size("bands") > 0).groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "texts")
@@ -236,20 +239,29 @@ def band_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text", leas
         once = cut(found.groupBy("key").agg(F.first("text").alias("text")), "band-texts")
     with_own = pairs.join(once, "key")
     both = with_own.join(once.select(F.col("key").alias("head_key"), F.col("text").alias("head_text")), "head_key")
-    verified = both.select("key", "head_id", "text", "head_text").mapInArrow(_jaccard, f"key binary, head_id {kind}, jaccard double")
-    return verified.where(F.col("jaccard") >= least).groupBy("key").agg(F.min("head_id").alias("near_id"))
+    verified = both.select("key", "head_key", "head_id", "text", "head_text").mapInArrow(_jaccard, f"key binary, head_key binary, head_id {kind}, jaccard double")
+    return verified.where(F.col("jaccard") >= least).drop("jaccard")
 
 
-def near_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text") -> DataFrame:
-    """``printed`` with ``near_id``: the least id that has the row's text, or heads a band of it and is a near copy; null where that is no other.
+def near_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``printed`` with ``near_id`` and ``near_class``.
+
+    ``near_class`` is the least id that the row's text reaches by near copies of near copies, its own included, and loses no
+    link: those that the bands lead to are completed by the exact join of ``simjoin``. An empty set reaches none but its row,
+    and null ids count where a class has no other. ``near_id`` names one near copy: the least id that has the row's
+    text, or heads a band of it and is a near copy; null where that is no other.
 
     Intermediate tables that this makes itself go at the end.
     """
     spark = docs.sparkSession
     with scratch(spark):
-        found = cut(band_heads(docs, printed, text_col), "near", keep=True)
+        links = cut(band_heads(docs, printed, text_col), "near", keep=True)
     with scratch(spark):
-        first = cut(printed.groupBy("key").agg(F.min("id").alias("first_id")), "first", keep=True)
-    joined = printed.drop("bands").join(first, "key").join(found, "key", "left")
+        classes = text_components(docs, links.select(F.col("key").alias("a"), F.col("head_key").alias("b")), id_col, text_col, SHINGLE, round(100 * LEAST_JACCARD))
+        found = links.groupBy("key").agg(F.min("head_id").alias("near_id"))
+        first = printed.groupBy("key").agg(F.min("id").alias("first_id"), F.first(F.size("bands") == 0).alias("bare"))
+        told = cut(first.join(found, "key", "left").join(classes, "key"), "told", keep=True)
+    joined = printed.drop("bands").join(told, "key")
     least = F.least("first_id", "near_id")
-    return joined.select("*", F.when(least < F.col("id"), least).alias("_near")).drop("near_id", "first_id", "key").withColumnRenamed("_near", "near_id")
+    near, own = F.when(least < F.col("id"), least), F.when(F.col("bare"), F.col("id")).otherwise(F.col("component_id"))
+    return joined.select(*[c for c in printed.columns if c not in ("key", "bands")], near.alias("near_id"), own.alias("near_class"))

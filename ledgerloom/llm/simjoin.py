@@ -319,6 +319,12 @@ class Join:
             sorted_ = both.repartition("hub", "portion", "part").sortWithinPartitions("hub", "portion", "part", "role")
             return cut(sorted_.mapInArrow(partial(_verify, n=self.n, percent=self.percent), "a long, b long"), "verified")
 
+    def rows_of(self, known: DataFrame) -> DataFrame:
+        """Links of texts, by their keys in ``known`` (a, b), as links of rows."""
+        rows = cut(self.sets.where("signature is not null").groupBy("key").agg(F.min("row").alias("row")), "rows")
+        at = lambda name: rows.select(F.col("key").alias(name), F.col("row").alias(f"row_{name}"))
+        return cut(known.join(at("a"), "a").join(at("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), "known")
+
     def equal_sets(self) -> DataFrame:
         own = self.sets.where("signature is not null").select("signature", "row")
         first = cut(own.groupBy("signature").agg(F.min("row").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k"), "equal")
@@ -413,28 +419,49 @@ class Join:
         return links.unionByName(self.verify_units(pairs, members.join(large.select("unit"), "unit", "left_semi")))
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 1
-) -> DataFrame:
-    """(id, n_shingles, component_id) of each row; sets link when 100 * intersection >= percent * union."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, rounds: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, n, key, label) of each row and (label, component_id); both stay when this ends."""
     with scratch(docs.sparkSession):
         join = Join(docs, id_col, text_col, n, percent)
         links = join.equal_sets()
-        classes = links.select(F.col("b").alias("node"), F.col("a").alias("label")).union(links.select("a", "a").distinct())
+        if known is None:
+            classes = links.select(F.col("b").alias("node"), F.col("a").alias("label")).union(links.select("a", "a").distinct())
+        else:
+            links = links.unionByName(join.rows_of(known))
+            classes = components(links)
         families = docs.sparkSession.createDataFrame([], "row long, family long")
         for salt in range(rounds):
             alike = join.alike(classes, salt)
             families = families if salt else cut(join.families(alike, salt), "families")
-            links = links.unionByName(join.verify(join.partners(alike)))
-            classes = components(links)
+            if known is None:
+                links = links.unionByName(join.verify(join.partners(alike)))
+                classes = components(links)
         links = links.unionByName(join.left(classes, families))
         classes = components(links)
-        own = join.sets.select("row", "id", "n").join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        own = join.sets.select("row", "id", "n", "key").join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         own = cut(own, "labelled", keep=True)
         least = cut(own.groupBy("label").agg(F.min("id").alias("component_id")), "least", keep=True)
+    return own, least
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 1
+) -> DataFrame:
+    """(id, n_shingles, component_id) of each row; sets link when 100 * intersection >= percent * union."""
+    own, least = _labelled(docs, id_col, text_col, n, percent, rounds)
     return own.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def text_components(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """(key, component_id) of each different text, as ``jaccard_components`` has them; the key is the 128-bit XXH3 of its bytes.
+
+    ``known`` has links (a, b) of texts' keys that were verified before. They stand in for the comparisons of likely
+    pairs that come first; no link depends on them.
+    """
+    own, least = _labelled(docs, id_col, text_col, n, percent, 1, known)
+    return own.groupBy("key").agg(F.min("label").alias("label")).join(least, "label").select("key", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 1) -> DataFrame:
     """One document of each component, with all its columns: that of the least id, null ids last.
 
