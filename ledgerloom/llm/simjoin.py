@@ -60,6 +60,8 @@ FAMILY = 3
 PORTION, PART = 400, 4000
 #: Sets of a family that is met as a whole.
 LARGE = 50
+#: Parts of the elements whose lists are gathered one after another: so much less of them is on disk at a time.
+PASSES = 4
 #: Sets that a task remembers to have met.
 REMEMBERED = 200_000
 #: Bytes of texts whose n-grams are made at a time.
@@ -275,7 +277,7 @@ def _entries(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.
         at = np.arange(len(element)) - np.repeat(np.cumsum(size) - size, size)
         take = sent.value.may_hold(element)
         of = pa.array(np.repeat(np.arange(len(size)), size)[take])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("row", "n", "class", "unit")), pa.array(at[take]), pa.array(element[take])], ["row", "n", "class", "unit", "at", "element"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("row", "n")), pa.array(at[take]), pa.array(element[take])], ["row", "n", "at", "element"])
 
 
 class Join:
@@ -319,6 +321,23 @@ class Join:
             sorted_ = both.repartition("hub", "portion", "part").sortWithinPartitions("hub", "portion", "part", "role")
             return cut(sorted_.mapInArrow(partial(_verify, n=self.n, percent=self.percent), "a long, b long"), "verified")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) pairs of rows that can still link by what their whole prefixes share; no text is read for it.
+
+        What two sets share beyond both prefixes lies, as their order is one, beyond the one that ends first.
+        Prefixes are compared by 16 bits of each element, and elements of one set that these confuse count as shared.
+        """
+        pairs = cut(pairs.select("a", "b").distinct(), "sharing")
+        bits = F.transform("prefix", lambda x: F.shiftright(F.shiftleft(x, 48), 48).cast("smallint"))
+        own = self.sets.where("prefix is not null").select("row", "n", bits.alias("bits"))
+        side = lambda name: own.select(F.col("row").alias(name), F.struct("n", "bits").alias(f"of_{name}"))
+        both = cut(pairs.join(side("a"), "a"), "one-side").join(side("b"), "b")
+        beyond = lambda c: F.col(f"{c}.n") - F.size(f"{c}.bits")
+        confused = F.size("of_a.bits") - F.size(F.array_distinct("of_a.bits"))
+        most = F.size(F.array_intersect("of_a.bits", "of_b.bits")) + confused + F.greatest(beyond("of_a"), beyond("of_b"))
+        t = self.percent
+        return cut(both.where((100 + t) * most >= t * (F.col("of_a.n") + F.col("of_b.n"))).select("a", "b"), "possible")
+
     def rows_of(self, known: DataFrame) -> DataFrame:
         """Links of texts, by their keys in ``known`` (a, b), as links of rows."""
         rows = cut(self.sets.where("signature is not null").groupBy("key").agg(F.min("row").alias("row")), "rows")
@@ -369,15 +388,19 @@ class Join:
         that most belong to are only held against by the others.
         """
         t = self.percent
-        own = self.sets.where("prefix is not null").select("row", "n", "prefix")
-        own = own.join(classes.withColumnRenamed("node", "row"), "row", "left").join(families, "row", "left")
-        own = own.select("row", "n", "prefix", F.coalesce("label", "row").alias("class"), F.coalesce("family", "label", "row").alias("unit"))
-        entries = own.select("class", F.explode("prefix").alias("element"))
-        # Lists with sets of more than one class; the others hold no new answer.
-        lists = cut(entries.groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("element"), "lists")
+        own = self.sets.where("prefix is not null")
+        members = own.select("row").join(classes.withColumnRenamed("node", "row"), "row", "left").join(families, "row", "left")
+        members = cut(members.select("row", F.coalesce("label", "row").alias("class"), F.coalesce("family", "label", "row").alias("unit")), "members")
+        # Lists with sets of more than one class; the others hold no new answer. They are found a part of the elements at a time.
+        lists = None
+        for part in range(PASSES):
+            some = own.select("row", F.filter("prefix", lambda x: F.pmod(x, F.lit(PASSES)) == part).alias("some")).join(members, "row")
+            each = some.select("class", F.explode("some").alias("element")).groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+            found = cut(each.where("lo < hi").select("element"), "lists")
+            lists = found if lists is None else lists.unionByName(found)
         sent = self.spark.sparkContext.broadcast(NumberFilter.of(lists))
-        entries = own.mapInArrow(partial(_entries, sent=sent), "row long, n long, class long, unit long, at long, element long").join(lists, "element")
-        members = cut(own.select("row", "class", "unit"), "members")
+        entries = own.select("row", "n", "prefix").mapInArrow(partial(_entries, sent=sent), "row long, n long, at long, element long")
+        entries = entries.join(lists, "element").join(members, "row")
         counts = members.groupBy("unit", "class").agg(F.count("*").alias("k"))
         large = counts.groupBy("unit").agg(F.sum("k").alias("all"), F.max_by("class", F.struct("k", "class")).alias("main")).where(F.col("all") >= LARGE)
         large = cut(large.select("unit", "main"), "large")
@@ -399,7 +422,7 @@ class Join:
             & (100 * F.col("small_n") >= t * F.col("n"))
             & enough(F.least("rest", "small_rest"), F.col("n") + F.col("small_n"))
         )
-        links = self.verify(both.select(F.col("row").alias("a"), F.col("small_row").alias("b")))
+        links = self.verify(self.possible(both.select(F.col("row").alias("a"), F.col("small_row").alias("b"))))
         if large.isEmpty():
             return links
 

@@ -129,3 +129,15 @@ def test_dropping_with_nulls_ties_and_clashing_columns(spark):
     assert kept.columns == frame.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, "a b c d e f"), (8, None), (9, ""), (None, "other words"), (3, "z " * 50_000)], key=str)
     assert simjoin.drop_near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_a_shared_passage_alone_reads_no_text(spark, monkeypatch):
+    """Texts that share a passage and cannot link by their prefixes aren't verified; one that links is."""
+    paired = []
+    verify = simjoin.Join.verify
+    monkeypatch.setattr(simjoin.Join, "verify", lambda self, pairs: (paired.append(pairs.distinct().count()), verify(self, pairs))[1])
+    own = lambda k, n=100: " ".join(f"d{k}w{i}" for i in range(n))
+    docs = [(k, f"{own(k)} " + " ".join(f"p{k // 2}q{i}" for i in range(12))) for k in range(24)] + [(100, own(100)), (101, own(100, 90))]
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs)
+    assert paired == [1]
