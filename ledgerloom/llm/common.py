@@ -94,6 +94,10 @@ def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[pa.Array], np.nda
     return docs.mapInArrow(partial(_keep, text_col=text_col, judge=judge), docs.schema)
 
 
+#: Bytes of texts whose n-grams are made at a time: so few that numpy's arrays of them stay in a core's cache.
+BLOCK = 1 << 18
+
+
 def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``most`` bytes: first and last+1 row, UTF-8 bytes, offsets. Nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -177,9 +181,10 @@ def words(buf: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarr
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = prefix_sums(FOLDED_VALUES[buf])
     hashes = mix((sums[ends] - sums[starts]) * powers(n)[1][starts])
-    return hashes, starts, ends, np.searchsorted(at, starts, "right") - 1
+    return hashes, starts, ends, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(starts, at)))
 
 
-def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
-    """A list column from its flat values and the length of each list."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+def list_array(values: pa.Array, counts: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """A list column from its flat values and the length of each list; those of ``null`` are null."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+    return pa.ListArray.from_arrays(ends, values, mask=None if null is None else pa.array(null))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgerloom.llm.common import SPACED, U64, cut, list_array, mix, scratch, text_blocks, words
+from ledgerloom.llm.common import BLOCK, SPACED, U64, cut, list_array, mix, scratch, text_blocks, words
 from ledgerloom.llm.simjoin import text_components
 from ledgerloom.llm.sketch import keyed_texts
 
@@ -54,21 +54,28 @@ def shingles(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of the texts of a block, one after another, and where each text's begin (one more for the end)."""
     hashes, _, _, text = words(buf, at, SPACED)
     n = np.bincount(text, minlength=len(at) - 1)
-    first = np.cumsum(n) - n
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
-    of = np.repeat(np.arange(len(n)), count)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    end, total = (first + n)[of], np.zeros(len(of), U64)
-    for k in range(SHINGLE):
-        here = place + k
-        total = total * U64(0xD1342543DE82EF95) + np.where(here < end, hashes[np.minimum(here, len(hashes) - 1)], U64(k)) if len(of) else total
-    return mix(total), np.concatenate(([0], np.cumsum(count)))
+    begin = np.concatenate(([0], np.cumsum(np.where(n >= SHINGLE, n - SHINGLE + 1, n > 0))))
+    alone = np.zeros(begin[-1], bool)
+    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    alone[begin[short]] = True
+    total = np.zeros(begin[-1], U64)
+    if (windows := len(hashes) - SHINGLE + 1) > 0:
+        rolled = hashes[:windows]
+        for k in range(1, SHINGLE):
+            rolled = rolled * U64(0xD1342543DE82EF95) + hashes[k : k + windows]
+        total[~alone] = rolled[text[:windows] == text[SHINGLE - 1 :]]
+    # A short text's words are followed by the numbers of the places that are left.
+    first, sums = (np.cumsum(n) - n)[short], np.zeros(len(short), U64)
+    for k in range(SHINGLE if len(short) else 0):
+        sums = sums * U64(0xD1342543DE82EF95) + np.where(k < n[short], hashes[np.minimum(first + k, len(hashes) - 1)], U64(k))
+    total[alone] = sums
+    return mix(total), begin
 
 
 def signatures(texts: pa.Array) -> np.ndarray:
     """The least value of each text's shingles under each hash; ``NOTHING`` throughout for an empty set."""
     out = np.full((len(texts), PERMUTATIONS), NOTHING)
-    for lo, hi, buf, at in text_blocks(texts):
+    for lo, hi, buf, at in text_blocks(texts, BLOCK):
         values, begin = shingles(buf, at)
         full = np.flatnonzero(np.diff(begin))
         if len(full):
@@ -211,13 +218,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = np.zeros(batch.num_rows)
-        for i in range(batch.num_rows):
-            both = []
-            for side in ("text", "head_text"):
-                _, _, buf, at = next(text_blocks(batch.column(side)[i : i + 1]))
-                both.append(np.unique(shingles(buf, at)[0]))
-            shared = len(np.intersect1d(*both, assume_unique=True))
-            near[i] = shared / max(1, len(both[0]) + len(both[1]) - shared)
+        # Each text is followed by its head's; a row is compared as soon as both sets are made.
+        row = pa.array(np.arange(2 * batch.num_rows).reshape(2, -1).T.reshape(-1))
+        texts = pa.concat_arrays([batch.column(c).cast(pa.large_string()) for c in ("text", "head_text")]).take(row)
+        first = None
+        for lo, hi, buf, at in text_blocks(texts, BLOCK):
+            value, begin = shingles(buf, at)
+            for k in range(hi - lo):
+                own = np.unique(value[begin[k] : begin[k + 1]])
+                if (lo + k) % 2 == 0:
+                    first = own
+                    continue
+                both = np.concatenate((first, own))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                near[(lo + k) // 2] = shared / max(1, len(both) - shared)
         own = ["key", "head_key", "head_id"]
         yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(near)], [*own, "jaccard"])
 
@@ -232,8 +247,11 @@ def band_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text", leas
     kind = printed.schema["id"].dataType.simpleString()
     texts = cut(printed.where(F.size("bands") > 0).groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "texts")
     keys = texts.where("id is not null").select("key", "id", F.explode("bands").alias("band"))
-    heads = cut(keys.groupBy("band").agg(F.min_by(F.struct("id", "key"), F.struct("id", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head"), "heads")
-    pairs = cut(keys.join(heads, "band").where(F.col("key") != F.col("head.key")).select("key", F.col("head.key").alias("head_key"), F.col("head.id").alias("head_id")).distinct(), "band-pairs")
+    heads = cut(keys.groupBy("band").agg(F.min("id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head_id"), "heads")
+    # What shares a band with another is little beside all keys: the heads' texts are looked up among that.
+    shared = cut(keys.join(heads, "band"), "shared-bands")
+    first = shared.where("id = head_id").groupBy("band").agg(F.min("key").alias("head_key"))
+    pairs = cut(shared.join(first, "band").where("key <> head_key").select("key", "head_key", "head_id").distinct(), "band-pairs")
     wanted = pairs.select("key").union(pairs.select("head_key")).distinct()
     with keyed_texts(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), wanted) as found:
         once = cut(found.groupBy("key").agg(F.first("text").alias("text")), "band-texts")

@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACED, U64, cut, mix, scratch, text_blocks, words
+from ledgerloom.llm.common import BLOCK, SPACED, U64, cut, list_array, mix, scratch, text_blocks, words
 from ledgerloom.llm.components import components
 from ledgerloom.llm.exact import may_hold
 from ledgerloom.llm.sketch import NumberFilter, counted, keyed_texts, pieces
@@ -64,8 +65,6 @@ LARGE = 50
 PASSES = 4
 #: Sets that a task remembers to have met.
 REMEMBERED = 200_000
-#: Bytes of texts whose n-grams are made at a time.
-BLOCK = 1 << 19
 SETS = "id {0}, n long, key binary, signature binary, mins array<long>, prefix array<long>"
 
 
@@ -76,17 +75,22 @@ def shingles(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     count = np.bincount(text, minlength=len(at) - 1)
     first = np.cumsum(count) - count
     values, owner = [], []
-    if len(hashes) >= n:
-        own = np.flatnonzero(text[: len(text) - n + 1] == text[n - 1 :])
-        values.append(sum(hashes[own + j] * factors[j] for j in range(n)))
-        owner.append(text[own])
+    if (windows := len(hashes) - n + 1) > 0:
+        own = text[:windows] == text[n - 1 :]
+        values.append(sum(hashes[j : j + windows] * factors[j] for j in range(n))[own])
+        owner.append(text[:windows][own])
     for size in range(1, n):
         short = np.flatnonzero(count == size)
         values.append(sum((hashes[first[short] + j] * factors[j] for j in range(size)), np.full(len(short), size, U64)))
         owner.append(short)
     value, of = mix(np.concatenate(values)), np.concatenate(owner)
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
+    if (of[1:] < of[:-1]).any():
+        order = np.argsort(of, kind="stable")
+        value, of = value[order], of[order]
+    bound = np.searchsorted(of, np.arange(len(at))).tolist()
+    for lo, hi in pairwise(bound):
+        if hi - lo > 1:
+            value[lo:hi].sort()
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
     return value[new], of[new]
@@ -97,7 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     for batch in batches:
         for _, _, buf, at in text_blocks(batch.column("text"), BLOCK):
             value, _ = shingles(buf, at, n)
-            own, times = np.unique((value >> CELL_SHIFT).astype(np.int64), return_counts=True)
+            own, times = np.unique((value >> CELL_SHIFT).astype(np.int32), return_counts=True)
             cells[own] = np.minimum(cells[own] + times, 65535)
             seen += len(value)
     yield from pieces(cells, seen % 8)
@@ -124,28 +128,27 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, threshold: float, sent: Bro
             mins = np.stack([np.minimum.reduceat(mix(value ^ s), (end - size)[full]) for s in seeds], axis=1) if len(full) else np.empty((0, MINS), U64)
             # Rarest first, then by value, text after text.
             rank = of * 16 + level[(value >> CELL_SHIFT).astype(np.int64)]
+            if hi - lo <= 4096:
+                rank = rank.astype(np.uint16)  # numpy sorts these by digits
             ordered = value[np.argsort(rank, kind="stable")].view(np.int64)
             keep = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             raw, whole = buf.tobytes(), value.tobytes()
-            keys, signatures, prefixes = [], [], []
-            for k in range(hi - lo):
-                keys.append(xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]]))
-                if not size[k]:
+            keys, signatures, met = [], [], size == 0
+            for k, (a, b, begin, stop) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), (end - size).tolist(), end.tolist(), strict=True)):
+                keys.append(xxhash.xxh3_128_digest(raw[a:b]))
+                if begin == stop:
                     signatures.append(None)
-                    prefixes.append(None)
                     continue
-                begin = end[k] - size[k]
-                signatures.append(s := xxhash.xxh3_128_digest(whole[8 * begin : 8 * end[k]]))
+                signatures.append(s := xxhash.xxh3_128_digest(whole[8 * begin : 8 * stop]))
                 # A set that this task has met before stands for its equals.
-                prefixes.append(None if s in seen else ordered[begin : begin + keep[k]])
+                met[k] = s in seen
                 if len(seen) < REMEMBERED:
                     seen.add(s)
-            all_mins: list = [None] * (hi - lo)
-            for k, m in zip(full.tolist(), mins.view(np.int64), strict=True):
-                all_mins[k] = m
-            longs = pa.list_(pa.int64())
+            keep[met] = 0
+            prefix = ordered[np.arange(len(of)) - (end - size)[of] < keep[of]]
+            all_mins = list_array(pa.array(mins.view(np.int64).reshape(-1)), np.where(size > 0, MINS, 0), size == 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(all_mins, longs), pa.array(prefixes, longs)],
+                [batch.column("id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), all_mins, list_array(pa.array(prefix), keep, met)],
                 ["id", "n", "key", "signature", "mins", "prefix"],
             )
 
@@ -359,9 +362,11 @@ class Join:
         own = self.sets.where("prefix is not null").select("row", "mins")
         own = own.join(classes.withColumnRenamed("node", "row"), "row", "left").select("row", "mins", F.coalesce("label", "row").alias("class"))
         each = cut(own.select("row", "class", F.posexplode("mins").alias("k", "value")), "mins")
-        first = lambda *keys: F.min(F.struct(F.xxhash64(F.lit(salt), *keys).alias("h"), "row", "class"))
-        heads = each.groupBy("k", "value").agg(first("k", "row").alias("f"), first("row").alias("g"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-        heads = cut(heads.select("k", "value", F.array("f", "g").alias("heads")), "firsts")
+        # Least values of single numbers, which Spark gathers by hash; of rows with equal hashes any will do.
+        first = lambda name, *keys: [F.min_by(c, F.xxhash64(F.lit(salt), *keys)).alias(f"{name}_{c}") for c in ("row", "class")]
+        heads = each.groupBy("k", "value").agg(*first("f", "k", "row"), *first("g", "row"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+        head = lambda name: F.struct(F.col(f"{name}_row").alias("row"), F.col(f"{name}_class").alias("class"))
+        heads = cut(heads.select("k", "value", F.array(head("f"), head("g")).alias("heads")), "firsts")
         pairs = each.join(heads, ["k", "value"]).select("row", "class", F.explode("heads").alias("head"))
         pairs = pairs.where("class <> head.class").select("row", F.col("head.row").alias("a")).distinct()
         mins = lambda name, as_name: self.sets.select(F.col("row").alias(name), F.col("mins").alias(as_name))
@@ -392,10 +397,13 @@ class Join:
         members = own.select("row").join(classes.withColumnRenamed("node", "row"), "row", "left").join(families, "row", "left")
         members = cut(members.select("row", F.coalesce("label", "row").alias("class"), F.coalesce("family", "label", "row").alias("unit")), "members")
         # Lists with sets of more than one class; the others hold no new answer. They are found a part of the elements at a time.
-        lists = None
+        # A set without a link is a class of its own; only the others, and few besides, are shuffled to meet their class.
+        told, lists = may_hold(own.select("row", "prefix"), F.col("row"), classes, F.col("node"), "linked"), None
         for part in range(PASSES):
-            some = own.select("row", F.filter("prefix", lambda x: F.pmod(x, F.lit(PASSES)) == part).alias("some")).join(members, "row")
-            each = some.select("class", F.explode("some").alias("element")).groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+            here = lambda x: F.pmod(x, F.lit(PASSES)) == part  # noqa: B023, E731
+            alone = told.where("not linked").select(F.col("row").alias("class"), F.explode("prefix").alias("element")).where(here(F.col("element")))
+            linked = told.where("linked").select("row", F.filter("prefix", here).alias("some")).join(members.select("row", "class"), "row").select("class", F.explode("some").alias("element"))
+            each = alone.unionByName(linked).groupBy("element").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
             found = cut(each.where("lo < hi").select("element"), "lists")
             lists = found if lists is None else lists.unionByName(found)
         sent = self.spark.sparkContext.broadcast(NumberFilter.of(lists))

@@ -6,7 +6,8 @@ import pytest
 import regex
 
 from ledgerloom.llm import fingerprints as fp
-from ledgerloom.llm import queries
+from ledgerloom.llm import queries, simjoin
+from ledgerloom.llm.common import cut
 from test_simjoin import brute
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -143,3 +144,20 @@ def test_links_that_share_no_band(spark):
     rows = fp.near_heads(frame, fp.fingerprints(frame)).collect()
     assert {(r.id, r.near_class) for r in rows} == {(i, i - i % 2) for i, _ in docs}
     assert any(r.near_id is None for r in rows if r.id % 2)
+
+
+def test_heads_are_gathered_by_hash(spark, monkeypatch):
+    """Least values of bands and of MinHash lists go through hash aggregates: neither is sorted."""
+    plans = {}
+
+    def watched(df, name, keep=False):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, keep)
+
+    monkeypatch.setattr(fp, "cut", watched)
+    monkeypatch.setattr(simjoin, "cut", watched)
+    texts = [" ".join(f"g{k % 7}w{i}" if i != k else "x" for i in range(100)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp.near_heads(docs, fp.fingerprints(docs))
+    for name in ("heads", "firsts"):
+        assert "HashAggregate" in plans[name] and "SortAggregate" not in plans[name]
