@@ -250,7 +250,7 @@ def band_heads(docs: DataFrame, printed: DataFrame, text_col: str = "text", leas
     heads = cut(keys.groupBy("band").agg(F.min("id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head_id"), "heads")
     # What shares a band with another is little beside all keys: the heads' texts are looked up among that.
     shared = cut(keys.join(heads, "band"), "shared-bands")
-    first = shared.where("id = head_id").groupBy("band").agg(F.min("key").alias("head_key"))
+    first = cut(shared.where("id = head_id").groupBy("band").agg(F.min("key").alias("head_key")), "head-keys")
     pairs = cut(shared.join(first, "band").where("key <> head_key").select("key", "head_key", "head_id").distinct(), "band-pairs")
     wanted = pairs.select("key").union(pairs.select("head_key")).distinct()
     with keyed_texts(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), wanted) as found:
