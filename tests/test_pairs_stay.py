@@ -48,3 +48,21 @@ def test_mutual_best(spark, stored):
 
 def test_scores(spark):
     assert of_pairs(catalog.queries()["transfer_scores"](spark, SF)) == []
+
+
+def test_assign(spark, stored):
+    """A component with most of the pairs is ranked by ranges of the whole order, not within one task."""
+    catalog.queries()["transfer_assign"](spark, SF).collect()
+    likely_alone(stored["pairs"])
+    assert dict(stored["edges"].dtypes)["rank"] == "bigint"
+
+
+def test_components_of_ids_along_a_chain(spark, monkeypatch):
+    """A chain whose ids run along it takes few rounds."""
+    from ledgerloom.operators import graph
+
+    rounds, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or plain(df, name))
+    labels = graph.components(spark.range(300).selectExpr("id as a", "id + 1 as b"))
+    assert labels.where("label <> 0").isEmpty() and labels.count() == 301
+    assert rounds.count("hung") < 20
