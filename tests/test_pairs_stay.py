@@ -66,3 +66,7 @@ def test_components_of_ids_along_a_chain(spark, monkeypatch):
     labels = graph.components(spark.range(300).selectExpr("id as a", "id + 1 as b"))
     assert labels.where("label <> 0").isEmpty() and labels.count() == 301
     assert rounds.count("hung") < 20
+
+
+def test_overlap(spark):
+    assert of_pairs(catalog.queries()["counterparty_overlap"](spark, SF)) == []
