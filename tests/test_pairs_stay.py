@@ -70,3 +70,8 @@ def test_components_of_ids_along_a_chain(spark, monkeypatch):
 
 def test_overlap(spark):
     assert of_pairs(catalog.queries()["counterparty_overlap"](spark, SF)) == []
+
+
+def test_lane_counts(spark):
+    found = of_pairs(catalog.queries()["pair_lane_counts"](spark, SF))
+    assert "out_id" not in found and "in_id" not in found and found.count("out_account") <= 1  # the counts themselves
