@@ -75,3 +75,7 @@ def test_overlap(spark):
 def test_lane_counts(spark):
     found = of_pairs(catalog.queries()["pair_lane_counts"](spark, SF))
     assert "out_id" not in found and "in_id" not in found and found.count("out_account") <= 1  # the counts themselves
+
+
+def test_scores_lane(spark):
+    assert of_pairs(catalog.queries()["transfer_scores_lane"](spark, SF)) == []
