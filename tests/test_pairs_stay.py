@@ -79,3 +79,8 @@ def test_lane_counts(spark):
 
 def test_scores_lane(spark):
     assert of_pairs(catalog.queries()["transfer_scores_lane"](spark, SF)) == []
+
+
+def test_viable(spark, stored):
+    catalog.queries()["viable_pairs"](spark, SF).collect()
+    likely_alone(stored["pairs"])
