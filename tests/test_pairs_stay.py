@@ -84,3 +84,13 @@ def test_scores_lane(spark):
 def test_viable(spark, stored):
     catalog.queries()["viable_pairs"](spark, SF).collect()
     likely_alone(stored["pairs"])
+
+
+def test_components(spark, stored):
+    catalog.queries()["transfer_components"](spark, SF).collect()
+    likely_alone(stored["pairs"])
+
+
+def test_rank(spark, stored):
+    catalog.queries()["pair_rank"](spark, SF).collect()
+    likely_alone(stored["pairs"])
